@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.functions import vocab
+from tallyscope.functions.rows import literal_rows
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,8 @@ def metric_dimension(spark: SparkSession, metrics: list[Metric] | None = None) -
              m.importance, m.metric_id in vocab.ADDITIVE_METRICS, m.metric_id in vocab.COMPARED_METRICS,
              m.metric_id in vocab.TREND_METRICS, m.metric_id in vocab.CORE_METRICS)
             for m in (metrics or METRICS)]
-    return spark.createDataFrame(
-        rows,
+    return literal_rows(
+        spark, rows,
         "metric_id string, ord int, display_name string, unit string, direction string, category string, "
         "is_derived boolean, kind string, importance string, is_additive boolean, is_compared boolean, "
         "is_trended boolean, is_core boolean",

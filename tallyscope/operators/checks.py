@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import vocab
+from tallyscope.functions.rows import literal_rows, quoted, stack_rows
 from tallyscope.operators.classes import column_facts
 from tallyscope.operators.columns import col_of
 from tallyscope.operators.summaries import sample_values
@@ -47,10 +48,8 @@ def null_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if(everything_null).alias("empty_rows"),
         *[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
     )
-    cells = []
-    for i, name in enumerate(df.columns):
-        cells += [F.lit(i), F.lit(name), F.col("rows") - F.col(f"n{i}")]
-    return totals.select("rows", "empty_rows", F.stack(F.lit(len(df.columns)), *cells).alias("ord", "column_name", "nulls"))
+    cells = [[str(i), quoted(name), f"rows - n{i}"] for i, name in enumerate(df.columns)]
+    return totals.selectExpr("rows", "empty_rows", stack_rows(cells, ["ord", "column_name", "nulls"]))
 
 
 def empty_columns(counts: DataFrame) -> DataFrame:
@@ -82,7 +81,7 @@ def validate(df: DataFrame, header: Sequence[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     counts = null_counts(df)
     named = [(i, "column_names", m) for i, m in enumerate(column_name_warnings(header or df.columns))]
-    names = spark.createDataFrame(named, "ord int, check string, message string")
+    names = literal_rows(spark, named, "ord int, check string, message string")
     no_rows = counts.where("rows = 0").limit(1).select(F.lit(0).alias("ord"), F.lit("rows").alias("check"), F.lit("Dataset has 0 rows").alias("message"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "column_name"))), lambda s: s["column_name"])
     empties = empty_columns(counts).agg(F.count(F.lit(1)).alias("n"), F.slice(in_order, 1, 5).alias("first")).where("n > 0").select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions import scalars
+from tallyscope.functions.rows import name_of, quoted, stack_rows
 
 # Values longer than this are grouped by digest: a shuffle then moves 64 bytes
 # per value instead of a whole text.
@@ -68,30 +69,37 @@ def value_key(text: Column) -> Column:
     return F.when(F.octet_length(text) > DIGEST_OVER_BYTES, F.sha2(text, 256)).otherwise(text)
 
 
+def number_sql(column: str) -> str:
+    value = f"CAST({name_of(column)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({value}) THEN {value} + 0.0D END"
+
+
+def text_sql(column: str, kind: str) -> str:
+    if kind == "complex":
+        return f"to_json(named_struct('v', {name_of(column)}))"
+    if kind == "float":
+        return f"CAST({number_sql(column)} AS STRING)"
+    return f"CAST({name_of(column)} AS STRING)"
+
+
 def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ord, column_name, kind, txt, num, ts) for every cell of the columns."""
     wanted = list(columns) if columns is not None else df.columns
-    fields = {f.name: f for f in df.schema.fields}
-    cells: list[Column] = []
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    cells = []
     for ord_, name in enumerate(wanted):
-        kind = kind_of(fields[name].dataType)
-        c = col_of(name)
-        cells += [
-            F.lit(ord_), F.lit(name), F.lit(kind), as_text(c, kind),
-            as_number(c) if kind in ("integer", "float") else F.lit(None).cast("double"),
-            c.cast("timestamp") if kind in ("date", "timestamp") else F.lit(None).cast("timestamp"),
-        ]
-    return df.select(F.stack(F.lit(len(wanted)), *cells).alias("ord", "column_name", "kind", "txt", "num", "ts"))
+        kind = kinds[name]
+        number = number_sql(name) if kind in ("integer", "float") else "CAST(NULL AS DOUBLE)"
+        moment = f"CAST({name_of(name)} AS TIMESTAMP)" if kind in ("date", "timestamp") else "CAST(NULL AS TIMESTAMP)"
+        cells.append([str(ord_), quoted(name), quoted(kind), text_sql(name, kind), number, moment])
+    return df.selectExpr(stack_rows(cells, ["ord", "column_name", "kind", "txt", "num", "ts"]))
 
 
-def melt_numbers(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[Column] = ()) -> DataFrame:
-    """(column_name, value, *keep) for the non-null numbers of the columns."""
+def melt_numbers(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(column_name, value, *keep) for the non-null numbers; ``keep`` is SQL text."""
     wanted = list(columns) if columns is not None else numeric_columns(df)
-    cells: list[Column] = []
-    for name in wanted:
-        cells += [F.lit(name), as_number(col_of(name))]
-    long = df.select(*keep, F.stack(F.lit(len(wanted)), *cells).alias("column_name", "value"))
-    return long.where(F.col("value").isNotNull())
+    cells = [[quoted(name), number_sql(name)] for name in wanted]
+    return df.selectExpr(*keep, stack_rows(cells, ["column_name", "value"])).where("value IS NOT NULL")
 
 
 def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:

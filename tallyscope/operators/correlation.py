@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
-from tallyscope.operators.columns import as_number, col_of, numeric_columns
+from tallyscope.functions.rows import quoted, stack_rows
+from tallyscope.operators.columns import number_sql, numeric_columns
 
 MIN_ROWS = 10
 STRONG = 0.60
@@ -27,23 +28,23 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    numbers = df.select(*[as_number(col_of(n)).alias(f"c{i}") for i, n in enumerate(names)])
-    usable = {i: (F.col(f"n{i}") >= MIN_ROWS) & (F.col(f"s{i}") > 0) for i in range(len(names))}
+    numbers = df.selectExpr(*[f"{number_sql(n)} AS c{i}" for i, n in enumerate(names)])
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         block = pairs[start:start + PAIRS_PER_PASS]
         used = sorted({i for pair in block for i in pair})
-        aggs = [F.count(f"c{i}").alias(f"n{i}") for i in used] + [F.stddev_samp(f"c{i}").alias(f"s{i}") for i in used]
+        aggs = [f"count(c{i}) AS n{i}" for i in used] + [f"stddev_samp(c{i}) AS s{i}" for i in used]
         for i, j in block:
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            aggs.append(F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}"))
-            aggs.append(F.count_if(both).alias(f"b{i}_{j}"))
-        cells = []
-        for i, j in block:
-            value = F.when(F.col(f"b{i}_{j}") >= MIN_ROWS, F.col(f"r{i}_{j}"))
-            cells += [F.lit(i), F.lit(j), F.lit(names[i]), F.lit(names[j]), value, usable[i] & usable[j]]
-        rows = numbers.agg(*aggs).select(
-            F.stack(F.lit(len(block)), *cells).alias("i", "j", "column_a", "column_b", "coefficient", "usable"))
+            aggs.append(f"corr(c{i}, c{j}) AS r{i}_{j}")
+            aggs.append(f"count_if(c{i} IS NOT NULL AND c{j} IS NOT NULL) AS b{i}_{j}")
+        cells = [
+            [str(i), str(j), quoted(names[i]), quoted(names[j]),
+             f"CASE WHEN b{i}_{j} >= {MIN_ROWS} THEN r{i}_{j} END",
+             " AND ".join(f"n{x} >= {MIN_ROWS} AND s{x} > 0" for x in (i, j))]
+            for i, j in block
+        ]
+        rows = numbers.selectExpr(*aggs).selectExpr(
+            stack_rows(cells, ["i", "j", "column_a", "column_b", "coefficient", "usable"]))
         out = rows if out is None else out.unionByName(rows)
     valid = F.when(~F.isnan("coefficient"), F.col("coefficient"))
     return out.where("usable").select("i", "j", "column_a", "column_b", valid.alias("coefficient"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars
+from tallyscope.functions.rows import name_of, quoted, stack_rows
 from tallyscope.operators.columns import col_of, melt, melt_numbers, numeric_columns, row_key, value_key
 from tallyscope.operators.quantiles import exact_quantiles, quantile_columns
 
@@ -23,8 +24,8 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, date: str
     wins, which replaces file order.
     """
     wanted = list(columns) if columns is not None else numeric_columns(df)
-    keep = [col_of(date).cast("timestamp").alias("at")] if date else []
-    keep += [(-col_of(t)).alias(f"tie_{i}") for i, t in enumerate(tie_break)]
+    keep = [f"CAST({name_of(date)} AS TIMESTAMP) AS at"] if date else []
+    keep += [f"-{name_of(t)} AS tie_{i}" for i, t in enumerate(tie_break)]
     long = melt_numbers(df, wanted, keep)
     aggs = [
         F.count("value").alias("count"),
@@ -129,10 +130,8 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     wanted = list(columns) if columns is not None else df.columns
     totals = df.agg(F.count(F.lit(1)).alias("rows"),
                     *[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(wanted)])
-    cells = []
-    for i, name in enumerate(wanted):
-        cells += [F.lit(i), F.lit(name), F.col("rows") - F.col(f"n{i}")]
-    long = totals.select("rows", F.stack(F.lit(len(wanted)), *cells).alias("ord", "column_name", "missing_count"))
+    cells = [[str(i), quoted(name), f"rows - n{i}"] for i, name in enumerate(wanted)]
+    long = totals.selectExpr("rows", stack_rows(cells, ["ord", "column_name", "missing_count"]))
     ratio = F.when(F.col("rows") > 0, F.col("missing_count") / F.col("rows")).otherwise(0.0)
     return long.withColumn("missing_ratio", F.round(ratio, 6)).orderBy(F.desc("missing_count"), "ord")
 
