@@ -70,16 +70,20 @@ def phrase_pattern(phrase: str, end: str = r"[\s_\-]") -> str:
     return rf"(?i)(?:^|[\s_\-]){body}(?:$|{end})"
 
 
-def column_patterns(metric: Metric) -> list[str]:
-    return [phrase_pattern(a) for a in metric.aliases]
+QUESTION_END = r"[\s_\-\?\.\!,]"
 
 
-def excluded_patterns(metric: Metric) -> list[str]:
-    return [phrase_pattern(a) for a in metric.excluded]
+def column_phrases(metric: Metric) -> list[tuple[str, str]]:
+    """(phrase, pattern) of the names standing for a metric."""
+    return [(a, phrase_pattern(a)) for a in metric.aliases]
 
 
-def question_patterns(metric: Metric) -> list[str]:
-    return column_patterns(metric) + [phrase_pattern(a, r"[\s_\-\?\.\!,]") for a in metric.question_aliases]
+def excluded_phrases(metric: Metric) -> list[tuple[str, str]]:
+    return [(a, phrase_pattern(a)) for a in metric.excluded]
+
+
+def question_phrases(metric: Metric) -> list[tuple[str, str]]:
+    return column_phrases(metric) + [(a, phrase_pattern(a, QUESTION_END)) for a in metric.question_aliases]
 
 
 def metric_dimension(spark: SparkSession, metrics: list[Metric] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import vocab
 from tallyscope.functions.registry import (
-    METRICS, Metric, column_patterns, excluded_patterns, with_metric,
+    METRICS, Metric, column_phrases, excluded_phrases, with_metric,
 )
 from tallyscope.functions.rows import literal_rows, name_of, quoted
 from tallyscope.operators.columns import melt_numbers, numeric_columns
@@ -17,35 +17,53 @@ from tallyscope.operators.columns import melt_numbers, numeric_columns
 PERIODIC_MAX_ROWS = 60
 
 
-def match_length_sql(key: str, pattern: str) -> str:
-    """Characters matched by the first hit of the pattern, NULL without a hit."""
-    return f"nullif(length(regexp_extract({key}, {quoted(pattern)}, 0)), 0)"
-
-
 def any_of(patterns: Sequence[str]) -> str:
     """One pattern that hits when any of the patterns does."""
     return "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in patterns)
 
 
+def padded(text: str) -> str:
+    return f"concat(' ', {name_of(text)}, ' ')"
+
+
+def _mentions_sql(text: str, phrase: str) -> str:
+    """Cheap necessary condition: the longest word of the phrase occurs."""
+    return f"contains(lower({name_of(text)}), {quoted(max(phrase.split(), key=len))})"
+
+
+def match_length_sql(text: str, phrase: str, pattern: str) -> str:
+    """Characters matched by the first hit of the pattern, NULL without a hit.
+
+    Plain substring search settles almost every phrase; the regular expression
+    runs only where its longest word is present.
+    """
+    hit = f"nullif(length(regexp_extract({padded(text)}, {quoted(pattern)}, 0)), 0)"
+    return f"CASE WHEN {_mentions_sql(text, phrase)} THEN {hit} END"
+
+
+def unless_excluded_sql(text: str, metric: Metric, value: str) -> str:
+    if not metric.excluded:
+        return value
+    blocked = " OR ".join(
+        f"({_mentions_sql(text, phrase)} AND {padded(text)} RLIKE {quoted(pattern)})" for phrase, pattern in excluded_phrases(metric))
+    return f"CASE WHEN NOT ({blocked}) THEN {value} END"
+
+
 def match_struct(name: str, metrics: Sequence[Metric] = METRICS) -> Column:
     """Struct(specificity, order, metric_id) of the best metric, or NULL.
 
-    A map-only expression: no row is multiplied by the pattern table.  Names
-    that hit no alias at all are settled by one combined pattern.  Structs
+    A map-only expression: no row is multiplied by the pattern table.  Structs
     compare field by field, so the greatest has the longest match, then the
     first place in the registry.
     """
-    key = f"concat(' ', {name_of(name)}, ' ')"
-    base = [m for m in metrics if not m.is_derived]
     candidates = []
-    for m in base:
-        hit = f"coalesce({', '.join(match_length_sql(key, p) for p in column_patterns(m))})"
-        if m.excluded:
-            hit = f"CASE WHEN NOT {key} RLIKE {quoted(any_of(excluded_patterns(m)))} THEN {hit} END"
+    for m in metrics:
+        if m.is_derived:
+            continue
+        first = f"coalesce({', '.join(match_length_sql(name, ph, pt) for ph, pt in column_phrases(m))})"
+        hit = unless_excluded_sql(name, m, first)
         candidates.append(f"named_struct('specificity', {hit}, 'order', {-m.ord}, 'metric_id', {quoted(m.metric_id)})")
-    anything = any_of([p for m in base for p in column_patterns(m)])
-    best = f"array_max(filter(array({', '.join(candidates)}), c -> c.specificity IS NOT NULL))"
-    return F.expr(f"CASE WHEN {key} RLIKE {quoted(anything)} THEN {best} END")
+    return F.expr(f"array_max(filter(array({', '.join(candidates)}), c -> c.specificity IS NOT NULL))")
 
 
 def match_names(df: DataFrame, name: str, metrics: Sequence[Metric] = METRICS) -> DataFrame:

@@ -34,89 +34,81 @@ def customer_quarters(spark: SparkSession, folder: str) -> DataFrame:
     (customer, quarter) before the customer join: a customer holding a large
     part of all orders reaches that join as one row per quarter.
     """
-    price, kept = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    kept = "l_extendedprice * (1 - l_discount)"
     lines = read(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(price).alias("gross"),
-        F.sum(kept).alias("net"),
-        F.sum(kept * F.col("l_tax")).alias("tax"),
-        F.sum(F.when(F.col("l_returnflag") == "R", price).otherwise(0.0)).alias("returned"),
+        F.expr("sum(l_extendedprice) AS gross"), F.expr(f"sum({kept}) AS net"), F.expr(f"sum({kept} * l_tax) AS tax"),
+        F.expr("sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0D END) AS returned"),
     )
-    orders = read(spark, folder, "orders").select(
+    orders = read(spark, folder, "orders").selectExpr(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
-        F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period_date"),
+        "CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_date")
+    conditions = {
+        "open": "o_orderstatus = 'O'", "partial": "o_orderstatus = 'P'", "filled": "o_orderstatus = 'F'",
+        "pressing": "o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    }
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_custkey", "period_date").agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in ("gross", "net", "tax", "returned")],
+        F.expr("count(1) AS orders"), F.expr("sum(o_totalprice) AS billed"),
+        *[F.expr(f"sum(CASE WHEN {when} THEN o_totalprice ELSE 0D END) AS {name}") for name, when in conditions.items()],
     )
 
-    def total_where(condition):
-        return F.sum(F.when(condition, F.col("o_totalprice")).otherwise(0.0))
 
-    status = F.col("o_orderstatus")
-    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_custkey", "period_date").agg(
-        F.sum("gross").alias("gross"), F.sum("net").alias("net"), F.sum("tax").alias("tax"),
-        F.sum("returned").alias("returned"), F.count(F.lit(1)).alias("orders"),
-        F.sum("o_totalprice").alias("billed"),
-        total_where(status == "O").alias("open"), total_where(status == "P").alias("partial"),
-        total_where(status == "F").alias("filled"),
-        total_where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("pressing"),
-    )
+MONEY = ["gross", "net", "tax", "returned", "billed", "open", "partial", "filled", "pressing"]
 
 
 def nation_quarters(spark: SparkSession, folder: str) -> DataFrame:
-    sums = ["gross", "net", "tax", "returned", "orders", "billed", "open", "partial", "filled", "pressing"]
     customers = read(spark, folder, "customer").select("c_custkey", "c_nationkey")
     by_nation = (
-        customer_quarters(spark, folder).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        customer_quarters(spark, folder).join(customers, F.expr("o_custkey = c_custkey"))
         .groupBy("c_nationkey", "period_date")
-        .agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("customers"))
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in [*MONEY, "orders"]], F.expr("count(1) AS customers"))
     )
-    places = read(spark, folder, "nation").join(
-        read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", "n_name", "r_name")
+    places = read(spark, folder, "nation").join(read(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
     # An assumed price index per nation, so that some nations grow.
-    index = 1.0 + 0.25 * (F.col("n_nationkey") % 5) * (F.year("period_date") - 1995)
-    money = [c for c in sums if c != "orders"]
-    return by_nation.join(places, F.col("c_nationkey") == F.col("n_nationkey")).withColumns(
-        {c: F.col(c) * index for c in money})
+    index = "(1.0D + 0.25D * (n_nationkey % 5) * (year(period_date) - 1995))"
+    return by_nation.join(places, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "n_nationkey", "n_name", "r_name", "period_date", "orders", "customers", *[f"{c} * {index} AS {c}" for c in MONEY])
 
 
 def nation_statements(spark: SparkSession, folder: str) -> DataFrame:
     """(entity_id, region, period_date, statement columns), absent columns NULL."""
-    key, region = F.col("n_nationkey"), F.col("r_name")
-    base = nation_quarters(spark, folder).select(
-        F.col("n_name").alias("entity_id"), region.alias("region"), "period_date", "n_nationkey", "customers", "orders",
-        F.col("net").alias("revenue"), F.col("gross").alias("gross_sales"), "tax",
-        (F.col("gross") * (0.45 + 0.025 * (key % 13))).alias("cogs"),
-        (F.col("gross") * 0.2).alias("operating_expenses"),
-        F.col("open").alias("receivables"), (F.col("returned") * 12.0).alias("inventory"),
-        (F.col("partial") * 20.0 * (key % 5)).alias("debt"),
-        (F.col("net") * (12.0 + 3.0 * (key % 9))).alias("equity"),
-        (F.col("net") * (18.0 + 6.0 * (key % 7))).alias("total_liabilities"),
-        (F.col("filled") * (2.0 + 1.2 * (key % 6))).alias("current_liabilities"),
-        "billed", "open", "pressing",
+    base = nation_quarters(spark, folder).selectExpr(
+        "n_name AS entity_id", "r_name AS region", "period_date", "n_nationkey AS k", "customers", "orders",
+        "net AS revenue", "gross AS gross_sales", "tax", "billed", "open", "pressing",
+        "gross * (0.45D + 0.025D * (n_nationkey % 13)) AS cogs",
+        "gross * 0.2D AS operating_expenses",
+        "open AS receivables",
+        "returned * 12D AS inventory",
+        "partial * 20D * (n_nationkey % 5) AS debt",
+        "net * (12D + 3D * (n_nationkey % 9)) AS equity",
+        "net * (18D + 6D * (n_nationkey % 7)) AS total_liabilities",
+        "filled * (2D + 1.2D * (n_nationkey % 6)) AS current_liabilities",
+    ).selectExpr(
+        "*",
+        "revenue - cogs - operating_expenses - tax AS net_profit",
+        "region IN ('AFRICA', 'EUROPE') AS bank",
+        "operating_expenses * (1.2D + 0.1D * (k % 7)) AS nii",
+        "billed * (1.2D + 0.1D * (k % 8)) AS lent",
+    ).selectExpr(
+        "*",
+        # One row per quarter of a nation: the running sum is over its calendar.
+        "sum(net_profit) OVER (PARTITION BY entity_id ORDER BY period_date ROWS UNBOUNDED PRECEDING) AS cash",
+        "CASE WHEN region <> 'ASIA' THEN revenue - cogs - operating_expenses END AS operating_profit",
+        "debt * 0.002D AS interest_expense",
+        "total_liabilities + equity AS total_assets",
+        "receivables * 3D + inventory * 0.1D AS current_assets",
+        "customers * 3 AS headcount",
+        "CASE WHEN region = 'AMERICA' THEN net_profit - 0.1D * revenue END AS free_cash_flow",
+        "CASE WHEN bank THEN billed * 2D END AS deposits",
+        "CASE WHEN bank THEN pressing * 2D END AS casa",
+        "CASE WHEN bank THEN lent END AS loans",
+        "CASE WHEN bank THEN nii END AS net_interest_income",
+        "CASE WHEN bank THEN nii * 0.1D END AS non_interest_income",
+        "CASE WHEN bank THEN lent * 0.01D * (k % 10) END AS gross_npa",
+        "CASE WHEN bank THEN lent * 0.006D * (k % 10) END AS provisions",
+        "CASE WHEN bank THEN open / billed * 100D END AS capital_ratio",
     )
-    profit = F.col("revenue") - F.col("cogs") - F.col("operating_expenses") - F.col("tax")
-    to_date = Window.partitionBy("entity_id").orderBy("period_date")  # one row per quarter
-    nii = F.col("operating_expenses") * (1.2 + 0.1 * (key % 7))
-    loans = F.col("billed") * (1.2 + 0.1 * (key % 8))
-    npa = loans * (0.01 * (key % 10))
-    bank = F.col("region").isin("AFRICA", "EUROPE")
-    full = base.withColumns({
-        "net_profit": profit,
-        "operating_profit": F.when(F.col("region") != "ASIA", F.col("revenue") - F.col("cogs") - F.col("operating_expenses")),
-        "interest_expense": F.col("debt") * 0.002,
-        "total_assets": F.col("total_liabilities") + F.col("equity"),
-        "current_assets": F.col("receivables") * 3.0 + F.col("inventory") * 0.1,
-        "headcount": F.col("customers") * 3,
-        "free_cash_flow": F.when(F.col("region") == "AMERICA", profit - 0.1 * F.col("revenue")),
-        "deposits": F.when(bank, F.col("billed") * 2.0),
-        "casa": F.when(bank, F.col("pressing") * 2.0),
-        "loans": F.when(bank, loans),
-        "net_interest_income": F.when(bank, nii),
-        "non_interest_income": F.when(bank, nii * 0.1),
-        "gross_npa": F.when(bank, npa),
-        "provisions": F.when(bank, npa * 0.6),
-        "capital_ratio": F.when(bank, F.col("open") / F.col("billed") * 100.0),
-    }).withColumn("cash", F.sum("net_profit").over(to_date))
-    return full.select("entity_id", "region", "period_date", *[F.col(c).cast("double").alias(c) for c in STATEMENT_COLUMNS])
+    return base.selectExpr("entity_id", "region", "period_date", *[f"CAST({c} AS DOUBLE) AS {c}" for c in STATEMENT_COLUMNS])
 
 
 def with_markets(nations: DataFrame) -> DataFrame:
@@ -126,7 +118,7 @@ def with_markets(nations: DataFrame) -> DataFrame:
     gives both (the mean of a single row is the row).
     """
     members = nations.withColumn("entity_id", F.explode(F.array("entity_id", F.concat(F.lit("MARKET_"), F.col("region")))))
-    return members.groupBy("entity_id", "region", "period_date").agg(*[F.avg(c).alias(c) for c in STATEMENT_COLUMNS])
+    return members.groupBy("entity_id", "region", "period_date").agg(*[F.expr(f"avg({c}) AS {c}") for c in STATEMENT_COLUMNS])
 
 
 def statements(spark: SparkSession, folder: str) -> DataFrame:

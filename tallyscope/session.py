@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every Column call costs milliseconds
+    # per expression and dominates plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
