@@ -105,18 +105,23 @@ def grade(score: Column) -> Column:
     return stepwise(score, vocab.GRADES, "F")
 
 
+def _shown(pattern: str, value: Column, places: int) -> Column:
+    # Halves go to the even digit first: formatting alone would round them up.
+    return F.format_string(pattern, F.bround(value, places))
+
+
 def signed(value: Column, places: int) -> Column:
     """Always with a sign, thousands not separated."""
-    return F.format_string(f"%+.{places}f", value)
+    return _shown(f"%+.{places}f", value, places)
 
 
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", value)
+    return _shown(f"%.{places}f", value, places)
 
 
 def grouped(value: Column, places: int) -> Column:
     """Thousands separated by commas."""
-    return F.format_string(f"%,.{places}f", value)
+    return _shown(f"%,.{places}f", value, places)
 
 
 def format_value(value: Column, unit: Column) -> Column:

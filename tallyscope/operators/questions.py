@@ -231,7 +231,9 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
     written once: pattern matching is the costly step, memory only reads it.
     """
     keys = [conversation]
-    slots = materialize(resolve_slots(questions, text), "question-slots")
+    found = resolve_slots(questions, text).withColumn(
+        "named_entity", F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity")))
+    slots = materialize(found, "question-slots")
     if "has_history" not in questions.columns:
         marked = carry_forward(slots, keys, turn, {"seen": F.lit(1)}, chunk)
         slots = marked.withColumn("has_history", F.col("seen").isNotNull()).drop("seen")
@@ -240,10 +242,9 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
     def when_allowed(value: Column) -> Column:
         return F.when(F.col("allowed"), value)
 
-    named_entity = F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity"))
     known = carry_forward(judged, keys, turn, {
         "last_metric": when_allowed(F.col("own_metric")), "last_period": when_allowed(F.col("own_period")),
-        "last_entity": when_allowed(named_entity),
+        "last_entity": when_allowed(F.col("named_entity")),
     }, chunk)
     ratio_ids = [m.metric_id for m in METRICS if m.is_derived]
     filled = known.withColumns({
@@ -251,7 +252,7 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
         "period": F.when(F.size("periods") > 0, F.col("own_period")).when(F.col("is_followup"), F.col("last_period")),
         "period_count": F.when(F.size("periods") > 0, F.size("periods")).when(
             F.col("is_followup") & F.col("last_period").isNotNull(), 1).otherwise(0),
-        "entity": F.coalesce(named_entity, F.col("last_entity"), F.lit("primary")),
+        "entity": F.coalesce("named_entity", "last_entity", F.lit("primary")),
     }).withColumn("is_ratio", F.coalesce(F.col("metric_id").isin(ratio_ids), F.lit(False)))
     intents = filled.withColumn("own_intent", F.when(
         F.col("allowed"), own_intent("normalized", "metric_id", "is_ratio", "period_count", "entity")).otherwise("unrelated"))
@@ -260,11 +261,11 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
         "intent": F.coalesce("own_intent", "last_intent", F.lit("unsupported")),
         "used_context": (F.col("own_metric").isNull() & F.col("last_metric").isNotNull())
         | ((F.size("periods") == 0) & F.col("is_followup") & F.col("last_period").isNotNull())
-        | (named_entity.isNull() & F.coalesce(F.col("last_entity") != "primary", F.lit(False))),
+        | (F.col("named_entity").isNull() & F.coalesce(F.col("last_entity") != "primary", F.lit(False))),
         "aggregation": aggregation_hint("normalized", "period_count"),
         "comparison": comparison_hint("normalized"),
         "subjects": subject_hints("normalized"),
-    }).drop("own_intent", "last_intent", "entity_hinted", "is_ratio")
+    }).drop("own_intent", "last_intent", "entity_hinted", "named_entity", "is_ratio")
 
 
 # --- derived question table ---------------------------------------------------
