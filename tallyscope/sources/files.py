@@ -188,20 +188,15 @@ def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     so nothing is lost silently.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    valid = F.try_parse_json("line").isNotNull()
+    rejected = lines.where(~valid)
     is_object = F.col("line").startswith("{")
-    parsed = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    number = F.col("line").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
-    scalar = number | F.col("line").isin("true", "false", "null") | F.col("line").rlike(r'^"([^"\\]|\\.)*"$')
-    plain = lines.where(~is_object & scalar).select(F.regexp_replace("line", '^"|"$', "").alias("value"))
-    if CORRUPT in parsed.columns:
-        good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        rejected = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")).where(
-            ~(F.col("line").rlike(r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$") | F.trim("line").isin("true", "false", "null") | F.col("line").rlike(r'^\s*"([^"\\]|\\.)*"\s*$')))
-    else:
-        good, rejected = parsed, lines.where(F.lit(False))
-    if not good.columns:
+    inferred = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path).schema
+    schema = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
+    plain = lines.where(valid & ~is_object).select(F.regexp_replace("line", '^"|"$', "").alias("value"))
+    if not schema.fields:
         return plain, rejected
-    rows = flatten(good).dropna(how="all")
+    rows = flatten(lines.where(valid & is_object).select(F.from_json("line", schema).alias("r")).select("r.*"))
     if "value" not in rows.columns and plain.limit(1).collect():
         rows = rows.unionByName(plain, allowMissingColumns=True)
     return rows, rejected

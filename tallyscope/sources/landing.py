@@ -20,7 +20,11 @@ HEADER_BYTES = 4096
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, modified) of every file below the folder; no content is read."""
+    """(path, length, modified) of every file below the folder; no content is read.
+
+    Spark's listing leaves out files of zero bytes: ``check_files`` reports
+    them only for listings from elsewhere.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
@@ -46,7 +50,7 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     try:
                         names = zipfile.ZipFile(f).namelist()
                         book = "[Content_Types].xml" in names and any(n.startswith("xl/") for n in names)
-                    except (zipfile.BadZipFile, OSError):
+                    except (zipfile.BadZipFile, OSError, ValueError):
                         book = False
             heads.append(head)
             tails.append(tail)
@@ -66,7 +70,7 @@ def detect_formats(files: DataFrame) -> DataFrame:
     # --- fixed values: signatures and reasons ---
     shaped = peeked.selectExpr(
         "path", "length", "is_workbook", f"{extension()} AS ext", "hex(header) AS head", "hex(footer) AS foot",
-        "trim(BOTH '﻿ \t\r\n' FROM decode(header, 'UTF-8')) AS body",
+        "trim(BOTH '﻿ \t\r\n' FROM make_valid_utf8(CAST(header AS STRING))) AS body",
     ).selectExpr(
         "*", "filter(split(body, '\\r\\n|\\r|\\n'), l -> trim(l) <> '') AS lines", f"{by_extension} AS named",
     ).selectExpr(
@@ -112,7 +116,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if not info.is_dir():
                             link = ((info.external_attr >> 16) & 0o170000) == 0o120000
                             out.append((path, i, info.filename, info.file_size, info.compress_size, link, False))
-            except (zipfile.BadZipFile, OSError):
+            except (zipfile.BadZipFile, OSError, ValueError):
                 out = [(path, 0, None, 0, 0, False, True)]
             yield pd.DataFrame(out, columns=columns)
 

@@ -2,64 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyscope.functions import vocab
 from tallyscope.operators.questions import resolve_slots
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "conv_id bigint, turn bigint, metric_id string, period string, entity string, remembered int"
-STATE = "metric_id string, period string, entity string"
+STATE = "metric_id string, period string, entity string, turns array<bigint>"
 
 
-class SlotMemory(StatefulProcessor):
-    """Last metric, period and entity of each conversation, and its last turns.
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
 
-    State expires after six idle hours.  It is one small row per conversation
-    plus at most 20 remembered turns, whatever the length of the conversation.
-    """
-
-    def __init__(self, idle_seconds: int = vocab.SESSION_IDLE_SECONDS, history: int = vocab.SESSION_HISTORY) -> None:
-        self.idle_ms = idle_seconds * 1000
-        self.history = history
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slots = handle.getValueState("slots", STATE, ttlDurationMs=self.idle_ms)
-        self.turns = handle.getValueState("turns", "turns array<bigint>", ttlDurationMs=self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        metric, period, entity = self.slots.get() if self.slots.exists() else (None, None, None)
-        turns = list(self.turns.get()[0]) if self.turns.exists() else []
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("turn").itertuples(index=False):
-                own_metric = r.own_metric if isinstance(r.own_metric, str) else None
-                own_period = r.own_period if isinstance(r.own_period, str) else None
-                named = r.named_entity if isinstance(r.named_entity, str) else None
-                shown_period = own_period or (period if r.is_followup else None)
-                metric, period, entity = own_metric or metric, own_period or period, named or entity
-                turns = [*turns, int(r.turn)][-self.history:]
-                out.append((key[0], int(r.turn), metric, shown_period, entity or "primary", len(turns)))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "metric_id", "period", "entity", "remembered"])
-        self.slots.update((metric, period, entity))
-        self.turns.update((turns,))
+def slot_memory(idle_seconds: int, history: int) -> Callable:
+    """State update of one conversation: last metric, period, entity and last turns.
 
-    def close(self) -> None:
-        pass
-
-
-def remember_slots(questions: DataFrame, idle_seconds: int = vocab.SESSION_IDLE_SECONDS) -> DataFrame:
+    The state is one small row with at most ``history`` turns, whatever the
+    length of the conversation; it is dropped after the idle time.
+    """
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        metric, period, entity, turns = state.get if state.exists else (None, None, None, [])
+        turns = list(turns)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("turn")
+        out = []
+        for r in rows.itertuples(index=False):
+            own_period = _text(r.own_period)
+            shown_period = own_period or (period if r.is_followup else None)
+            metric, period = _text(r.own_metric) or metric, own_period or period
+            entity = _text(r.named_entity) or entity
+            turns = [*turns, int(r.turn)][-history:]
+            out.append((key[0], int(r.turn), metric, shown_period, entity or "primary", len(turns)))
+        state.update((metric, period, entity, turns))
+        state.setTimeoutDuration(idle_seconds * 1000)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "metric_id", "period", "entity", "remembered"])
+
+    return update
+
+
+def remember_slots(questions: DataFrame, idle_seconds: int = vocab.SESSION_IDLE_SECONDS, history: int = vocab.SESSION_HISTORY) -> DataFrame:
     """Stream of questions (conv_id, turn, text) with remembered slots filled in.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Finding the slots is a map-only step; only the few slot columns reach the
+    state operator, which is keyed by conversation.
     """
     named = F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity"))
     slots = resolve_slots(questions).select(
         "conv_id", "turn", "own_metric", F.col("own_period.label").alias("own_period"), named.alias("named_entity"), "is_followup")
-    return slots.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=SlotMemory(idle_seconds), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return slots.groupBy("conv_id").applyInPandasWithState(
+        slot_memory(idle_seconds, history), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -17,7 +17,6 @@ def spark(tmp_path_factory):
         "4", "tests", **{
             "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
-            "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         })
     yield session
     session.stop()
