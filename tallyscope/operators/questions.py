@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
 from tallyscope.functions.registry import METRICS, Metric, question_phrases
-from tallyscope.functions.rows import materialize, name_of, quoted
+from tallyscope.functions.rows import materialize, name_of, quoted, spread
 from tallyscope.operators.metrics import match_length_sql, unless_excluded_sql
 from tallyscope.operators.ordered import CHUNK, carry_forward
 
@@ -231,7 +231,7 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
     written once: pattern matching is the costly step, memory only reads it.
     """
     keys = [conversation]
-    found = resolve_slots(questions, text).withColumn(
+    found = resolve_slots(spread(questions), text).withColumn(
         "named_entity", F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity")))
     slots = materialize(found, "question-slots")
     if "has_history" not in questions.columns:

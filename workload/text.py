@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
 from tallyscope.functions.registry import METRICS, question_phrases
+from tallyscope.functions.rows import spread
 from tallyscope.operators import metrics, questions
 from tallyscope.plans.statements import read
 from workload import finance_sql
@@ -42,7 +43,7 @@ def asked(spark, folder):
 
 
 def clean(spark, folder):
-    return asked(spark, folder).withColumn("t", scalars.collapse_spaces(F.col("text")))
+    return spread(asked(spark, folder)).withColumn("t", scalars.collapse_spaces(F.col("text")))
 
 
 @query("question_metrics", with_steps(
