@@ -71,8 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before CPU-heavy expressions.
 
-    Only where the input comes in fewer partitions than there are cores (one
-    small file); a large input already has more and is not shuffled.
+    For plain scans.  Only where they come in fewer partitions than there are
+    cores (one small file); a large input already has more and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,9 +24,10 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     is_text = F.col("kind") == "string"
     text = F.when(is_text, F.col("txt"))
     word = F.lower(F.trim("txt"))
-    cells = melt(df, columns).select(
+    cells = melt(df, columns, float_text=False).select(
         "ord", "column_name", "kind", "txt", "num", "ts",
-        value_key(F.col("txt")).alias("key"),
+        F.when(is_text, value_key(F.col("txt"))).otherwise(F.col("txt")).alias("key"),
+        F.when(F.col("kind") == "float", F.col("num")).otherwise(0.0).alias("float_key"),
         F.length(text).alias("len"),
         F.when(is_text, F.when(scalars.is_boolean_word(F.col("txt")), word).otherwise("other")).alias("word"),
         F.when(is_text & F.col("txt").isNotNull(),
@@ -36,7 +37,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return cells.groupBy("ord", "column_name", "kind").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("txt").alias("non_null"),
-        F.count_distinct("key").alias("unique_count"),
+        F.count_distinct("key", "float_key").alias("unique_count"),
         F.avg("len").alias("avg_length"),
         F.min("len").alias("min_length"),
         F.max("len").alias("max_length"),

@@ -82,8 +82,12 @@ def text_sql(column: str, kind: str) -> str:
     return f"CAST({name_of(column)} AS STRING)"
 
 
-def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(ord, column_name, kind, txt, num, ts) for every cell of the columns."""
+def melt(df: DataFrame, columns: Sequence[str] | None = None, float_text: bool = True) -> DataFrame:
+    """(ord, column_name, kind, txt, num, ts) for every cell of the columns.
+
+    Without ``float_text`` the text of a float is only empty or NULL: printing
+    doubles is slow and their number identifies them.
+    """
     wanted = list(columns) if columns is not None else df.columns
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     cells = []
@@ -91,7 +95,8 @@ def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         kind = kinds[name]
         number = number_sql(name) if kind in ("integer", "float") else "CAST(NULL AS DOUBLE)"
         moment = f"CAST({name_of(name)} AS TIMESTAMP)" if kind in ("date", "timestamp") else "CAST(NULL AS TIMESTAMP)"
-        cells.append([str(ord_), quoted(name), quoted(kind), text_sql(name, kind), number, moment])
+        shown = f"CASE WHEN {number} IS NOT NULL THEN '' END" if kind == "float" and not float_text else text_sql(name, kind)
+        cells.append([str(ord_), quoted(name), quoted(kind), shown, number, moment])
     return df.selectExpr(stack_rows(cells, ["ord", "column_name", "kind", "txt", "num", "ts"]))
 
 

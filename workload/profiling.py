@@ -8,10 +8,19 @@ from tallyscope.functions import scalars, vocab
 from tallyscope.operators import checks, classes, correlation, distributions, quality, summaries
 from tallyscope.operators.ordered import idle_sessions
 from tallyscope.plans.profile import TableProfile
-from tallyscope.plans.statements import nation_statements, read
+from tallyscope.functions.rows import spread
+from tallyscope.plans.statements import nation_statements
+from tallyscope.plans.statements import read as scan
 from workload.catalog import query, rounded, step, text, texts, with_steps
 from workload import finance_sql  # noqa: F401  (registers the statement steps)
 
+
+
+def read(spark, folder, table):
+    """A given table, spread over the cores where it is one small file."""
+    return spread(scan(spark, folder, table))
+
+
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 # Orders with gaps, tokens and uneven spellings: there are no gaps in the tables as given.

@@ -39,11 +39,11 @@ step("mentions", "SELECT t, s.metric_id, s.mord, max(length(regexp_extract(conca
 
 
 def asked(spark, folder):
-    return questions.derived_questions(read(spark, folder, "orders"))
+    return spread(questions.derived_questions(read(spark, folder, "orders")))
 
 
 def clean(spark, folder):
-    return spread(asked(spark, folder)).withColumn("t", scalars.collapse_spaces(F.col("text")))
+    return asked(spark, folder).withColumn("t", scalars.collapse_spaces(F.col("text")))
 
 
 @query("question_metrics", with_steps(
