@@ -35,7 +35,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         used = sorted({i for pair in block for i in pair})
         aggs = [f"count(c{i}) AS n{i}" for i in used] + [f"stddev_samp(c{i}) AS s{i}" for i in used]
         for i, j in block:
-            aggs.append(f"corr(c{i}, c{j}) AS r{i}_{j}")
+            # ``corr`` itself fails on a side without spread in ANSI mode.
+            spread = f"sqrt(regr_sxx(c{j}, c{i}) * regr_syy(c{j}, c{i}))"
+            aggs.append(f"CASE WHEN {spread} > 0 THEN greatest(-1D, least(1D, regr_sxy(c{j}, c{i}) / {spread})) END AS r{i}_{j}")
             aggs.append(f"count_if(c{i} IS NOT NULL AND c{j} IS NOT NULL) AS b{i}_{j}")
         cells = [
             [str(i), str(j), quoted(names[i]), quoted(names[j]),
