@@ -53,11 +53,14 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     five = four.withColumn("n_repeat_words", F.expr(
         "coalesce(aggregate(_places, struct(-3 AS last, 0L AS total), (a, p) -> struct(p AS last, a.total + least(3, p - a.last) AS total), a -> a.total), 0L)"))
     chars, n = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    return five.withColumns({
+    facts = {
+        **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
         "word_length": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / chars,
         "line_repeats": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)), "window_repeats": F.col("n_repeat_words") / n,
         "capital_share": F.col("_capitals") / chars, "bang_share": F.col("_bangs") / chars, "digit_share": F.col("_digits") / chars,
-    }).drop("_text", "_words", "_lines", "_windows", "_capitals", "_bangs", "_digits", "_sorted", "_places")
+    }
+    # One generated row per text: a filter on the facts would otherwise be pushed below and repeat every expression.
+    return five.select(*[F.col(f"`{c}`") for c in docs.columns if c not in facts], F.inline(F.array(F.struct(*[e.alias(c) for c, e in facts.items()]))))
 
 
 def base_failed() -> Column:
