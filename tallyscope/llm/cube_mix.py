@@ -33,7 +33,7 @@ from tallyscope.llm.common import WORD
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-BUCKET_UNITS = 20_000
+BUCKET_UNITS = 4_000
 LAST_UNITS = 20_000
 HELD_BACK = 40
 _OPEN = 1e-9

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[T
     """
     wanted = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # bounded by ``rows``
-    found = with_statistics(known).select("_quality", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fold"), *[F.col(c).cast("double") for c in FEATURES]).limit(4 * rows).collect()
+    found = with_statistics(known).select("_quality", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fold"), *[F.col(c).cast("double") for c in FEATURES], "doc_id").dropDuplicates(["doc_id"]).drop("doc_id").collect()
     if not found:
         return []
     x = np.array([r[2:] for r in found], dtype=np.float64)
