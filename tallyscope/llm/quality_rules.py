@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import BLANKS, WORD, words_of
+from tallyscope.llm.common import WORD, words_of
 
 #: Bound of the labelled rows that a list is fitted on, taken by hash of the id.
 FIT_ROWS = 20_000
@@ -35,7 +35,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     one = docs.withColumns({"_text": t, "_words": words_of(F.col(text))})
     two = one.withColumns({
         "n_words": F.size("_words").cast("bigint"),
-        "word_chars": F.char_length(F.regexp_replace("_text", BLANKS, "")).cast("bigint"),
+        "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
         "n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("bigint"),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)),
         "_windows": F.expr("transform(slice(_words, 1, greatest(size(_words) - 2, 0)), (w, i) -> xxhash64(w, get(_words, i + 1), get(_words, i + 2)))"),
@@ -48,10 +48,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.expr("cast(size(_lines) - size(array_distinct(_lines)) AS bigint)"),
         "_sorted": F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN sort_array(transform(_windows, (h, i) -> struct(h, i))) END"),
     })
-    four = three.withColumn("_places", F.expr(
-        "sort_array(transform(filter(transform(_sorted, (x, k) -> struct(x.i AS i, get(_sorted, k - 1).h <=> x.h OR get(_sorted, k + 1).h <=> x.h AS twice)), x -> x.twice), x -> x.i))"))
-    five = four.withColumn("n_repeat_words", F.expr(
-        "coalesce(aggregate(_places, struct(-3 AS last, 0L AS total), (a, p) -> struct(p AS last, a.total + least(3, p - a.last) AS total), a -> a.total), 0L)"))
+    four = three.withColumn("_places", F.expr("filter(transform(_sorted, (x, k) -> CASE WHEN get(_sorted, k - 1).h <=> x.h OR get(_sorted, k + 1).h <=> x.h THEN x.i END), i -> i IS NOT NULL)"))
+    five = four.withColumn("n_repeat_words", F.expr("cast(CASE WHEN _places IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(_places, i -> array(i, i + 1, i + 2))))) END AS bigint)"))
     chars, n = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     facts = {
         **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
