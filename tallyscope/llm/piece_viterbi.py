@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bound of each table of remembered parts and pairs; a full one is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _PART = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
