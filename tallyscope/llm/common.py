@@ -42,7 +42,12 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word of a text, A-Z lower-cased, in order.
+    """A 64-bit hash of every word of a text, A-Z lower-cased, in order."""
+    return hashed_words(text, lower)[0]
+
+
+def hashed_words(text: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a text.
 
     Words are read eight bytes at a time from all word starts at once; the few
     words over 64 bytes are hashed one by one.
@@ -59,7 +64,7 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), starts
     length = ends - starts
     blocks = np.ndarray((size + 9,), dtype="<u8", buffer=raw.data, strides=(1,))
     out = mix(length.astype(np.uint64))
@@ -73,7 +78,7 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
         active = active[left > 8]
     for i in active.tolist():
         out[i] = xxhash.xxh64_intdigest(raw[starts[i]:ends[i]].tobytes())
-    return out
+    return out, starts
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:

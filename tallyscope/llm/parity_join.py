@@ -86,9 +86,21 @@ def block_keys(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bit_sketch(values: np.ndarray, bits: int) -> np.ndarray:
-    """Parity of the shingles per bit: the Hamming distance of two sketches is at most the symmetric difference."""
-    return np.bincount((mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+def bit_sketch(values: np.ndarray) -> bytes:
+    """Parity of the shingles per bit, for a power of two of bits, at least two for each shingle."""
+    bits = 1 << (2 * len(values) - 1).bit_length() if len(values) > 4 else 8
+    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two sketches, the longer one folded: at most the symmetric difference of the sets."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,22 +116,24 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if often.any():
                 k = int(often.sum())
                 nothing = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(k, pa.binary()), pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
 
-    names, seen = ["doc_id", "text_hash", "n", "set_id", "shingle", "documents"], set()
+    names, seen = ["doc_id", "text_hash", "n", "set_id", "sketch", "shingle", "documents"], set()
     for batch in batches:
-        ns, ids = [], []
+        ns, ids, sketches = [], [], []
         for text in texts_of(batch.column("text")):
             values = shingles(word_hashes(text))
             ns.append(len(values))
             ids.append(set_id(values))
+            sketches.append(None)
             if len(values) and ids[-1] not in seen:
                 seen.add(ids[-1])
+                sketches[-1] = bit_sketch(values)
                 held.append(values)
                 documents += 1
                 yield from frequent(False)
         nothing = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), nothing, nothing], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), nothing, nothing], names=names)
     yield from frequent(True)
 
 
@@ -212,19 +226,25 @@ def _later_round(low: int, high: int):
     return pairs
 
 
+def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link."""
+    for batch in batches:
+        yield _kept(batch, [7 * hamming(x, y) <= n + m for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")))])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))
         keep, last, values = [], None, None
-        for one, other in zip(left, right):
-            if one is not last:
+        for one, other in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))):
+            if one != last:
                 last, values = one, shingles(word_hashes(one))
-            against = shingles(word_hashes(other))
-            bits = len(values) + len(against)
-            near = np.count_nonzero(bit_sketch(values, bits) != bit_sketch(against, bits)) * 7 <= bits
-            keep.append(near and linked(values, against))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            keep.append(linked(values, shingles(word_hashes(other))))
+        yield _kept(batch, keep)
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -235,12 +255,12 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    facts = materialize(docs.mapInArrow(_describe, "doc_id bigint, text_hash bigint, n bigint, set_id bigint, shingle bigint, documents bigint"), "facts")
+    facts = materialize(docs.mapInArrow(_describe, "doc_id bigint, text_hash bigint, n bigint, set_id bigint, sketch binary, shingle bigint, documents bigint"), "facts")
     often = facts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("documents").alias("documents")).orderBy(F.desc("documents"), "shingle").limit(FREQUENT_SHINGLES)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("shingle").collect()], dtype=np.int64).view(np.uint64)))
     rows = facts.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "set_id")
-    sets = materialize(rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select(
-        "set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "sets")
+    sets = materialize(facts.where("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.max("sketch").alias("sketch"), F.max("n").alias("n")).select(
+        "set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "sketch", "n"), "sets")
 
     keyed = docs.select("text").mapInArrow(_emit(frequent), "key bigint, set_id bigint, n int")
     found = materialize(keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_first_round, "key bigint, a bigint, b bigint, n int"), "found")
@@ -254,7 +274,13 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         side = side.select("set_id", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
         return docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that their sketches do not rule out."""
+        side = lambda x: sets.select(F.col("set_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a bigint, b bigint")
+
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(close(pairs), "close")
         text = texts(pairs)
         # A text with many rows is that of repeated rows: one is enough.
         text = materialize(text.dropDuplicates(["set_id"]), "texts")

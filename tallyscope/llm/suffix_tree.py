@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize
-from tallyscope.llm.common import Rows, mix, texts_of, word_hashes
+from tallyscope.llm.common import Rows, hashed_words, mix, texts_of
 
 HOT_SHARE = 1e-5
 LEAST_SHARE = 1e-4
@@ -43,7 +43,7 @@ LEAST_SHARE = 1e-4
 LEAST_SYMBOL_SHARE = 1e-6
 DEPTH = 3
 RARE, START, END, FIRST_WORD = 0, 1, 2, 3
-BYTES_AT_ONCE, WORDS_AT_ONCE = 2_000_000, 2_000_000
+BYTES_AT_ONCE, WORDS_AT_ONCE = 500_000, 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -59,8 +59,9 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         while end < len(texts) and (end == begin or size + len(texts[end]) <= BYTES_AT_ONCE):
             size += len(texts[end])
             end += 1
-        parts = [word_hashes(t) for t in texts[begin:end]]
-        yield begin, end, np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        words, starts = hashed_words(b" ".join(texts[begin:end]))
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[begin:end]), dtype=np.int64, count=end - begin))
+        yield begin, end, words, np.diff(np.searchsorted(starts, ends), prepend=0)
         begin = end
 
 
