@@ -200,27 +200,46 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = (key[begin:begin + 2], sets[begin:begin + 2], n[begin:begin + 2])
 
 
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of ``size`` bytes."""
+    out = []
+    for x in (np.frombuffer(v, dtype=np.uint8) for v in sketches):
+        while len(x) > size:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out.append(x)
+    return np.stack(out)
+
+
 def _later_round(low: int, high: int):
-    """Pairs of the sets at ranks low..high-1 of each key with all later ones, where components differ."""
+    """Pairs of the sets at ranks low..high-1 of each key with all later ones, where components differ and sketches allow a link.
+
+    Sketches are compared where the sets of a key meet, so unlike sets that share a block make no rows.
+    """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(["a", "b"])
         open_key, rank, leaders = None, 0, []
         for batch in batches:
             key, sets, n, label = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label"))
+            sketches = batch.column("sketch").to_pylist()
             starts = stored_runs(key)
-            for begin, end in zip(starts, np.append(starts[1:], len(key))):
+            for begin, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
                 if key[begin] != open_key:
                     open_key, rank, leaders = key[begin], 0, []
                 for i in range(begin, min(end, begin + max(0, high - rank))):
                     if rank + i - begin >= low:
-                        leaders.append((rank + i - begin, sets[i], n[i], label[i]))
-                for at, lead, size, own in leaders:
-                    start = begin + max(0, at + 1 - rank)
-                    if start < end:
-                        ok = (label[start:end] != own) & _fits(n[start:end], np.int32(size))
-                        found = sets[start:end][ok]
-                        rows.add(np.full(len(found), lead), found)
-                        yield from rows.ready()
+                        leaders.append((rank + i - begin, sets[i], n[i], label[i], sketches[i]))
+                if leaders:
+                    size = min(min(map(len, sketches[begin:end])), min(len(x[4]) for x in leaders))
+                    own = _folded(sketches[begin:end], size)
+                    for at, lead, count, mark, sketch in leaders:
+                        start = max(0, at + 1 - rank)
+                        ok = (label[begin + start:end] != mark) & _fits(n[begin + start:end], np.int32(count))
+                        if ok.any():
+                            near = np.bitwise_count(own[start:][ok] ^ _folded([sketch], size)).sum(axis=1, dtype=np.int64)
+                            found = sets[begin + start:end][ok]
+                            found = found[7 * near <= n[begin + start:end][ok].astype(np.int64) + int(count)]
+                            rows.add(np.full(len(found), lead), found)
+                            yield from rows.ready()
                 rank += end - begin
         yield from rows.ready(True)
     return pairs
@@ -294,7 +313,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     while True:
         named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("key", "a", "n", F.coalesce("label", "a").alias("label"))
         open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where(F.expr(f"x <> y AND size > {low}")).select("key")
-        members = materialize(named.join(open_keys, "key"), "open")
+        own = sets.select(F.col("set_id").alias("a"), "sketch")
+        members = materialize(named.join(open_keys, "key").join(own, "a"), "open")
         if not members.take(1):
             break
         high = low * LEADER_GROWTH
