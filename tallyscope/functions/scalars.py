@@ -107,7 +107,8 @@ def grade(score: Column) -> Column:
 
 def _shown(pattern: str, value: Column, places: int) -> Column:
     # Halves go to the even digit first: formatting alone would round them up.
-    return F.format_string(pattern, F.bround(value, places))
+    near = F.bround(value, places)
+    return F.format_string(pattern, F.when((near == 0) & (value < 0), F.lit(-0.0)).otherwise(near))  # -0.004 keeps its sign
 
 
 def signed(value: Column, places: int) -> Column:

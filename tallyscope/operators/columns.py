@@ -65,8 +65,11 @@ def as_text(col: Column, kind: str) -> Column:
 
 
 def value_key(text: Column) -> Column:
-    """The text itself when short, its SHA-256 digest when long."""
-    return F.when(F.octet_length(text) > DIGEST_OVER_BYTES, F.sha2(text, 256)).otherwise(text)
+    """The text itself when short, its marked SHA-256 digest when long.
+
+    The marked digest is longer than any short text, so the two never meet.
+    """
+    return F.when(F.octet_length(text) > DIGEST_OVER_BYTES, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
 def number_sql(column: str) -> str:

@@ -113,11 +113,6 @@ def term_pattern(terms: Sequence[str]) -> str:
     return "|".join(parts)
 
 
-def finance_terms() -> list[str]:
-    both = [form for w in vocab.FINANCE_WORDS_AND_PLURALS for form in (w, w + "s")]
-    return both + vocab.FINANCE_WORDS + vocab.FINANCE_PHRASES
-
-
 def scope_category(text: str, history: str) -> Column:
     """allowed, or why not: empty, too_long, advice, off_topic.
 
@@ -140,7 +135,7 @@ def scope_category(text: str, history: str) -> Column:
         f"WHEN length({stripped}) > {vocab.QUESTION_MAX_LENGTH} THEN 'too_long' "
         f"WHEN {mentions(vocab.ADVICE_TERMS)} THEN 'advice' "
         f"WHEN {mentions(vocab.OFF_TOPIC_TERMS)} THEN 'off_topic' "
-        f"WHEN {mentions(finance_terms())} OR {mentions(vocab.DATASET_HINTS)} THEN 'allowed' "
+        f"WHEN {mentions(vocab.FINANCE_TERMS)} OR {mentions(vocab.DATASET_HINTS)} THEN 'allowed' "
         f"WHEN {name_of(history)} AND ({followup}) THEN 'allowed' "
         f"WHEN {greeting} THEN 'allowed' ELSE 'off_topic' END")
 

@@ -50,8 +50,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """(column_name, key, shown, n): copies of every value, long values by digest."""
     cells = melt(df, columns).where(F.col("txt").isNotNull())
     return (
-        cells.select("column_name", value_key(F.col("txt")).alias("key"), F.substring("txt", 1, 64).alias("shown"))
-        .groupBy("column_name", "key", "shown").agg(F.count(F.lit(1)).alias("n"))
+        cells.select("column_name", value_key(F.col("txt")).alias("key"), "txt")
+        .groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"), F.min("txt").alias("shown"))
     )
 
 
@@ -60,7 +60,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
 
     ``row_number() <= k`` lets Spark keep only k rows per column in each task
     before the shuffle, so a column of unique values is not gathered.
-    ``value`` is shown up to 64 characters; ``key`` identifies the whole value.
+    ``value`` is the whole value; ``key`` identifies it (a digest if it is long).
     """
     counts = value_counts(df, columns)
     best = Window.partitionBy("column_name").orderBy(F.desc("n"), "shown", "key")

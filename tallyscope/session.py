@@ -37,9 +37,15 @@ def local_session(cores: str = "*", name: str = "tallyscope", **extra: str) -> S
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only if unset."""
+    """The shared folder named by the cluster; a fresh local one only in local mode.
+
+    On a cluster each executor would write to its own disk, and the driver
+    would read back an incomplete table, so an unset folder is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallyscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -52,17 +52,16 @@ def _fields(line: str, delimiter: str) -> list[str]:
 def guess_delimiter(lines: Sequence[str]) -> str:
     """The candidate splitting all lines into the same number of fields; comma if none occurs.
 
-    Without such a candidate the most frequent one of the first line is taken.
+    A candidate scores by the fields it makes on every line, or, if lines differ
+    (quoted line breaks, ragged rows), by its occurrences on all of them.
     """
-    if not lines:
-        return ","
-    widths = {d: [len(_fields(line, d)) for line in lines] for d in DELIMITERS}
-    regular = [d for d in DELIMITERS if widths[d][0] > 1 and len(set(widths[d])) == 1]
-    if regular:
-        return max(regular, key=lambda d: widths[d][0])
-    counts = {d: lines[0].count(d) for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: counts[d])
-    return best if counts[best] > 0 else ","
+    def score(delimiter: str) -> tuple[bool, int]:
+        widths = [len(_fields(line, delimiter)) for line in lines]
+        regular = min(widths) == max(widths) > 1
+        return regular, widths[0] if regular else sum(widths) - len(widths)
+
+    found = [d for d in DELIMITERS if lines and score(d)[1] > 0]
+    return max(found, key=score) if found else ","
 
 
 def _is_number(text: str) -> bool:
@@ -115,7 +114,7 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     chosen = delimiter or layout.delimiter
     header = has_header if has_header is not None else layout.has_header
     reader = (
-        spark.read.option("sep", chosen).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE")
+        spark.read.option("sep", chosen).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
         .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True)
     )
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)

@@ -163,3 +163,21 @@ def test_latest_value_takes_first_row_of_last_day(spark):
 def test_top_values_prefilter_in_plan(spark):
     plan = summaries.top_values(spark.range(100).selectExpr("CAST(id AS STRING) AS x"), ["x"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_text_and_the_text_of_its_digest_are_two_values(spark):
+    import hashlib
+
+    from tallyscope.operators.summaries import top_values
+    long = "x" * 80
+    df = spark.createDataFrame([(long,), (hashlib.sha256(long.encode()).hexdigest(),), (long[:70],)], "t string")
+    rows = top_values(df).collect()
+    assert len(rows) == 3 and {r["value"] for r in rows} >= {long, long[:70]}
+
+
+def test_small_negatives_keep_their_sign(spark):
+    from pyspark.sql import functions as F
+
+    from tallyscope.functions import scalars
+    df = spark.createDataFrame([(-0.004,), (-0.005,), (0.004,), (-1.25,)], "v double")
+    assert [r[0] for r in df.select(scalars.signed(F.col("v"), 2)).collect()] == ["-0.00", "-0.00", "+0.00", "-1.25"]

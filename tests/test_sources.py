@@ -156,3 +156,14 @@ def test_catalog(spark, tmp_path):
     catalog.save_profile(spark.range(3), path, "d1")
     catalog.save_profile(spark.range(5), path, "d2")
     assert catalog.load_profile(spark, path, "d1").count() == 3
+
+
+def test_whole_messages_without_secrets():
+    text = database.masked("jdbc:x://bob:hunter2@host/db failed, password=abc; mail a@b.org")
+    assert "hunter2" not in text and "abc" not in text and "host/db failed" in text and "a@b.org" in text
+
+
+def test_doubled_quotes_are_one(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,t\n1,"a ""b"" c"\n2,d\n')
+    assert [r.t for r in files.read_delimited(spark, str(path)).orderBy("id").collect()] == ['a "b" c', "d"]

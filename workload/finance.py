@@ -279,7 +279,7 @@ step("attract", """SELECT *, greatest(0, least(100, 50 + (h - 50) * 0.4 + CASE W
 @query("attractiveness", with_steps(
     "SELECT primary_id, secondary_id, material, high AS high_risks, round(score, 3) AS attractiveness, CASE WHEN score >= 70 THEN 'Strong' WHEN score >= 50 THEN 'Moderate' ELSE 'Weak' END AS label FROM attract", "attract"))
 def attractiveness(spark, folder):
-    return rounded(merger(spark, folder).attractiveness.drop("health"), 2)
+    return rounded(merger(spark, folder).attractiveness.drop("health"), 3)
 
 
 @query("merger_warnings", with_steps(

@@ -392,7 +392,7 @@ def top_values(spark, folder):
 
 
 @query("top_texts", "SELECT row_number() OVER (ORDER BY n DESC, shown, digest) AS rank, shown AS value, digest AS value_key, n FROM ("
-       "SELECT substr(text, 1, 64) AS shown, CASE WHEN octet_length(encode(text)) > 64 THEN sha256(text) ELSE text END AS digest, count(*) AS n FROM documents GROUP BY 1, 2) QUALIFY rank <= 5")
+       "SELECT text AS shown, CASE WHEN octet_length(encode(text)) > 64 THEN concat('sha256:', sha256(text)) ELSE text END AS digest, count(*) AS n FROM documents GROUP BY 1, 2) QUALIFY rank <= 5")
 def top_texts(spark, folder):
     return summaries.top_values(read(spark, folder, "documents"), ["text"], 5).selectExpr("CAST(rank AS BIGINT) AS rank", "value", "key AS value_key", "count AS n")
 

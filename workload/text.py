@@ -107,7 +107,7 @@ def scope_sql(t: str, history: str) -> str:
     greet = f"({bare} IN ({texts(vocab.PLEASANTRIES)}) OR (length({bare}) <= 12 AND (" + " OR ".join(f"starts_with({bare}, {text(p)})" for p in vocab.PLEASANTRY_PREFIXES) + ")))"
     follow = " OR ".join(_hit(p, t) for p in vocab.SCOPE_FOLLOWUP_PATTERNS)
     return (f"CASE WHEN length({t}) < 2 THEN 'empty' WHEN length({t}) > 2000 THEN 'too_long' WHEN {_terms(vocab.ADVICE_TERMS, low)} THEN 'advice' WHEN {_terms(vocab.OFF_TOPIC_TERMS, low)} THEN 'off_topic' "
-            f"WHEN {_terms(questions.finance_terms(), low)} OR {_terms(vocab.DATASET_HINTS, low)} THEN 'allowed' WHEN {history} AND ({follow}) THEN 'allowed' WHEN {greet} THEN 'allowed' ELSE 'off_topic' END")
+            f"WHEN {_terms(vocab.FINANCE_TERMS, low)} OR {_terms(vocab.DATASET_HINTS, low)} THEN 'allowed' WHEN {history} AND ({follow}) THEN 'allowed' WHEN {greet} THEN 'allowed' ELSE 'off_topic' END")
 
 
 step("scoped", f"SELECT t, h, {scope_sql('t', 'h')} AS scope FROM uniq CROSS JOIN (SELECT unnest([TRUE, FALSE]) AS h)", "uniq")
