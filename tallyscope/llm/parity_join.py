@@ -11,7 +11,7 @@ are ordered last.  Sets that share such a block are compared: dense bit
 sketches first (their Hamming distance also is a lower bound), then the sets.
 
 Inside a block shared by many sets not all pairs are made.  Round 0 compares
-each set with the smallest one.  Later rounds compare with the next 7, 56, ...
+each set with the smallest one.  Later rounds compare with the next 1, 2, 4, ...
 sets, and only sets not yet in one component, until no such pair is left, so
 no link between components is lost.
 
@@ -40,7 +40,7 @@ FREQUENT_SHINGLES = 65_536
 BROADCAST_IDS = 1_000_000
 #: Shingles counted at a time when looking for frequent ones.
 COUNTED_AT_ONCE = 1_000_000
-FIRST_LEADERS, LEADER_GROWTH = 1, 8
+FIRST_LEADERS, LEADER_GROWTH = 1, 2
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
