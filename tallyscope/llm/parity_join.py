@@ -13,7 +13,9 @@ sketches first (their Hamming distance also is a lower bound), then the sets.
 Inside a block shared by many sets not all pairs are made.  Round 0 compares
 each set with the smallest one.  Later rounds compare with the next 7, 56, ...
 sets, and only sets not yet in one component, until no such pair is left, so
-no link between components is lost.
+no link between components is lost.  There, two sets that also share a smaller
+open block wait for that one: a pair is made under the first block of each run
+of shared blocks, not under all of them.
 
 Equal sets are one set from the start.  Ids of sets and shingles are 64-bit
 hashes.  Null texts and texts without words give empty sets, linked with
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize
@@ -214,12 +216,14 @@ def _later_round(low: int, high: int):
     """Pairs of the sets at ranks low..high-1 of each key with all later ones, where components differ and sketches allow a link.
 
     Sketches are compared where the sets of a key meet, so unlike sets that share a block make no rows.
+    ``before`` and ``before2`` are the next smaller open keys of a set (0: none).  Two sets that have one of
+    them in common meet there as well, in this round, an earlier or a later one, so they are passed over here.
     """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(["a", "b"])
         open_key, rank, leaders = None, 0, []
         for batch in batches:
-            key, sets, n, label = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label"))
+            key, sets, n, label, one, two = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label", "before", "before2"))
             sketches = batch.column("sketch").to_pylist()
             starts = stored_runs(key)
             for begin, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
@@ -227,13 +231,15 @@ def _later_round(low: int, high: int):
                     open_key, rank, leaders = key[begin], 0, []
                 for i in range(begin, min(end, begin + max(0, high - rank))):
                     if rank + i - begin >= low:
-                        leaders.append((rank + i - begin, sets[i], n[i], label[i], sketches[i]))
+                        leaders.append((rank + i - begin, sets[i], n[i], label[i], sketches[i], [p for p in (one[i], two[i]) if p]))
                 if leaders:
                     size = min(min(map(len, sketches[begin:end])), min(len(x[4]) for x in leaders))
                     own = _folded(sketches[begin:end], size)
-                    for at, lead, count, mark, sketch in leaders:
+                    for at, lead, count, mark, sketch, smaller in leaders:
                         start = max(0, at + 1 - rank)
                         ok = (label[begin + start:end] != mark) & _fits(n[begin + start:end], np.int32(count))
+                        for p in smaller:
+                            ok &= (one[begin + start:end] != p) & (two[begin + start:end] != p)
                         if ok.any():
                             near = np.bitwise_count(own[start:][ok] ^ _folded([sketch], size)).sum(axis=1, dtype=np.int64)
                             found = sets[begin + start:end][ok]
@@ -314,7 +320,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("key", "a", "n", F.coalesce("label", "a").alias("label"))
         open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where(F.expr(f"x <> y AND size > {low}")).select("key")
         own = sets.select(F.col("set_id").alias("a"), "sketch")
-        members = materialize(named.join(open_keys, "key").join(own, "a"), "open")
+        # A set has at most as many rows as its text has shingles.
+        in_order = Window.partitionBy("a").orderBy("key")
+        before = {f"before{i}".rstrip("1"): F.coalesce(F.lag("key", i).over(in_order), F.lit(0)) for i in (1, 2)}
+        members = materialize(named.join(open_keys, "key").withColumns(before).join(own, "a"), "open")
         if not members.take(1):
             break
         high = low * LEADER_GROWTH
