@@ -223,7 +223,9 @@ def _later_round(low: int, high: int):
         rows = Rows(["a", "b"])
         open_key, rank, leaders = None, 0, []
         for batch in batches:
-            key, sets, n, label, one, two = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label", "before", "before2"))
+            key, sets, n, label = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label"))
+            # Without these columns every shared block makes its pairs.
+            one, two = (batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(len(key), np.int64) for c in ("before", "before2"))
             sketches = batch.column("sketch").to_pylist()
             starts = stored_runs(key)
             for begin, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):

@@ -110,3 +110,26 @@ def test_word_hashes_follow_the_words():
     long = ("x" * 100 + " " + "x" * 101).encode()
     assert len(set(word_hashes(long).tolist())) == 2
     assert len(shingles(word_hashes(b"a b c"))) == 1 and set_id(shingles(word_hashes(b""))) is not None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_that_wait_for_a_smaller_block_are_not_lost(seed):
+    r = np.random.default_rng(seed)
+    rows = sorted({(int(k) + 1, int(s)) for k, s in zip(r.integers(0, 9, 400), r.integers(0, 40, 400))})
+    of_key = {k: [s for _, s in g] for k, g in itertools.groupby(rows, key=lambda x: x[0])}
+    want = {p for g in of_key.values() for p in itertools.combinations(g, 2)}
+    sketch = J.bit_sketch(np.arange(30, dtype=np.uint64))
+    pairs, made, plain = {(g[0], s) for g in of_key.values() for s in g[1:]}, 0, 0
+    low = 1
+    while low < 40:
+        members = [x for x in rows if len(of_key[x[0]]) > max(low, 2)]
+        smaller = [[k for k, s in members if s == own and k < key] for key, own in members]
+        columns = {
+            "key": [k for k, _ in members], "a": [s for _, s in members], "n": np.full(len(members), 30, np.int32), "label": [s for _, s in members], "sketch": [sketch] * len(members),
+            "before": pa.array([x[-1] if x else 0 for x in smaller], pa.int64()), "before2": pa.array([x[-2] if len(x) > 1 else 0 for x in smaller], pa.int64())}
+        run = lambda names: [(x["a"], x["b"]) for b in J._later_round(low, low * 4)(iter([pa.RecordBatch.from_pydict({c: columns[c] for c in names})])) for x in b.to_pylist()]  # noqa: E731,B023
+        found = run(columns)
+        pairs.update(found)
+        made, plain = made + len(found), plain + len(run(list(columns)[:5]))
+        low *= 4
+    assert pairs == want and made < plain
