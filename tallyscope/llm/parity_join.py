@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize
@@ -291,7 +291,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select("text").mapInArrow(_emit(frequent), "key bigint, set_id bigint, n int")
     found = materialize(keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_first_round, "key bigint, a bigint, b bigint, n int"), "found")
-    members = found.where("key IS NOT NULL").select("key", "a", "n")
+    # A row per set with its blocks, so that labels and sketches are joined per set; a set has at most as many blocks as its text has shingles.
+    members = materialize(found.where("key IS NOT NULL").groupBy("a").agg(F.collect_set("key").alias("keys")), "members")
 
     def texts(pairs: DataFrame) -> DataFrame:
         """The text of one document of every set in the pairs."""
@@ -319,19 +320,19 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     labels = components(links)
     low = FIRST_LEADERS
     while True:
-        named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("key", "a", "n", F.coalesce("label", "a").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where(F.expr(f"x <> y AND size > {low}")).select("key")
-        own = sets.select(F.col("set_id").alias("a"), "sketch")
-        # A set has at most as many rows as its text has shingles.
-        in_order = Window.partitionBy("a").orderBy("key")
-        before = {f"before{i}".rstrip("1"): F.coalesce(F.lag("key", i).over(in_order), F.lit(0)) for i in (1, 2)}
-        members = materialize(named.join(open_keys, "key").withColumns(before).join(own, "a"), "open")
+        named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("a", "keys", F.coalesce("label", "a").alias("label"))
+        in_block = named.select("a", "label", F.explode("keys").alias("key"))
+        open_keys = in_block.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where(F.expr(f"x <> y AND size > {low}")).select("key")
+        opened = in_block.join(open_keys, "key", "left_semi").groupBy("a", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        members = materialize(opened.join(sets.select(F.col("set_id").alias("a"), "n", "sketch"), "a"), "open")
         if not members.take(1):
             break
         high = low * LEADER_GROWTH
-        pairs = members.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_later_round(low, high), "a bigint, b bigint").distinct()
+        smaller = lambda i, by: f"coalesce(get(keys, {i} - {by}), 0L)"
+        in_block = members.select("a", "n", "label", "sketch", F.expr(f"inline(transform(keys, (k, i) -> struct(k AS key, {smaller('i', 1)} AS before, {smaller('i', 2)} AS before2)))"))
+        pairs = in_block.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_later_round(low, high), "a bigint, b bigint").distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        members = members.select("key", "a", "n")
+        members = members.select("a", "keys")
         low = high
         if not pairs.take(1):
             continue
