@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rows import name_of
+
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
@@ -23,6 +25,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *plain: str) -> DataFrame:
+    """The ``plain`` columns and all others in one struct ``_row``, so that working columns clash with none of them."""
+    rest = [F.col(name_of(c)) for c in docs.columns if c not in plain]
+    return docs.select(*[F.col(name_of(c)) for c in plain], (F.struct(*rest) if rest else F.lit(0)).alias("_row"))
+
+
+def unpacked(columns: list[str], *plain: str) -> list[Column]:
+    """The columns that ``packed`` took, in their order."""
+    return [F.col(name_of(c)) if c in plain else F.col("_row").getField(c).alias(c) for c in columns]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

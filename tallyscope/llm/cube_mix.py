@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rows import materialize
-from tallyscope.llm.common import WORD
+from tallyscope.functions.rows import materialize, name_of
+from tallyscope.llm.common import WORD, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -207,6 +207,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them; columns as in ``docs``."""
     taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
-    own = docs.withColumn("_size", n_words(F.col("text")))
-    both = own.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(name_of(c)) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    both = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_n")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*unpacked(docs.columns))

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rows import materialize
-from tallyscope.llm.common import Rows, mix, set_id, shingles, stored_runs, texts_of, word_hashes
+from tallyscope.functions.rows import materialize, name_of
+from tallyscope.llm.common import Rows, mix, set_id, shingles, stored_runs, texts_of, unpacked, word_hashes
 from tallyscope.llm.components import components
 
 #: Shingles remembered as frequent, for the order of blocks only: any choice gives the same links.
@@ -355,7 +355,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat both id and text count as copies; rows without words stay.
     """
     groups = jaccard_groups(docs).where("keeper").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = own.join(groups, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    filled = kept.where("NOT _empty").dropDuplicates(["doc_id", "_text_hash"])
-    return filled.unionByName(kept.where("_empty")).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(name_of(c)) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = own.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    filled = kept.where("NOT _empty").dropDuplicates(["doc_id", "text_hash"])
+    return filled.unionByName(kept.where("_empty")).select(*unpacked(docs.columns))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import WORD, words_of
+from tallyscope.llm.common import WORD, packed, unpacked, words_of
 
 #: Bound of the labelled rows that a list is fitted on, taken by hash of the id.
 FIT_ROWS = 20_000
@@ -32,7 +32,7 @@ Term = tuple[str, str, float]
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the features of the rules."""
     t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumns({"_text": t, "_words": words_of(F.col(text))})
+    one = packed(docs, text).withColumns({"_text": t, "_words": words_of(F.col(text))})
     two = one.withColumns({
         "n_words": F.size("_words").cast("bigint"),
         "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
@@ -58,7 +58,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "capital_share": F.col("_capitals") / chars, "bang_share": F.col("_bangs") / chars, "digit_share": F.col("_digits") / chars,
     }
     # One generated row per text: a filter on the facts would otherwise be pushed below and repeat every expression.
-    return five.select(*[F.col(f"`{c}`") for c in docs.columns if c not in facts], F.inline(F.array(F.struct(*[e.alias(c) for c, e in facts.items()]))))
+    return five.select(*unpacked([c for c in docs.columns if c not in facts], text), F.inline(F.array(F.struct(*[e.alias(c) for c, e in facts.items()]))))
 
 
 def base_failed() -> Column:

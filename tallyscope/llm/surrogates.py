@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize
+from tallyscope.llm.common import packed, unpacked
 
 KEY = "tallyscope surrogate key"
 #: Attempts after which a still unresolved collision is an error.
@@ -117,8 +118,8 @@ def mapping(found: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with entities replaced, and ``n_entities``."""
-    own = docs.withColumn("_has", F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ENTITY), F.lit(False)))
+    """``docs`` with entities replaced, and ``n_entities`` (in place of a column of that name)."""
+    own = packed(docs, text).withColumn("_has", F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ENTITY), F.lit(False)))
     plain = own.where(~F.col("_has")).drop("_has").withColumn("n_entities", F.lit(0))
     busy = own.where("_has").drop("_has").withColumn("_doc", F.xxhash64(text))
     matches = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
@@ -134,4 +135,4 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     parts = joined.withColumn("_found", matches).withColumn("_parts", F.split(text, ENTITY, -1))
     new = F.expr("array_join(zip_with(_parts, array_append(transform(_found, x -> coalesce(_map[x], x)), ''), (p, f) -> concat(p, coalesce(f, ''))), '')")
     changed = parts.withColumn("n_entities", F.size("_found")).withColumn(text, new).drop("_doc", "_map", "_found", "_parts")
-    return plain.unionByName(changed)
+    return plain.unionByName(changed).select(*unpacked([c for c in docs.columns if c != "n_entities"], text), "n_entities")
