@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize
 from tallyscope.llm import cube_mix, parity_join, piece_viterbi, quality_rules, surrogates
+from tallyscope.llm.common import packed, unpacked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list accept."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judge(packed(docs, "text"), rules).where("kept").select(*unpacked(docs.columns, "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; ``n_chars`` follows the new text."""
-    new = surrogates.replaced(docs)
-    return new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = surrogates.replaced(packed(docs, "text", "n_chars"))
+    return new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*unpacked(docs.columns, "text", "n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
