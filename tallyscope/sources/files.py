@@ -102,26 +102,43 @@ def guess_layout(spark: SparkSession, path: str, encoding: str = "utf-8", delimi
     return TextLayout(chosen, guess_header(lines, chosen), encoding)
 
 
-def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, has_header: bool | None = None,
-                   encoding: str = "utf-8", schema: T.StructType | None = None) -> DataFrame:
-    """Delimited text; what is not given is guessed from the first lines.
+def has_open_quotes(spark: SparkSession, path: str, encoding: str = "utf-8") -> bool:
+    """Does any line of the text end inside quotes?  Looks at lines until one does, at all of them otherwise."""
+    text = spark.read.option("encoding", encoding).text(path)
+    return bool(text.where("mod(length(value) - length(replace(value, '\"', '')), 2) = 1").take(1))
+
 
-    Malformed rows are kept with their text in ``_corrupt_record`` when the
-    schema names that column.  Without a header columns are col_0, col_1, ...;
-    repeated names get their position as suffix.
+def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, has_header: bool | None = None,
+                   encoding: str = "utf-8", schema: T.StructType | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Delimited text; what is not given is guessed from the text.
+
+    Rows with too many or too few fields, or values that do not fit, are kept
+    with their text in ``_corrupt_record``.  A given schema must name that column
+    to get it; without a schema it is there if any row is malformed, which takes
+    one more scan.  ``multi_line`` allows line breaks inside quotes; Spark then
+    reads each file in one task, so it is on only where a line ends inside
+    quotes.  Say False for text without such breaks to save that look.
+    Without a header columns are col_0, col_1, ...; repeated names get their
+    position as suffix.
     """
     layout = guess_layout(spark, path, encoding, delimiter) if None in (delimiter, has_header) else None
     chosen = delimiter or layout.delimiter
     header = has_header if has_header is not None else layout.has_header
+    breaks = has_open_quotes(spark, path, encoding) if multi_line is None else multi_line
     reader = (
         spark.read.option("sep", chosen).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-        .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True)
+        .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).option("multiLine", breaks)
     )
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if not df.columns:
         raise UnreadableFile(f"no data in {path}")
-    names = [c.strip() for c in df.columns] if header else [f"col_{i}" for i in range(len(df.columns))]
-    return df.toDF(*unique_names(names))
+    if schema is None and CORRUPT not in df.columns:
+        checked = reader.schema(T.StructType([*df.schema.fields, T.StructField(CORRUPT, T.StringType())])).csv(path)
+        df = checked if bad_lines(checked).take(1) else df
+    fields = [c for c in df.columns if c != CORRUPT]
+    names = unique_names([c.strip() for c in fields] if header else [f"col_{i}" for i in range(len(fields))])
+    renamed = dict(zip(fields, names))
+    return df.toDF(*[renamed.get(c, c) for c in df.columns])
 
 
 def bad_lines(df: DataFrame) -> DataFrame:

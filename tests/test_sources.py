@@ -167,3 +167,15 @@ def test_doubled_quotes_are_one(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('id,t\n1,"a ""b"" c"\n2,d\n')
     assert [r.t for r in files.read_delimited(spark, str(path)).orderBy("id").collect()] == ['a "b" c', "d"]
+
+
+def test_line_breaks_in_quotes_and_surplus_fields(spark, tmp_path):
+    path = write(tmp_path, "m.csv", 'id,t,u\n1,"a ""b"" c","line1\nline2"\n3,p,q,EXTRA\n4,r\n5,s,t\n')
+    df = files.read_delimited(spark, path).cache()
+    rows = {r.id: r for r in df.collect()}
+    assert set(rows) == {1, 3, 4, 5} and (rows[1].t, rows[1].u) == ('a "b" c', "line1\nline2")
+    assert {r.id: "EXTRA" in r._corrupt_record for r in files.bad_lines(df).collect()} == {3: True, 4: False}
+    plain = write(tmp_path, "n.csv", "7,8,9\n1,2,3,4\n")
+    got = files.read_delimited(spark, plain, delimiter=",", has_header=False, multi_line=False).cache()
+    assert got.columns == ["col_0", "col_1", "col_2", "_corrupt_record"] or got.columns == ["col_0", "col_1", "col_2", "col_3", "_corrupt_record"]
+    assert got.count() == 2 and files.bad_lines(got).count() == 1
