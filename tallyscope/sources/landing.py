@@ -95,12 +95,16 @@ def detect_formats(files: DataFrame) -> DataFrame:
         "path", "length", "extension", "split(decided, '[|]')[0] AS format", "split(decided, '[|]')[1] AS reason")
 
 
-def check_files(files: DataFrame, max_bytes: int = vocab.FILE_MAX_BYTES) -> DataFrame:
-    """(path, length, error, warning) of each listed file."""
+def _above(value: str, limit: int | None) -> str:
+    return "FALSE" if limit is None else f"{value} > {limit}"
+
+
+def check_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(path, length, error, warning) of each listed file; a size limit only where one is given (``vocab.FILE_MAX_BYTES`` for uploads)."""
     known = ", ".join(quoted(e) for e in vocab.EXTENSION_FORMATS)
     return files.selectExpr(
         "path", "length",
-        f"CASE WHEN length = 0 THEN 'File is empty' WHEN length > {max_bytes} THEN 'File exceeds the maximum size' END AS error",
+        f"CASE WHEN length = 0 THEN 'File is empty' WHEN {_above('length', max_bytes)} THEN 'File exceeds the maximum size' END AS error",
         f"CASE WHEN {extension()} NOT IN ({known}) THEN concat('Unrecognised extension .', {extension()}) END AS warning")
 
 
@@ -136,21 +140,25 @@ def archive_members(files: DataFrame) -> DataFrame:
                                 f"WHEN {extension('member')} IN ({supported}) THEN 'supported' ELSE 'unsupported' END AS verdict")
 
 
-def archive_verdicts(members: DataFrame, max_files: int = vocab.ARCHIVE_MAX_FILES, max_bytes: int = vocab.ARCHIVE_MAX_BYTES,
-                     max_ratio: int = vocab.ARCHIVE_MAX_RATIO) -> DataFrame:
-    """Totals of each archive, the reason to reject it, and its chosen member (the largest)."""
+def archive_verdicts(members: DataFrame, max_files: int | None = None, max_bytes: int | None = None, max_ratio: int | None = None) -> DataFrame:
+    """Totals of each archive, the reason to reject it (null: accepted), and its chosen member (the largest).
+
+    Limits hold only where they are given; ``vocab.ARCHIVE_LIMITS`` has those for uploads of strangers.
+    """
     totals = members.groupBy("path").agg(
         F.expr("count(member) AS files"), F.expr("sum(size) AS bytes"), F.expr("sum(compressed) AS compressed"), F.expr("bool_or(broken) AS broken"),
         F.expr("count_if(verdict = 'supported') AS supported"),
         F.expr("max_by(member, CASE WHEN verdict = 'supported' THEN struct(size, -ord) END) AS chosen"))
     return totals.selectExpr(
         "path", "files", "bytes", "compressed", "supported", "chosen",
-        f"CASE WHEN broken THEN 'not a valid ZIP archive' WHEN files > {max_files} THEN 'too many files' WHEN bytes > {max_bytes} THEN 'too large when uncompressed' "
-        f"WHEN bytes / CASE WHEN compressed = 0 THEN 1 ELSE compressed END > {max_ratio} THEN 'suspicious compression ratio' WHEN supported = 0 THEN 'no supported datasets' END AS rejected")
+        f"CASE WHEN broken THEN 'not a valid ZIP archive' WHEN {_above('files', max_files)} THEN 'too many files' WHEN {_above('bytes', max_bytes)} THEN 'too large when uncompressed' "
+        f"WHEN {_above('bytes / CASE WHEN compressed = 0 THEN 1 ELSE compressed END', max_ratio)} THEN 'suspicious compression ratio' WHEN supported = 0 THEN 'no supported datasets' END AS rejected")
 
 
-def choose_members(verdicts: DataFrame, members: DataFrame, requested: str | None = None) -> DataFrame:
-    """(path, member, is_symlink) to load from each accepted archive: the requested member or the largest."""
+def choose_members(verdicts: DataFrame, members: DataFrame, requested: str | None = None, every: bool = False) -> DataFrame:
+    """(path, member, is_symlink) to load from each accepted archive: the requested member, every supported one, or the largest."""
+    if every:
+        return members.where("verdict = 'supported'").join(verdicts.where("rejected IS NULL").select("path"), "path", "left_semi").select("path", "member", "is_symlink")
     accepted = verdicts.where("rejected IS NULL").select("path", F.lit(requested).alias("wanted") if requested else F.col("chosen").alias("wanted"))
     usable = members.where("verdict = 'supported'").select("path", "member", "is_symlink")
     return accepted.join(usable, "path").where("member = wanted").drop("wanted")
@@ -171,7 +179,7 @@ def extract_members(chosen: DataFrame, target: str) -> DataFrame:
         for batch in batches:
             out = []
             for path, member in zip(batch["path"], batch["member"]):
-                place = f"{root}/{hashlib.sha256(path.encode()).hexdigest()[:16]}/{member.rsplit('/', 1)[-1]}"
+                place = f"{root}/{hashlib.sha256(f"{path}\n{member}".encode()).hexdigest()[:16]}/{member.rsplit('/', 1)[-1]}"
                 system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 with _open(path) as f, zipfile.ZipFile(f).open(member) as src, system.open_output_stream(place) as dst:
                     shutil.copyfileobj(src, dst)

@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from tallyscope.functions import vocab
 from tallyscope.sources import catalog, database, files, landing
 
 
@@ -117,7 +118,10 @@ def test_archives(spark, folder, tmp_path_factory):
     members = landing.archive_members(zips)
     kinds = {r.member: r.verdict for r in members.where("path LIKE '%/one.zip'").collect()}
     assert kinds == {"data/people.csv": "supported", "data/records.json": "supported", "readme.txt": "supported", "../evil.csv": "unsafe_path", "run.exe": "executable"}
-    verdicts = landing.archive_verdicts(members)
+    unlimited = {r.path.rsplit("/", 1)[-1]: r.rejected for r in landing.archive_verdicts(members).collect()}
+    assert unlimited["bomb.zip"] is None and unlimited["broken.zip"] == "not a valid ZIP archive"
+    verdicts = landing.archive_verdicts(members, **vocab.ARCHIVE_LIMITS)
+    assert {r.member for r in landing.choose_members(verdicts, members, every=True).collect()} >= {"data/people.csv", "data/records.json"}
     found = named(verdicts, "rejected", "chosen")
     assert found["one.zip"] == (None, "data/people.csv") and found["none.zip"][0] == "no supported datasets"
     assert found["broken.zip"][0] == "not a valid ZIP archive" and found["bomb.zip"][0] == "suspicious compression ratio"
