@@ -80,6 +80,29 @@ def test_spans_keep_the_first_place(spark, odd):
     assert sentence_spans.deduplicated(odd).count() == len(ODD)
 
 
+def test_no_run_of_51_words_stays_in_two_documents(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = lambda n, ends: "".join(word() + r.choice(ends) for _ in range(n))
+    short, one, lines, long = text(60, ["!! "]), text(72, " ") + "end. ", text(70, ["\n", " \n"]), text(120, " ")
+    han = "".join(chr(r.randint(0x4E00, 0x9000)) + ("。" if i % 9 == 8 else "") for i in range(99))
+    rows = [(10 * i + k, text(20, [" ", ". "]) + ". " * (shared is not long) + shared + text(30, [" ", ". "])) for i, shared in enumerate([short, one, lines, long, han, text(90, [" ", " ", "? "])]) for k in range(3)]
+    rows += [(100, "only one sentence that is here twice with more than ten words"), (101, "Only one sentence that is here twice with more than ten words")]
+    got = {x.doc_id: x.text for x in sentence_spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs = Counter()
+    for t in got.values():
+        w = re.findall(r"[\u4e00-\u9fff]|[^\s\u4e00-\u9fff]+", t.lower().replace("。", ""))
+        runs.update({tuple(w[i:i + 51]) for i in range(len(w) - 50)})
+    assert got[100] and got[101] == "" and max(runs.values()) == 1
+    assert all(got[10 * i] == rows[3 * i][1] for i in range(6))  # the first place stays whole
+    assert "".join(sentence_spans.pieces(han + one)[0]) == han + one
+
+
+def test_overlapping_repeats_leave_the_first_place(spark):
+    got = sentence_spans.deduplicated(spark.createDataFrame([(1, "So it goes. " * 9)], "doc_id long, text string")).first()
+    assert got.text == "So it goes. " * 4 and (got.n_sentences, got.n_removed) == (9, 5)
+
+
 def test_surrogates_are_consistent_and_distinct(spark, odd):
     text = "Call +1 (743) 555-3824 or +1 743 555 3824, die.55@mail4.example.com; Frau Müller, 4111-1111-1111-1111. v1.2.3"
     new = surrogates.replaced(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
