@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives from candidates.
 
 A candidate is a run of 16 or more letters, digits and ``+/_=-`` with at least
-one digit.  Its statistics are column expressions: length, changes between
+one digit; of ``NAME=value`` the value, if it is such a run by itself, with the
+name among what is before it.  Its statistics are column expressions: length, changes between
 character classes, digits, distinct characters, coverage by the corpus's own
 frequent words, its path (the source) and the words beside it.  The forest is
 trained on labelled findings and applied to every candidate.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyscope.llm.common import words_of
 
-CANDIDATE = r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}(?![\p{L}\p{N}])"
+#: Groups: the name with its ``=``, if any, and the candidate.
+CANDIDATE = (r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z0-9+/_=-]{16})((?:[A-Za-z0-9+/_-]*+=++(?=[A-Za-z0-9+/_-]))?)"
+             r"((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,})(?![\p{L}\p{N}])")
 NAMES = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|auth|bearer|credential|access[_-]?key)"
 #: Bound of the findings that the forest is trained on, by hash of id and candidate.
 FIT_ROWS = 20_000
@@ -44,9 +47,10 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
 def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
     """A row per candidate with its statistics."""
     parts = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
-    pairs = parts.select("doc_id", "path", F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    rows = pairs.select("doc_id", "path", "around", F.posexplode("found").alias("place", "candidate")).select(
-        "doc_id", "path", "place", "candidate", F.right(F.get("around", "place"), F.lit(40)).alias("before"), F.left(F.get("around", F.col("place") + 1), F.lit(40)).alias("after"))
+    pairs = parts.select("doc_id", "path", F.split("text", CANDIDATE, -1).alias("around"),
+        F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(2)).alias("value")).alias("found"))
+    rows = pairs.select("doc_id", "path", "around", F.posexplode("found").alias("place", "found")).select(
+        "doc_id", "path", "place", F.col("found.value").alias("candidate"), F.concat(F.right(F.get("around", "place"), F.lit(40)), "found.name").alias("before"), F.left(F.get("around", F.col("place") + 1), F.lit(40)).alias("after"))
     c, size = F.col("candidate"), F.char_length("candidate")
     changes = F.regexp_count(c, F.lit(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_=-])[^+/_=-]"))
     covered = F.lit(0) if not words else size - F.char_length(F.regexp_replace(F.lower(c), "|".join(sorted(words, key=len, reverse=True)), ""))

@@ -63,3 +63,12 @@ def test_forest_learns_findings(spark):
     found = secret_forest.candidates(docs, []).withColumn("label", (F.col("doc_id") % 2).cast("double"))
     out = secret_forest.scanned(docs.where("doc_id >= 200"), found.where("doc_id < 200"), []).collect()
     assert len(out) >= 190 and sum(r.is_secret == (r.doc_id % 2 == 1) for r in out) >= 0.95 * len(out)
+
+
+def test_assigned_values_are_candidates_in_every_form(spark):
+    value, padded, far = "9f86d081884c7d659a2feaa0c55ad015", "dGhpcyBpcyBhIHNlY3JldA9x==", "x" * 300 + "7"
+    forms = ["API_KEY={}", "API_KEY: {}", 'API_KEY="{}"', "api_key = '{}'", "https://h.example/p?token={}&x=1", "export A_TOKEN={}"]
+    rows = [(i, f.format(v), "src/app") for v in (value, padded, far) for i, f in enumerate(forms)]
+    found = secret_forest.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"), []).withColumn("label", secret_forest.by_rule()).collect()
+    assert sorted(r.candidate for r in found) == sorted([value, padded, far] * len(forms))
+    assert all(r.named == 1 and r.assigned == 1 for r in found) and sum(r.label for r in found if r.candidate == value) == len(forms)
