@@ -7,10 +7,12 @@ character classes, digits, distinct characters, coverage by the corpus's own
 frequent words, its path (the source) and the words beside it.  The forest is
 trained on labelled findings and applied to every candidate.
 
-``rule_findings`` labels a bounded sample when no labelled findings are given:
+``rule_findings`` labels the candidates when no labelled findings are given:
 assignments of long hexadecimal or mixed strings to a secret-like name count
-as secrets, other candidates do not.  With one label only, nothing is learned
-and every candidate gets that label's score (all are kept without findings).
+as secrets, other candidates do not.  The forest is trained on a bounded sample
+of each label by hash, weighted so that both labels count alike: secrets are
+learned however rare they are.  With one label only, nothing is learned and
+every candidate is judged by that rule (all are kept without findings).
 
 Null texts have no candidates, null paths are empty; every occurrence is a row,
 also in repeated rows; columns other than ``doc_id, text, source`` are ignored.
@@ -22,16 +24,17 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rows import materialize
 from tallyscope.llm.common import words_of
 
 #: Groups: the name with its ``=``, if any, and the candidate.
 CANDIDATE = (r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z0-9+/_=-]{16})((?:[A-Za-z0-9+/_-]*+=++(?=[A-Za-z0-9+/_-]))?)"
              r"((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,})(?![\p{L}\p{N}])")
 NAMES = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|auth|bearer|credential|access[_-]?key)"
-#: Bound of the findings that the forest is trained on, by hash of id and candidate.
+#: Bound of the findings that the forest is trained on: half of it for each label, by hash.
 FIT_ROWS = 20_000
 DICTIONARY_WORDS = 300
 TREES, DEPTH, SEED = 20, 6, 7
@@ -69,28 +72,39 @@ def by_rule() -> Column:
     return ((F.col("named") == 1) & (F.col("assigned") == 1) & strong & (F.col("path_test") == 0)).cast("double")
 
 
+def _sampled(findings: DataFrame, rows: int) -> DataFrame:
+    """At most half of ``rows`` findings of each label, by hash; tasks keep no more than that before the shuffle."""
+    keys = [c for c in ("doc_id", "place", "candidate", *FEATURES) if c in findings.columns]
+    order = Window.partitionBy("label").orderBy(F.xxhash64(*keys), *keys)
+    return findings.where("label IS NOT NULL").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows // 2).drop("_rank")
+
+
 def rule_findings(found: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` candidates with a label by rule."""
-    return found.withColumn("label", by_rule()).orderBy(F.xxhash64("doc_id", "place", "candidate"), "doc_id", "place").limit(rows)
+    """At most half of ``rows`` candidates of each label by rule."""
+    return _sampled(found.withColumn("label", by_rule()), rows)
 
 
 def train(findings: DataFrame, rows: int = FIT_ROWS):
     """A forest from labelled findings (the features and ``label``), or the only label there is (None: no finding)."""
-    sample = findings.select("label", *FEATURES).limit(rows)
-    labels = sorted(r[0] for r in sample.select("label").distinct().collect())
-    if len(labels) < 2:
-        return labels[0] if labels else None
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample)
+    sample = materialize(_sampled(findings, rows).select(F.col("label").cast("double").alias("label"), *FEATURES), "findings")
+    counts = dict(sample.groupBy("label").count().collect())
+    if len(counts) < 2:
+        return next(iter(counts), None)
+    total = sum(counts.values())
+    weight = F.lit(0.0)
+    for label, n in sorted(counts.items()):
+        weight = F.when(F.col("label") == label, total / (len(counts) * n)).otherwise(weight)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample.withColumn("weight", weight))
 
 
 def scanned(docs: DataFrame, findings: DataFrame | None = None, words: list[str] | None = None) -> DataFrame:
     """``doc_id, place, candidate, probability, is_secret`` for every candidate of ``docs(doc_id, text, source)``."""
     words = dictionary(docs) if words is None else words
     found = candidates(docs, words)
-    model = train(rule_findings(found) if findings is None else findings)
+    model = train(found.withColumn("label", by_rule()) if findings is None else findings)
     if model is None or isinstance(model, float):
-        scored = found.withColumn("probability", F.lit(1.0 if model is None else model))
+        scored = found.withColumn("probability", F.lit(1.0) if model is None else by_rule())
     else:
         scored = model.transform(found).withColumn("probability", F.element_at(vector_to_array("probability"), 2))
     return scored.select("doc_id", F.col("place").cast("bigint").alias("place"), "candidate", "probability", (F.col("probability") >= 0.5).alias("is_secret"))

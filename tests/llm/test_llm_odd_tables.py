@@ -72,3 +72,13 @@ def test_assigned_values_are_candidates_in_every_form(spark):
     found = secret_forest.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"), []).withColumn("label", secret_forest.by_rule()).collect()
     assert sorted(r.candidate for r in found) == sorted([value, padded, far] * len(forms))
     assert all(r.named == 1 and r.assigned == 1 for r in found) and sum(r.label for r in found if r.candidate == value) == len(forms)
+
+
+def test_rare_secrets_are_found_in_large_tables(spark):
+    names = " ".join(f"release-of-the-library-{i:06d}" for i in range(25_000))
+    secrets = [(i, f'token = "{i:04x}a86d081884c7d659a2feaa0c55ad{i:04x}" end', "src/app") for i in range(1, 4)]
+    for text in ("nothing here", names):
+        out = secret_forest.scanned(spark.createDataFrame([(0, text, "src/app"), (0, "see release-of-the-library-number-1", "src/app"), *secrets], "doc_id long, text string, source string"), words=[]).where("is_secret").collect()
+        assert {r.doc_id for r in out} == {1, 2, 3}
+    only = secret_forest.scanned(spark.createDataFrame(secrets, "doc_id long, text string, source string"), secret_forest.candidates(spark.createDataFrame([(0, names[:999], "a")], "doc_id long, text string, source string"), []).withColumn("label", F.lit(0.0)), [])
+    assert only.where("is_secret").count() == 3
