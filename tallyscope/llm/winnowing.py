@@ -3,8 +3,12 @@
 Every run of ``GRAM`` code points has a rolling hash; in each window of
 ``WINDOW`` hashes the smallest is chosen, the rightmost of equal ones, and kept
 with its position.  Two texts that share at least ``GRAM + WINDOW - 1`` code
-points share a chosen hash.  A text shorter than a gram is one gram, a row of
-hashes shorter than a window one window; an empty text has no fingerprint.
+points share a chosen hash.  Texts of under 250 code points have shorter grams
+and windows (``SHORTER``, by the length of the text alone), so that a text and
+one that shares its half always share a chosen hash.  Two texts are compared
+with the grams of the shorter one, an edited text with those of its original.
+A text shorter than a gram is one gram, a row of hashes shorter than a window
+one window; an empty text has no fingerprint.
 
 To set each document beside the next one in descending order of ids, documents
 are dealt out once by ranges of ids and sorted within them; the first document
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from tallyscope.llm.common import mix
 
 GRAM, WINDOW = 24, 40
+#: Gram and window of texts with less code points than the first number: gram + window - 1 is at most half of the shortest such text.
+SHORTER = ((7, 1, 1), (30, 3, 2), (250, 8, 8))
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -79,6 +85,11 @@ def chosen(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     return h[at], at
 
 
+def grams_of(n: int) -> tuple[int, int]:
+    """Gram and window of a text of n code points."""
+    return next(((gram, window) for below, gram, window in SHORTER if n < below), (GRAM, WINDOW))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard likeness of two fingerprints; two empty ones are equal."""
     a, b = np.unique(a), np.unique(b)
@@ -102,18 +113,21 @@ def edited(text: str, following: str) -> str:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by range, then as the documents: each with the row after it."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    held = None  # range, id, text, fingerprint of the row before
+    held = None  # range, id, text, fingerprint, gram and window of the row before
     for batch in batches:
         out = [[] for _ in names]
         for bucket, doc, text, lent in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "lent"))):
-            own = chosen(text)
+            grams = grams_of(len(text))
+            own = chosen(text, *grams)
             if held is not None and held[0] == bucket:
-                _, last, before, mark = held
+                _, last, before, mark, used = held
                 mixed = edited(before, text)
-                other = chosen(mixed)
-                for c, v in zip(out, (last, len(before), hashlib.sha256(mixed.encode("utf-8", "surrogatepass")).hexdigest(), shown(*mark), shown(*other), likeness(mark[0], other[0]), likeness(mark[0], own[0]))):
+                other = chosen(mixed, *used)
+                least = min(used, grams)  # an empty text has no fingerprint under any
+                one, two = (m if g == least else chosen(t, *least) for t, m, g in ((before, mark, used), (text, own, grams)))
+                for c, v in zip(out, (last, len(before), hashlib.sha256(mixed.encode("utf-8", "surrogatepass")).hexdigest(), shown(*mark), shown(*other), likeness(mark[0], other[0]), likeness(one[0], two[0]))):
                     c.append(v)
-            held = None if lent else (bucket, doc, text, own)
+            held = None if lent else (bucket, doc, text, own, grams)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 

@@ -35,6 +35,17 @@ def test_winnowing_of_odd_rows(odd, spark):
     assert winnowing.fingerprints(spark.createDataFrame([], DOCS), 3).count() == 0
 
 
+def test_short_texts_that_share_a_half_are_alike(spark):
+    r = random.Random(8)
+    lengths = [2, 3, 6, 7, 8, 12, 29, 30, 31, 47, 48, 63, 100, 125, 126, 249, 250, 251, 400]
+    rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))) for i, n in enumerate(lengths)]
+    got = {x.doc_id: x for x in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert all(got[i].near_edited > 0 for i in range(len(lengths)))
+    text = rows[12][1]
+    near = winnowing.fingerprints(spark.createDataFrame([(1, text + rows[-1][1][:149]), (2, text + rows[-1][1][:151])], "doc_id long, text string"), 1).collect()
+    assert all(x.near_next > 0.9 for x in near)
+
+
 def test_mix_keeps_targets_and_reruns(spark, odd):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, "w " * r.randint(1, 90), r.choice("ab") if i % 3 else "c") for i in range(900)], "doc_id long, text string, source string")
