@@ -10,7 +10,13 @@ so spellings of one entity stay one entity everywhere.
 
 Surrogates are checked over the whole corpus: if two canonical forms of a type
 get the same one, or one equals a real entity, all but the smallest form (or
-the form itself) try again, until none is left; distinct stays distinct.
+the form itself) try again, until none is left; distinct stays distinct.  Names
+get two more syllables with every attempt.  Where the real numbers of one type,
+length and first digit are so many that tries would often fail, the numbers of
+that space are put in a keyed order and the real ones take the free ones by
+rank.  If over half of a space is real there are too few free ones: each real
+number then takes the next of the whole space in that order, so that distinct
+stays distinct and none stays as it is, but one may be another real number.
 
 Everything is built-in SQL functions.  Null texts stay null; rows without an
 entity are unchanged; repeated rows get equal results; columns named as the
@@ -19,15 +25,17 @@ operator's own are not touched, since helper columns are prefixed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rows import materialize
+from tallyscope.functions.rows import literal_rows, materialize
 from tallyscope.llm.common import packed, unpacked
 
 KEY = "tallyscope surrogate key"
 #: Attempts after which a still unresolved collision is an error.
 MOST_ATTEMPTS = 50
+#: Spaces of numbers with a greater share of real ones are dealt out by rank.
+MOST_LOAD = 1 / 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])"
@@ -81,7 +89,9 @@ def surrogate(key: str) -> str:
     latin, cyrillic = (f"array({', '.join(repr(x) for x in s)})" for s in (LATIN, CYRILLIC))
     syllable = lambda i: f"element_at(IF(canon RLIKE '[\\\\u0400-\\\\u04FF]', {cyrillic}, {latin}), 1 + CAST(conv(substr({hex_}, {i}, 1), 16, 10) AS INT))"
     ending = "CASE WHEN canon LIKE 'f %' THEN IF(canon RLIKE '[\\\\u0400-\\\\u04FF]', 'на', 'na') WHEN canon LIKE 'm %' THEN IF(canon RLIKE '[\\\\u0400-\\\\u04FF]', 'нов', 'nor') ELSE IF(canon RLIKE '[\\\\u0400-\\\\u04FF]', 'ни', 'ni') END"
-    family = f"concat({', '.join(syllable(i) for i in (5, 6, 7, 8))}, {ending})"
+    scripts = f"IF(canon RLIKE '[\\u0400-\\u04FF]', {cyrillic}, {latin})"
+    more = f"array_join(transform(sequence(1, 2 * least(attempt, 28)), i -> element_at({scripts}, 1 + CAST(conv(substr({hex_}, 8 + i, 1), 16, 10) AS INT))), '')"
+    family = f"concat({', '.join(syllable(i) for i in (5, 6, 7, 8))}, IF(attempt > 0, {more}, ''), {ending})"
     given = f"concat({', '.join(syllable(i) for i in (1, 2))}, {ending})"
     both = f"IF(substr(canon, 3) RLIKE '[ -]', concat({given}, regexp_extract(substr(canon, 3), '[ -]', 0), {family}), {family})"
     return f"""CASE kind
@@ -102,10 +112,50 @@ def shown(match: Column, kind: Column, form: Column) -> Column:
     return F.when(kind == "email", form).when(kind == "ip", form).when(kind == "name", proper).otherwise(digits)
 
 
+def _space() -> list[Column]:
+    """Type, length and first digit of a number; all that a surrogate of it keeps."""
+    return [F.col("kind"), F.length("canon").alias("size"), F.left("canon", F.lit(1)).alias("head")]
+
+
+def dealt(every: DataFrame, key: str = KEY) -> DataFrame | None:
+    """``kind, canon, form`` of the numbers in spaces too full for tries; None if there is no such space.
+
+    A space is at most 1 / MOST_LOAD times its real numbers, so its table grows as theirs.
+    """
+    spark = every.sparkSession
+    numbers = every.where(F.col("kind").isin("ssn", "phone") | (F.col("kind") == "card") & F.expr(f"{_luhn('canon')} % 10 <> 0"))
+    # At most ten rows per type and length.
+    full = numbers.groupBy(*_space()).count().where(F.col("count") > F.lit(MOST_LOAD) * F.pow(F.lit(10.0), F.col("size") - 1)).collect()
+    if not full:
+        return None
+    spaces = literal_rows(spark, [(r.kind, r.size, r.head, 10 ** (r.size - 1), 2 * r["count"] > 10 ** (r.size - 1)) for r in full], "kind string, size int, head string, forms bigint, over boolean")
+    blocks = spaces.withColumn("block", F.expr("explode(sequence(0L, (forms - 1) DIV 10000))")).repartition("kind", "size", "head", "block")
+    rows = blocks.withColumn("at", F.expr("explode(sequence(block * 10000, least(forms, (block + 1) * 10000) - 1))"))
+    rows = rows.select("kind", "size", "head", "over", F.concat("head", F.expr("IF(size > 1, lpad(CAST(at AS STRING), size - 1, '0'), '')")).alias("canon"))
+    rows = rows.join(numbers.select("kind", "canon", F.lit(True).alias("real")), ["kind", "canon"], "left")
+    order = [F.sha2(F.concat(F.lit(key), "kind", F.lit(":"), "canon"), 256), F.col("canon")]
+    own, group = Window.partitionBy("kind", "size", "head"), ["kind", "size", "head"]
+    crowded = rows.where("over")
+    following = F.coalesce(F.lead("canon").over(own.orderBy(*order)), F.first("canon").over(own.orderBy(*order)))
+    shifted = crowded.withColumn("form", following).where("real").select("kind", "canon", "form")
+    ranked = materialize(rows.where("NOT over").withColumn("rank", F.row_number().over(Window.partitionBy(*group, "real").orderBy(*order))), "ranks")
+    free = ranked.where("real IS NULL").select(*group, "rank", F.col("canon").alias("form"))
+    return shifted.union(ranked.where("real").join(free, [*group, "rank"]).select("kind", "canon", "form"))
+
+
 def mapping(found: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, canon, form`` for every distinct entity of ``found(kind, canon)``, without collisions."""
     every = materialize(found.distinct(), "entities")
-    formed = materialize(every.withColumn("attempt", F.lit(0)).withColumn("form", F.expr(surrogate(key))), "forms")
+    given = dealt(every, key)
+    if given is None:
+        return tried(every, every, key)
+    given = materialize(given, "dealt")
+    return given.unionByName(tried(every.join(given, ["kind", "canon"], "left_anti"), every, key))
+
+
+def tried(some: DataFrame, every: DataFrame, key: str = KEY) -> DataFrame:
+    """``kind, canon, form`` of ``some`` entities by tries until none of them collides with another or with one of ``every``."""
+    formed = materialize(some.withColumn("attempt", F.lit(0)).withColumn("form", F.expr(surrogate(key))), "forms")
     for _ in range(MOST_ATTEMPTS):
         twice = formed.groupBy("kind", "form").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "form", "first")
         clash = formed.join(twice, ["kind", "form"]).where("canon <> first").select("kind", "canon")

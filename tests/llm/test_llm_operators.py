@@ -122,6 +122,17 @@ def test_surrogates_are_consistent_and_distinct(spark, odd):
     assert surrogates.replaced(odd).count() == len(ODD)
 
 
+def test_surrogates_of_full_spaces_stay_distinct(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:06d}")
+    rows = [("name", f"m {name(i)}") for i in range(90_000)] + [("name", f"f {chr(1072 + i % 32)}{chr(1072 + i // 32 % 32)}{chr(1072 + i // 1024)}") for i in range(500)]
+    rows += [("phone", f"1{i:04d}") for i in range(5_000)] + [("phone", f"2{i:04d}") for i in range(9_000)] + [("phone", f"3{i:04d}") for i in range(10_000)] + [("phone", f"4{i:04d}") for i in range(40)]
+    got = surrogates.mapping(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    forms, real = {(r.kind, r.form) for r in got}, set(rows)
+    assert len(got) == len(rows) == len(forms) and all(r.form != r.canon for r in got)
+    assert all(len(r.form) == len(r.canon) and r.form[0] == r.canon[0] for r in got if r.kind == "phone")
+    assert not [r for r in got if (r.kind, r.form) in real and r.canon[0] not in "23"]
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(4, "http://a/b c", "<p>é</p>"), (2, None, "<p>é</p>"), (7, "x", None), (None, "y", "q\r\n\r\nz")], "page_id long, url string, html string")
     archives.write_warc(archives.with_revisits(archives.converted(archives.as_arc(pages, 2))), str(tmp_path / "w"))
