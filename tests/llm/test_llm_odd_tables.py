@@ -82,3 +82,10 @@ def test_rare_secrets_are_found_in_large_tables(spark):
         assert {r.doc_id for r in out} == {1, 2, 3}
     only = secret_forest.scanned(spark.createDataFrame(secrets, "doc_id long, text string, source string"), secret_forest.candidates(spark.createDataFrame([(0, names[:999], "a")], "doc_id long, text string, source string"), []).withColumn("label", F.lit(0.0)), [])
     assert only.where("is_secret").count() == 3
+
+
+def test_samples_hold_rare_labels(spark):
+    names = " ".join(f"release-of-the-library-{i:06d}" for i in range(3_000))
+    docs = spark.createDataFrame([(0, names, "src/app"), (1, 'token = "9f86d081884c7d659a2feaa0c55ad015" end', "src/app")], "doc_id long, text string, source string")
+    sample = secret_forest.rule_findings(secret_forest.candidates(docs, []), 20)
+    assert {r[0]: r[1] for r in sample.groupBy("label").count().collect()} == {0.0: 10, 1.0: 1}
