@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyscope.llm import archives, checks_sql, cube_mix, parity_join, piece_viterbi, quality_rules, secret_forest, sentence_spans, suffix_tree, surrogates, winnowing
+from tallyscope.llm import archives, benchmark_leaks, checks_sql, cube_mix, hard_negatives, infill, parity_join, piece_viterbi, quality_rules, secret_forest, sentence_spans, suffix_tree, surrogates, winnowing
 from tallyscope.llm.catalog import query
 from tallyscope.llm.common import table
 from tallyscope.session import checkpoint_folder
@@ -70,6 +70,25 @@ def op10(spark, folder):
     return suffix_tree.score(table(spark, folder, "documents"))
 
 
+@query("op11_fm_index", checks_sql.BENCHMARK_HITS)
+def op11(spark, folder):
+    found = benchmark_leaks.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op12_fill_in_middle", checks_sql.FILL_IN_MIDDLE)
+def op12(spark, folder):
+    made = infill.transformed(table(spark, folder, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query("op13_hard_negatives", checks_sql.HARD_NEGATIVES)
+def op13(spark, folder):
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
