@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
 from tallyscope.functions.registry import METRICS, Metric, question_phrases
-from tallyscope.functions.rows import materialize, name_of, quoted
+from tallyscope.functions.rows import name_of, quoted
 from tallyscope.operators.metrics import match_length_sql, unless_excluded_sql
-from tallyscope.operators.ordered import CHUNK, carry_forward
+from tallyscope.operators.ordered import RANGE, Ranges, in_ranges
 
 PERIOD_TYPE = "struct<kind:string,label:string,year:int,quarter:int,start_year:int,end_year:int>"
 
@@ -113,11 +113,8 @@ def term_pattern(terms: Sequence[str]) -> str:
     return "|".join(parts)
 
 
-def scope_category(text: str, history: str) -> Column:
-    """allowed, or why not: empty, too_long, advice, off_topic.
-
-    ``history`` is a boolean column: earlier messages exist in the conversation.
-    """
+def scope_parts(text: str) -> Column:
+    """Like ``scope_category``, but ``followup`` or ``followup_greeting`` where earlier messages decide."""
     space = scalars.ANY_SPACE
     stripped = f"regexp_replace(coalesce({name_of(text)}, ''), {quoted(f'^{space}|{space}$')}, '')"
     low = f"lower({stripped})"
@@ -136,10 +133,23 @@ def scope_category(text: str, history: str) -> Column:
         f"WHEN {mentions(vocab.ADVICE_TERMS)} THEN 'advice' "
         f"WHEN {mentions(vocab.OFF_TOPIC_TERMS)} THEN 'off_topic' "
         f"WHEN {mentions(vocab.FINANCE_TERMS)} OR {mentions(vocab.DATASET_HINTS)} THEN 'allowed' "
-        f"WHEN {name_of(history)} AND ({followup}) THEN 'allowed' "
+        f"WHEN {followup} THEN CASE WHEN {greeting} THEN 'followup_greeting' ELSE 'followup' END "
         f"WHEN {greeting} THEN 'allowed' ELSE 'off_topic' END")
 
 
+def scope_with(parts: Column, history: Column) -> Column:
+    """The category once it is known whether earlier messages exist."""
+    return F.when((parts == "followup_greeting") | ((parts == "followup") & history), "allowed").when(parts == "followup", "off_topic").otherwise(parts)
+
+
+def scope_category(text: str, history: str) -> Column:
+    """allowed, or why not: empty, too_long, advice, off_topic.
+
+    ``history`` is a boolean column: earlier messages exist in the conversation.
+    """
+    return scope_with(scope_parts(text), F.col(name_of(history)))
+
+
 # --- intent and hints ---------------------------------------------------------
 def own_intent(text: str, metric: str, is_ratio: str, periods: str, entity: str) -> Column:
     """Intent by the first rule that fits; NULL where a follow-up inherits the last intent.
@@ -217,41 +227,49 @@ def resolve_slots(questions: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Every user turn with slots, carried-over slots, scope category and intent.
 
     ``questions`` holds the user turns; an optional boolean ``has_history``
     column says that other messages came before (otherwise earlier user turns
-    decide).  Turns are integers, unique within a conversation.  The slots are
-    written once: pattern matching is the costly step, memory only reads it.
+    decide).  Turns are unique within a conversation and may have any gaps.
+
+    Turns lie in ranges of (conversation, turn); slots are found there and
+    written once.  Memory is one scan: all windows share the ranges' order, and
+    what enters a range is a row of slots and an intent.
     """
-    keys = [conversation]
-    found = resolve_slots(questions, text).withColumn(
-        "named_entity", F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity")))
-    slots = materialize(found, "question-slots")
-    if "has_history" not in questions.columns:
-        marked = carry_forward(slots, keys, turn, {"seen": F.lit(1)}, chunk)
-        slots = marked.withColumn("has_history", F.col("seen").isNotNull()).drop("seen")
-    judged = slots.withColumn("scope", scope_category(text, "has_history")).withColumn("allowed", F.col("scope") == "allowed")
-
-    def when_allowed(value: Column) -> Column:
-        return F.when(F.col("allowed"), value)
-
-    known = carry_forward(judged, keys, turn, {
-        "last_metric": when_allowed(F.col("own_metric")), "last_period": when_allowed(F.col("own_period")),
-        "last_entity": when_allowed(F.col("named_entity")),
-    }, chunk)
+    given = "has_history" in questions.columns
+
+    def slots(rows: DataFrame) -> DataFrame:
+        found = resolve_slots(rows, text).withColumn("scope_parts", scope_parts(text))
+        return found.withColumn("named_entity", F.when((F.col("entity") != "primary") | F.col("entity_hinted"), F.col("entity")))
+
+    placed = Ranges.of(in_ranges(questions, [conversation], [turn], ranges, slots, "question-slots"), [conversation], [turn])
+
+    def judged(part: Ranges) -> DataFrame:
+        rows = part.rows if given else part.with_earlier("has_history")
+        return rows.withColumn("scope", scope_with(F.col("scope_parts"), F.col("has_history"))).withColumn("allowed", F.col("scope") == "allowed")
+
+    def when_allowed(name: str) -> Column:
+        return F.when(F.col("allowed"), F.col(name))
+
+    remembered = {"last_metric": when_allowed("own_metric"), "last_period": when_allowed("own_period"), "last_entity": when_allowed("named_entity")}
+    known, entering = placed.carried(judged, remembered)
     ratio_ids = [m.metric_id for m in METRICS if m.is_derived]
-    filled = known.withColumns({
-        "metric_id": F.coalesce("own_metric", "last_metric"),
-        "period": F.when(F.size("periods") > 0, F.col("own_period")).when(F.col("is_followup"), F.col("last_period")),
-        "period_count": F.when(F.size("periods") > 0, F.size("periods")).when(
-            F.col("is_followup") & F.col("last_period").isNotNull(), 1).otherwise(0),
-        "entity": F.coalesce("named_entity", "last_entity", F.lit("primary")),
-    }).withColumn("is_ratio", F.coalesce(F.col("metric_id").isin(ratio_ids), F.lit(False)))
-    intents = filled.withColumn("own_intent", F.when(
-        F.col("allowed"), own_intent("normalized", "metric_id", "is_ratio", "period_count", "entity")).otherwise("unrelated"))
-    final = carry_forward(intents, keys, turn, {"last_intent": F.col("own_intent")}, chunk)
+
+    def decided(part: Ranges) -> DataFrame:
+        rows = known if part is placed else part.remembering(judged, remembered, entering)
+        filled = rows.withColumns({
+            "metric_id": F.coalesce("own_metric", "last_metric"),
+            "period": F.when(F.size("periods") > 0, F.col("own_period")).when(F.col("is_followup"), F.col("last_period")),
+            "period_count": F.when(F.size("periods") > 0, F.size("periods")).when(
+                F.col("is_followup") & F.col("last_period").isNotNull(), 1).otherwise(0),
+            "entity": F.coalesce("named_entity", "last_entity", F.lit("primary")),
+        }).withColumn("is_ratio", F.coalesce(F.col("metric_id").isin(ratio_ids), F.lit(False)))
+        return filled.withColumn("own_intent", F.when(
+            F.col("allowed"), own_intent("normalized", "metric_id", "is_ratio", "period_count", "entity")).otherwise("unrelated"))
+
+    final, _ = placed.carried(decided, {"last_intent": F.col("own_intent")})
     return final.withColumns({
         "intent": F.coalesce("own_intent", "last_intent", F.lit("unsupported")),
         "used_context": (F.col("own_metric").isNull() & F.col("last_metric").isNotNull())
@@ -260,7 +278,7 @@ def annotate(questions: DataFrame, conversation: str = "conv_id", turn: str = "t
         "aggregation": aggregation_hint("normalized", "period_count"),
         "comparison": comparison_hint("normalized"),
         "subjects": subject_hints("normalized"),
-    }).drop("own_intent", "last_intent", "entity_hinted", "named_entity", "is_ratio")
+    }).drop("own_intent", "last_intent", "entity_hinted", "named_entity", "is_ratio", "scope_parts", RANGE)
 
 
 # --- derived question table ---------------------------------------------------

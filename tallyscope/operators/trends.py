@@ -11,6 +11,7 @@ from tallyscope.functions import scalars, vocab
 from tallyscope.functions.rows import name_of
 from tallyscope.operators.columns import melt_numbers
 from tallyscope.operators.metrics import column_totals, named_columns, ranked_candidates
+from tallyscope.operators.ordered import RANGE, Ranges, in_ranges
 
 
 def metric_rows(wide: DataFrame, columns: Sequence[str], entity: str = "entity_id", date: str = "period_date",
@@ -41,46 +42,48 @@ def direction(growth: Column) -> Column:
     )
 
 
-def by_date(rows: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """One row per (entity, metric, date) with first, last and the changes inside the date.
+def _steps(ranges: Ranges) -> DataFrame:
+    """Rows with the number and date before them in their range."""
+    w = ranges.window()
+    return ranges.rows.withColumns({"before": F.lag("value").over(w), "date_before": F.lag("period_date").over(w)})
 
-    The row-level window is partitioned by date as well, so the rows of one
-    entity are spread over its dates; later steps see one row per date.
-    """
-    same_date = Window.partitionBy(entity, "metric_id", "period_date").orderBy("seq")
-    before = F.lag("value").over(same_date)
-    stepped = rows.withColumn("before", before)
-    change = F.try_divide(F.col("value"), F.col("before")) - 1
-    return stepped.groupBy(entity, "metric_id", "period_date").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min_by("value", "seq").alias("first_value"),
-        F.max_by("value", "seq").alias("last_value"),
-        F.sum(change).alias("inner_sum"), F.count(change).alias("inner_n"),
-        F.max(((F.col("before") == 0) & (F.col("value") != 0)).cast("int")).alias("inner_jump"),
-    )
 
-
-def analyze_trends(rows: DataFrame, entity: str = "entity_id") -> DataFrame:
+def analyze_trends(rows: DataFrame, entity: str = "entity_id", ranges: int | None = None) -> DataFrame:
     """Total and mean growth of each metric of each entity with two or more rows.
 
     A change from zero to another value has no finite rate; the mean growth is
     then NULL.  Steps that stay at zero are skipped.
+
+    Equal rows collapse first.  Then rows lie in ranges of (entity, metric,
+    date, order) of about equal size, so an entity with very many dates, or very
+    many rows of one date, is spread over tasks.  A range is summed up by its
+    ends and the sum of its steps; neighbouring ranges are joined by one step.
     """
-    dates = by_date(rows, entity)
-    in_time = Window.partitionBy(entity, "metric_id").orderBy("period_date")
-    previous = F.lag("last_value").over(in_time)
-    linked = dates.withColumn("previous", previous)
-    step = F.try_divide(F.col("first_value"), F.col("previous")) - 1
-    jump = (F.col("previous") == 0) & (F.col("first_value") != 0)
-    out = linked.groupBy(entity, "metric_id").agg(
+    keys = [entity, "metric_id"]
+    copies = rows.groupBy(*keys, "period_date", "seq", "value").agg(F.count(F.lit(1)).alias("copies"))
+    placed = Ranges(in_ranges(copies, keys, ["period_date", "seq", "value"], ranges, name="trend-rows"), tuple(keys), ("period_date", "seq", "value"), ())
+    change = F.try_divide(F.col("value"), F.col("before")) - 1
+    repeated = F.when(F.col("value") != 0, F.col("copies") - 1).otherwise(0)  # equal rows in a row: no change
+    place = F.struct("period_date", "seq", "value")
+    parts = _steps(placed).groupBy(RANGE, *keys).agg(
+        F.sum("copies").alias("rows"),
+        F.count_if(F.col("date_before").isNull() | (F.col("date_before") != F.col("period_date"))).alias("dates"),
+        F.min(place).alias("first"), F.max(place).alias("last"),
+        F.coalesce(F.sum(change), F.lit(0.0)).alias("step_sum"), (F.count(change) + F.sum(repeated)).alias("step_n"),
+        F.max(((F.col("before") == 0) & (F.col("value") != 0)).cast("int")).alias("jump"),
+    )
+    # One row per range that a metric of an entity lies in.
+    in_order = Window.partitionBy(*keys).orderBy(RANGE)
+    linked = parts.withColumn("previous", F.lag("last").over(in_order))
+    between = F.try_divide(F.col("first.value"), F.col("previous.value")) - 1
+    out = linked.groupBy(*keys).agg(
         F.sum("rows").alias("period_count"),
-        F.count(F.lit(1)).alias("distinct_periods"),
-        F.min_by("first_value", "period_date").alias("first_value"),
-        F.max_by("last_value", "period_date").alias("last_value"),
-        (F.coalesce(F.sum(step), F.lit(0.0)) + F.coalesce(F.sum("inner_sum"), F.lit(0.0))).alias("change_sum"),
-        (F.count(step) + F.sum("inner_n")).alias("change_n"),
-        F.max(F.greatest(F.coalesce(jump.cast("int"), F.lit(0)), F.coalesce("inner_jump", F.lit(0)))).alias("jumps"),
-    ).where("period_count >= 2")
+        (F.sum("dates") - F.count_if(F.col("previous.period_date") == F.col("first.period_date"))).alias("distinct_periods"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        (F.sum("step_sum") + F.coalesce(F.sum(between), F.lit(0.0))).alias("change_sum"),
+        (F.sum("step_n") + F.count(between)).alias("change_n"),
+        F.max(F.greatest(F.coalesce("jump", F.lit(0)), F.coalesce(((F.col("previous.value") == 0) & (F.col("first.value") != 0)).cast("int"), F.lit(0)))).alias("jumps"),
+    ).where("period_count >= 2").withColumns({"first_value": F.col("first.value"), "last_value": F.col("last.value")})
     growth = F.try_divide(F.col("last_value") - F.col("first_value"), F.abs("first_value")) * 100.0
     mean = F.when((F.col("change_n") > 0) & (F.col("jumps") == 0), F.col("change_sum") / F.col("change_n") * 100.0)
     return out.select(
@@ -101,17 +104,19 @@ def series_map(series: DataFrame, entity: str = "entity_id") -> DataFrame:
 
 
 def latest_change(series: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """Last period against the one before, in percent of the earlier value's size."""
+    """Last period against the one before, in percent of the earlier value's size.
+
+    ``row_number() <= 2`` lets every task send two rows a metric only.
+    """
     latest_first = Window.partitionBy(entity, "metric_id").orderBy(F.desc("period_date"))
-    in_time = Window.partitionBy(entity, "metric_id").orderBy("period_date")
+    two = series.withColumn("place", F.row_number().over(latest_first)).where("place <= 2")
+    pick = lambda c, place: F.max(F.when(F.col("place") == place, F.col(c)))
+    found = two.groupBy(entity, "metric_id").agg(
+        pick("period", 1).alias("period"), pick("value", 1).alias("value"), pick("period", 2).alias("previous_period"), pick("value", 2).alias("previous_value"))
     base = F.when(F.col("previous_value") == 0, 1.0).otherwise(F.abs("previous_value"))
-    return (
-        series.withColumn("previous_value", F.lag("value").over(in_time))
-        .withColumn("previous_period", F.lag("period").over(in_time))
-        .withColumn("place", F.row_number().over(latest_first)).where("place = 1 AND previous_value IS NOT NULL")
-        .select(entity, "metric_id", "period", "value", "previous_period", "previous_value",
-                ((F.col("value") - F.col("previous_value")) / base * 100.0).alias("change_pct"))
-    )
+    return found.where("previous_value IS NOT NULL").select(
+        entity, "metric_id", "period", "value", "previous_period", "previous_value",
+        ((F.col("value") - F.col("previous_value")) / base * 100.0).alias("change_pct"))
 
 
 def attach_trends(metrics: DataFrame, trends: DataFrame, series: DataFrame, entity: str = "entity_id") -> DataFrame:

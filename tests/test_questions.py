@@ -49,7 +49,7 @@ def test_memory_and_intents(spark):
     turns = ["What was our revenue in 2024?", "and in 2023?", "How does the competitor compare?", "what about the market?", "weather today", "same for deposits", "why?"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)] + [(2, 0, "and the total?")], "conv_id long, turn long, text string")
     for chunk in (1, 2, 10_000):
-        rows = questions.annotate(df, chunk=chunk).where("conv_id = 1").orderBy("turn").collect()
+        rows = questions.annotate(df, ranges=chunk).where("conv_id = 1").orderBy("turn").collect()
         assert [r.metric_id for r in rows] == ["revenue"] * 5 + ["deposits", "deposits"]
         assert [r.intent for r in rows] == ["metric_lookup", "metric_lookup", "competitor_comparison", "market_benchmark", "unrelated", "market_benchmark", "market_benchmark"] or rows[5].entity == "market"
         assert [r.entity for r in rows][:4] == ["primary", "primary", "secondary", "secondary"] or rows[3].entity == "market"

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
 from tallyscope.functions.registry import METRICS, question_phrases
-from tallyscope.functions.rows import spread
 from tallyscope.operators import metrics, questions
 from tallyscope.plans.statements import read
 from workload import finance_sql
@@ -39,7 +38,7 @@ step("mentions", "SELECT t, s.metric_id, s.mord, max(length(regexp_extract(conca
 
 
 def asked(spark, folder):
-    return spread(questions.derived_questions(read(spark, folder, "orders")))
+    return questions.derived_questions(read(spark, folder, "orders"))
 
 
 def clean(spark, folder):
@@ -155,8 +154,8 @@ def question_intents(spark, folder):
     "SELECT conv_id, turn, metric_id, entity, periods::INT AS periods, (own_metric IS NULL AND last_metric IS NOT NULL) OR (own_periods = 0 AND coalesce(follow AND last_period = 1, FALSE)) "
     "OR (own_entity IS NULL AND coalesce(last_entity <> 'primary', FALSE)) AS used_context FROM filled", "filled"))
 def question_memory(spark, folder):
-    # Small chunks: conversations are cut into many, as a hot one would be.
-    found = questions.annotate(asked(spark, folder), chunk=500)
+    # Many ranges: conversations are cut by them, as a hot one would be.
+    found = questions.annotate(asked(spark, folder), ranges=40)
     return found.select("conv_id", "turn", "metric_id", "entity", F.col("period_count").alias("periods"), "used_context")
 
 
