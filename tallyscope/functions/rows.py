@@ -55,6 +55,11 @@ def stack_rows(cells: Sequence[Sequence[str]], names: Sequence[str]) -> str:
     return f"stack({len(cells)}, {flat}) AS ({', '.join(name_of(n) for n in names)})"
 
 
+def place_of(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/tallyscope/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the table under the checkpoint folder and read it back.
 
@@ -63,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     instead of a recomputation from the raw tables.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/tallyscope/{name}-{uuid.uuid4().hex}"
+    path = place_of(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

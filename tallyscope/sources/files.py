@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.rows import name_of
+from tallyscope.functions.rows import materialize, name_of, place_of
 from tallyscope.operators.checks import unique_names
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -23,19 +22,6 @@ class UnreadableFile(ValueError):
     """The file holds nothing that can be read as a table."""
 
 
-@dataclass(frozen=True)
-class TextLayout:
-    delimiter: str
-    has_header: bool
-    encoding: str
-
-
-def first_lines(spark: SparkSession, path: str, count: int = SNIFF_LINES, encoding: str = "utf-8") -> list[str]:
-    """The first non-blank lines of the text: a fixed number reaches the driver."""
-    text = spark.read.option("encoding", encoding).option("wholetext", False).text(path)
-    return [r.value for r in text.where("length(trim(value)) > 0").limit(count).collect()]
-
-
 def _fields(line: str, delimiter: str) -> list[str]:
     out, quoted, current = [], False, ""
     for ch in line:
@@ -49,6 +35,17 @@ def _fields(line: str, delimiter: str) -> list[str]:
     return [*out, current]
 
 
+def whole_records(lines: Sequence[str]) -> list[str]:
+    """Lines that go on inside quotes put together; the last one is left out if it is still open (the sample ends there)."""
+    out, held = [], []
+    for line in lines:
+        held.append(line)
+        if sum(part.count('"') for part in held) % 2 == 0:
+            out.append("\n".join(held))
+            held = []
+    return out or list(lines)
+
+
 def guess_delimiter(lines: Sequence[str]) -> str:
     """The candidate splitting all lines into the same number of fields; comma if none occurs.
 
@@ -96,44 +93,59 @@ def guess_header(lines: Sequence[str], delimiter: str) -> bool:
     return votes > 0 if judged else True
 
 
-def guess_layout(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str | None = None) -> TextLayout:
-    lines = first_lines(spark, path, encoding=encoding)
-    chosen = delimiter or ("\t" if path.lower().endswith(".tsv") else guess_delimiter(lines))
-    return TextLayout(chosen, guess_header(lines, chosen), encoding)
-
-
-def has_open_quotes(spark: SparkSession, path: str, encoding: str = "utf-8") -> bool:
-    """Does any line of the text end inside quotes?  Looks at lines until one does, at all of them otherwise."""
-    text = spark.read.option("encoding", encoding).text(path)
-    return bool(text.where("mod(length(value) - length(replace(value, '\"', '')), 2) = 1").take(1))
-
-
-def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, has_header: bool | None = None,
-                   encoding: str = "utf-8", schema: T.StructType | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Delimited text; what is not given is guessed from the text.
+def file_layouts(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str | None = None) -> DataFrame:
+    """(file, delimiter, has_header, breaks) per file of delimited text.
 
-    Rows with too many or too few fields, or values that do not fit, are kept
-    with their text in ``_corrupt_record``.  A given schema must name that column
-    to get it; without a schema it is there if any row is malformed, which takes
-    one more scan.  ``multi_line`` allows line breaks inside quotes; Spark then
-    reads each file in one task, so it is on only where a line ends inside
-    quotes.  Say False for text without such breaks to save that look.
-    Without a header columns are col_0, col_1, ...; repeated names get their
-    position as suffix.
+    The first lines of each file tell its delimiter and header; ``breaks`` says
+    that a line of it ends inside quotes.  One scan: of every file only
+    ``SNIFF_LINES`` lines and a count are shuffled.
     """
-    layout = guess_layout(spark, path, encoding, delimiter) if None in (delimiter, has_header) else None
-    chosen = delimiter or layout.delimiter
-    header = has_header if has_header is not None else layout.has_header
-    breaks = has_open_quotes(spark, path, encoding) if multi_line is None else multi_line
+    text = spark.read.option("encoding", encoding).text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = text.where("length(trim(value)) > 0")
+    first = Window.partitionBy("file").orderBy("block", "at")
+    sample = lines.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SNIFF_LINES)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    open_ = lines.groupBy("file").agg((F.max(quotes % 2) == 1).alias("breaks"))
+
+    def guess(rows):
+        import pandas as pd
+
+        own = whole_records(rows.sort_values("place")["value"].tolist())
+        name = rows["file"].iloc[0]
+        chosen = delimiter or ("\t" if name.lower().endswith(".tsv") else guess_delimiter(own))
+        return pd.DataFrame({"file": [name], "delimiter": [chosen], "has_header": [guess_header(own, chosen)]})
+
+    guessed = sample.groupBy("file").applyInPandas(guess, "file string, delimiter string, has_header boolean")
+    return guessed.join(open_, "file").select("file", "delimiter", "has_header", "breaks")
+
+
+def _like(parts: list[DataFrame]) -> DataFrame:
+    """All rows by column name; a column whose types differ otherwise than in width becomes text."""
+    if len(parts) == 1:
+        return parts[0]
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            if not isinstance(f.dataType, T.NullType):
+                kinds.setdefault(f.name, set()).add("number" if isinstance(f.dataType, T.NumericType) else f.dataType.simpleString())
+    every = None
+    for part in parts:
+        own = part.select(*[F.col(name_of(c)).cast("string").alias(c) if len(kinds.get(c, ())) > 1 else F.col(name_of(c)) for c in part.columns])
+        every = own if every is None else every.unionByName(own, allowMissingColumns=True)
+    return every
+
+
+def _read_group(spark: SparkSession, paths: str | list[str], delimiter: str, header: bool, breaks: bool, encoding: str, schema: T.StructType | None) -> DataFrame | None:
     reader = (
-        spark.read.option("sep", chosen).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+        spark.read.option("sep", delimiter).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
         .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).option("multiLine", breaks)
     )
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    df = reader.schema(schema).csv(paths) if schema is not None else reader.option("inferSchema", True).csv(paths)
     if not df.columns:
-        raise UnreadableFile(f"no data in {path}")
+        return None
     if schema is None and CORRUPT not in df.columns:
-        checked = reader.schema(T.StructType([*df.schema.fields, T.StructField(CORRUPT, T.StringType())])).csv(path)
+        checked = reader.schema(T.StructType([*df.schema.fields, T.StructField(CORRUPT, T.StringType())])).csv(paths)
         df = checked if bad_lines(checked).take(1) else df
     fields = [c for c in df.columns if c != CORRUPT]
     names = unique_names([c.strip() for c in fields] if header else [f"col_{i}" for i in range(len(fields))])
@@ -141,6 +153,52 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     return df.toDF(*[renamed.get(c, c) for c in df.columns])
 
 
+def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, has_header: bool | None = None,
+                   encoding: str = "utf-8", schema: T.StructType | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Delimited text; what is not given is found out for each file of a folder.
+
+    Files of the same layout (delimiter, header, line breaks inside quotes, and
+    the header's own names) are read together; the groups are put together by
+    column name.  Only files with a line that ends inside quotes are read whole
+    by one task each; ``multi_line`` says so for all and saves the look.
+
+    Rows with too many or too few fields, or values that do not fit, are kept
+    with their text in ``_corrupt_record``.  A given schema must name that column
+    to get it; without a schema it is there if any row is malformed, which takes
+    one more scan.  Without a header columns are col_0, col_1, ...; repeated
+    names get their position as suffix.
+    """
+    if None not in (delimiter, has_header, multi_line):
+        found = _read_group(spark, path, delimiter, has_header, multi_line, encoding, schema)
+        if found is None:
+            raise UnreadableFile(f"no data in {path}")
+        return found
+    # One row per file, as Spark's own listing of the folder holds on the driver.
+    layouts = file_layouts(spark, path, encoding, delimiter).collect()
+    groups: dict[tuple, list[str]] = {}
+    for r in layouts:
+        header = r.has_header if has_header is None else has_header
+        breaks = r.breaks if multi_line is None else multi_line
+        groups.setdefault((r.delimiter, header, breaks), []).append(r.file)
+    if schema is None and any(header for _, header, _ in groups):
+        # Spark takes the names of a group from one file: files with other names are read apart.
+        heads = spark.read.option("encoding", encoding).text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").where("length(trim(value)) > 0")
+        names = {r.file: r.value for r in heads.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("value")).collect()}
+        groups = {k: v for (d, h, m), files in groups.items() for k, v in _by_name(d, h, m, files, names).items()}
+    parts = [df for (d, h, m, *_), files in sorted(groups.items(), key=lambda g: min(g[1])) if (df := _read_group(spark, sorted(files), d, h, m, encoding, schema)) is not None]
+    if not parts:
+        raise UnreadableFile(f"no data in {path}")
+    return _like(parts)
+
+
+def _by_name(delimiter: str, header: bool, breaks: bool, paths: list[str], names: dict[str, str]) -> dict[tuple, list[str]]:
+    out: dict[tuple, list[str]] = {}
+    for p in paths:
+        out.setdefault((delimiter, header, breaks, names[p] if header else ""), []).append(p)
+    return out
+
+
 def bad_lines(df: DataFrame) -> DataFrame:
     """Rows that did not fit the schema."""
     return df.where(F.col(CORRUPT).isNotNull()) if CORRUPT in df.columns else df.where(F.lit(False))
@@ -159,65 +217,119 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(".".join(name_of(p) for p in path)).alias(".".join(path)) for path in leaves(df.schema, ())])
 
 
-def _record_list(schema: T.StructType) -> str | None:
-    lists = [f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    return lists[0] if len(lists) == 1 and len(schema.fields) <= UNWRAP_MAX_KEYS else None
+def _is_object(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
+
+
+def json_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, shape, unwrap_key, records, scalars) per JSON document of a folder.
+
+    Shapes: array_of_objects, array_of_scalars and scalar (``scalars`` holds their
+    texts), object_wrapping_array (exactly one list of objects, under
+    ``unwrap_key``), single_object, empty_array, and NULL where the file is no
+    JSON.  ``records`` holds the objects as variants.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    parts = text.select("file", "doc", F.try_variant_get("doc", "$", "array<variant>").alias("items"), F.try_variant_get("doc", "$", "map<string,variant>").alias("fields"))
+    inner = parts.withColumn("lists", F.filter(
+        F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "array<variant>").alias("items"))),
+        lambda e: (F.size(e["items"]) > 0) & F.forall(e["items"], _is_object)))
+    wraps = (F.size("lists") == 1) & (F.size("fields") <= UNWRAP_MAX_KEYS)
+    shape = (
+        F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("items").isNotNull(), F.when(F.size("items") == 0, "empty_array").when(F.forall("items", _is_object), "array_of_objects").otherwise("array_of_scalars"))
+        .when(F.col("fields").isNotNull(), F.when(wraps, "object_wrapping_array").otherwise("single_object")).otherwise("scalar")
+    )
+    shown = inner.withColumn("shape", shape)
+    first = F.get("lists", F.lit(0))
+    records = F.when(F.col("shape") == "array_of_objects", F.col("items")).when(F.col("shape") == "object_wrapping_array", first["items"]).when(F.col("shape") == "single_object", F.array("doc"))
+    plain = F.when(F.col("shape") == "array_of_scalars", F.col("items")).when(F.col("shape") == "scalar", F.array("doc"))
+    return shown.select("file", "shape", F.when(F.col("shape") == "object_wrapping_array", first["key"]).alias("unwrap_key"),
+                        records.alias("records"), F.transform(plain, lambda x: F.try_variant_get(x, "$", "string")).alias("scalars"))
+
+
+def _records(spark: SparkSession, lines: DataFrame, plain: DataFrame) -> DataFrame:
+    """Objects given as JSON texts, flattened, and scalars as a ``value`` column; ``lines`` is written once to learn its schema."""
+    path = place_of(spark, "json-records")
+    lines.write.text(path)
+    schema = spark.read.json(path).schema
+    schema = T.StructType([f for f in schema.fields if f.name != CORRUPT])
+    if not schema.fields:
+        return plain
+    rows = flatten(spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*"))
+    return rows.unionByName(plain, allowMissingColumns=True) if plain.take(1) else rows
 
 
 def read_json_document(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Rows of JSON documents and the shape found.
+    """Rows of JSON documents and the shape found (see ``json_shapes``; ``mixed`` where files differ).
 
-    Shapes: array_of_objects, array_of_scalars and scalar (a ``value`` column),
-    object_wrapping_array (exactly one list of objects), single_object,
-    empty_array.  Every file is one document; files are read in parallel.
+    Every file is one document and is judged by itself; files are read in
+    parallel.  Nested objects become dotted columns.
     """
-    documents = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("doc"))
-    first = documents.select(F.substring("doc", 1, 1).alias("c")).limit(1).collect()
-    if not first:
+    shapes = json_shapes(spark, path)
+    found = {r.shape: r.file for r in shapes.groupBy("shape").agg(F.min("file").alias("file")).collect()}
+    if not found:
         raise UnreadableFile(f"no JSON document in {path}")
-    mark = first[0].c
-    if mark not in ("[", "{"):
-        return documents.select(F.regexp_replace("doc", '^"|"$', "").alias("value")), "scalar"
-    df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    if df.columns in ([CORRUPT], []):
-        if mark == "[":
-            items = F.from_json("doc", "array<string>")
-            scalars_ = documents.select(F.explode(items).alias("value"))
-            broken = documents.where(F.from_json("doc", "array<string>").isNull()).limit(1).collect()
-            if not broken:
-                return scalars_, "array_of_scalars" if scalars_.limit(1).collect() else "empty_array"
-        raise UnreadableFile(f"invalid JSON document in {path}")
-    if CORRUPT in df.columns:
-        raise UnreadableFile(f"invalid JSON document in {path}")
-    if mark == "[":
-        return flatten(df), "array_of_objects"
-    inner = _record_list(df.schema)
-    if inner is not None:
-        return flatten(df.select(F.inline(name_of(inner)))), "object_wrapping_array"
-    return flatten(df), "single_object"
+    if None in found:
+        raise UnreadableFile(f"invalid JSON document in {found[None]}")
+    objects = shapes.select(F.explode("records").alias("r")).select(F.to_json("r").alias("value"))
+    rows = _records(spark, objects, shapes.select(F.explode("scalars").alias("value")))
+    return rows, next(iter(found)) if len(found) == 1 else "mixed"
+
+
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of text files with the keys of their numbers, and the table that numbers them.
+
+    A file may be split over tasks.  Each (file, block) has its number of lines
+    counted once; the counts of the blocks before it give the number of its
+    first line.  ``with_numbers`` joins both, so only the lines it is given are moved.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return lines, materialize(blocks.withColumn("lines_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "line-blocks")
+
+
+def with_numbers(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Adds ``line_number``, counted from 1 in each file."""
+    met = lines.join(blocks, ["file", "block"])
+    return met.withColumn("line_number", F.col("lines_before") + F.col("at") - F.col("first_at") + 1).drop("lines_before", "first_at")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected): parsed objects, flattened, and the lines that are no JSON.
 
-    Scalars become a ``value`` column.  ``rejected`` holds (line) per bad line,
-    so nothing is lost silently.
+    Scalars and lists become a ``value`` column: texts without quotes and
+    escapes, ``null`` as NULL, lists as JSON.  ``rejected`` holds (file,
+    line_number, line) per bad line; blank lines count and are skipped.
+    A folder without a single good line is unreadable.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
-    valid = F.try_parse_json("line").isNotNull()
-    rejected = lines.where(~valid)
-    is_object = F.col("line").startswith("{")
+    lines, blocks = numbered_lines(spark, path)
+    blank = r"^[\s\x0B\x1C-\x1F]*$"
+    parsed = lines.where(~F.col("value").rlike(blank)).withColumn("doc", F.try_parse_json("value"))
+    bad = parsed.where("doc IS NULL").select("file", "block", "at", F.col("value").alias("line"))
+    rejected = with_numbers(bad, blocks).select("file", "line_number", "line")
+    good = parsed.where("doc IS NOT NULL")
+    is_object = F.ltrim("value").startswith("{")
+    if not good.take(1) and bad.take(1):
+        raise UnreadableFile(f"no JSON line in {path}")
     inferred = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path).schema
     schema = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
-    plain = lines.where(valid & ~is_object).select(F.regexp_replace("line", '^"|"$', "").alias("value"))
+    plain = good.where(~is_object).select(F.try_variant_get("doc", "$", "string").alias("value"))
     if not schema.fields:
         return plain, rejected
-    rows = flatten(lines.where(valid & is_object).select(F.from_json("line", schema).alias("r")).select("r.*"))
-    if "value" not in rows.columns and plain.limit(1).collect():
+    rows = flatten(good.where(is_object).select(F.from_json("value", schema).alias("r")).select("r.*"))
+    if plain.take(1):
+        if "value" in rows.columns:
+            rows = rows.withColumn("value", F.col("value").cast("string"))
         rows = rows.unionByName(plain, allowMissingColumns=True)
     return rows, rejected
 
 
+def bad_line_report(rejected: DataFrame) -> DataFrame:
+    """(file, bad_line_count, first_bad_line) of the files with bad lines."""
+    return rejected.groupBy("file").agg(F.count(F.lit(1)).alias("bad_line_count"), F.min("line_number").alias("first_bad_line"))
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet with an optional projection, which reaches the scan."""
     df = spark.read.parquet(path)

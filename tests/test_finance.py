@@ -178,3 +178,29 @@ def test_overlap_counts(spark):
     values = spark.createDataFrame([("a", "revenue", 1.0), ("a", "cash", 2.0), ("b", "cash", 3.0), ("b", "debt", 1.0), ("b", "tax", 1.0)], "entity_id string, metric_id string, value double")
     row = scenario.metric_overlap(spark.createDataFrame([("a", "b")], "primary_id string, secondary_id string"), values).first()
     assert (row.overlap, row.only_primary, row.only_secondary, row.union_size) == (1, 1, 2, 4)
+
+
+def test_trends_of_hot_entities_are_spread(spark):
+    """Many timestamps, many rows of one date and repeated rows of one entity, against a plain loop."""
+    import datetime as dt
+    import random
+
+    from tallyscope.operators.ordered import RANGE, in_ranges
+
+    r = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("hot", start + dt.timedelta(seconds=r.randint(0, 900)), float(r.choice([0, 1, 2, 5, 8])), i % 50) for i in range(3000)]
+    rows += [("hot", start, 4.0, 7)] * 500 + [("cold", start, 2.0, 1), ("cold", start + dt.timedelta(days=40), 3.0, 1), ("one", start, 1.0, 1)]
+    rows = [(e, t, v if e != "hot" else v + 1, n) for e, t, v, n in rows]
+    df = spark.createDataFrame(rows, "entity_id string, period_date timestamp, value double, seq int").selectExpr("entity_id", "'revenue' AS metric_id", "period_date", "CAST(seq AS DOUBLE) AS seq", "value")
+    for ranges in (1, 7):
+        got = {x.entity_id: x for x in trends.analyze_trends(df, ranges=ranges).collect()}
+        assert set(got) == {"hot", "cold"}
+        for e in got:
+            own = sorted((t, n, v) for k, t, v, n in rows if k == e)
+            steps = [b[2] / a[2] - 1 for a, b in zip(own, own[1:])]
+            assert (got[e].period_count, got[e].distinct_periods) == (len(own), len({x[0] for x in own}))
+            assert (got[e].first_value, got[e].last_value) == (own[0][2], own[-1][2])
+            assert got[e].avg_period_growth == pytest.approx(sum(steps) / len(steps) * 100)
+    sizes = [x[1] for x in in_ranges(df.distinct(), ["entity_id"], ["period_date", "seq", "value"], 7).groupBy(RANGE).count().collect()]
+    assert len(sizes) == 7 and max(sizes) < 2 * min(sizes)

@@ -48,7 +48,7 @@ def test_scope(spark):
 def test_memory_and_intents(spark):
     turns = ["What was our revenue in 2024?", "and in 2023?", "How does the competitor compare?", "what about the market?", "weather today", "same for deposits", "why?"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)] + [(2, 0, "and the total?")], "conv_id long, turn long, text string")
-    for chunk in (1, 2, 10_000):
+    for chunk in (1, 2, 7):
         rows = questions.annotate(df, ranges=chunk).where("conv_id = 1").orderBy("turn").collect()
         assert [r.metric_id for r in rows] == ["revenue"] * 5 + ["deposits", "deposits"]
         assert [r.intent for r in rows] == ["metric_lookup", "metric_lookup", "competitor_comparison", "market_benchmark", "unrelated", "market_benchmark", "market_benchmark"] or rows[5].entity == "market"
@@ -102,3 +102,22 @@ def test_streaming_memory(spark, tmp_path):
     assert got[(1, 1)] == ("revenue", "FY2024", "primary", 2)
     assert got[(1, 2)] == ("revenue", "FY2024", "secondary", 3)
     assert got[(2, 1)][:2] == ("deposits", "last year")
+
+
+def test_memory_over_many_ranges_equals_one(spark):
+    """A hot conversation with gaps in its turns, null conversations and refused turns: any number of ranges gives the same rows."""
+    import random
+
+    r = random.Random(6)
+    wordings = ["What was our revenue in 2024?", "and in 2023?", "How does the competitor compare?", "weather today", "same for deposits", "why?", "what about that", "Should I buy this stock?", "and the market?"]
+    rows = [(1, i * i * 1000, r.choice(wordings)) for i in range(150)] + [(c, t, r.choice(wordings)) for c in range(2, 30) for t in range(3)] + [(None, t, r.choice(wordings)) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    columns = ["conv_id", "turn", "scope", "intent", "metric_id", "period", "entity", "period_count", "used_context"]
+    one, many = (sorted((str(x) for x in questions.annotate(df, ranges=n).select(columns).collect())) for n in (1, 23))
+    assert one == many and len(one) == len(rows)
+
+
+def test_memory_is_one_scan(spark):
+    df = spark.createDataFrame([(1, i, "what about that") for i in range(40)], "conv_id long, turn long, text string")
+    plan = questions.annotate(df, ranges=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 1 and plan.count("Exchange hashpartitioning") <= 1

@@ -183,3 +183,60 @@ def test_line_breaks_in_quotes_and_surplus_fields(spark, tmp_path):
     got = files.read_delimited(spark, plain, delimiter=",", has_header=False, multi_line=False).cache()
     assert got.columns == ["col_0", "col_1", "col_2", "_corrupt_record"] or got.columns == ["col_0", "col_1", "col_2", "col_3", "_corrupt_record"]
     assert got.count() == 2 and files.bad_lines(got).count() == 1
+
+
+def test_bad_lines_are_numbered_over_splits(spark, tmp_path):
+    folder = tmp_path / "numbered"
+    folder.mkdir()
+    want = {}
+    for name, n in (("a.jsonl", 3000), ("b.jsonl", 700)):
+        lines = ["" if i % 11 == 5 else '{"x": ' if i % 97 == 3 else json.dumps({"x": i, "t": "é" * (i % 40)}) for i in range(n)]
+        want[name] = [i + 1 for i, line in enumerate(lines) if line == '{"x": ']
+        (folder / name).write_text("\n".join(lines), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        rows, rejected = files.read_json_lines(spark, str(folder))
+        got = {}
+        for r in rejected.collect():
+            got.setdefault(r.file.rsplit("/", 1)[-1], []).append(r.line_number)
+        assert {k: sorted(v) for k, v in got.items()} == want and spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+        report = {r.file.rsplit("/", 1)[-1]: (r.bad_line_count, r.first_bad_line) for r in files.bad_line_report(rejected).collect()}
+        assert report == {k: (len(v), v[0]) for k, v in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_json_scalars_lose_quotes_and_escapes(spark, tmp_path):
+    lines = [json.dumps('s"t\n\\é'), "null", "1.5", "true", '[1, {"a": 2}]', '  "x"  ', "\t"]
+    rows, rejected = files.read_json_lines(spark, write(tmp_path, "s.jsonl", "\n".join(lines)))
+    assert sorted(r.value or "" for r in rows.collect()) == sorted(['s"t\n\\é', "", "1.5", "true", '[1,{"a":2}]', "x"]) and rejected.count() == 0
+    with pytest.raises(files.UnreadableFile):
+        files.read_json_lines(spark, write(tmp_path, "none.jsonl", "{\n[\n"))
+    rows, _ = files.read_json_document(spark, write(tmp_path, "s.json", json.dumps('a"b\tc')))
+    assert rows.first().value == 'a"b\tc'
+
+
+def test_documents_of_several_shapes(spark, tmp_path):
+    folder = tmp_path / "shapes"
+    folder.mkdir()
+    for name, payload in {"a": [{"k": 1}, {"k": 2, "o": {"p": "x"}}], "b": {"k": 3}, "c": [4, None], "d": {"n": 1, "all": [{"k": 5}]}, "e": [], "f": {"one": [{"k": 1}], "two": [{"k": 1}]}, "g": [{"k": 1}, 2]}.items():
+        (folder / f"{name}.json").write_text(json.dumps(payload, indent=1))
+    rows, shape = files.read_json_document(spark, str(folder))
+    shapes = {r.file.rsplit("/", 1)[-1][0]: (r.shape, r.unwrap_key) for r in files.json_shapes(spark, str(folder)).collect()}
+    assert shape == "mixed" and shapes == {"a": ("array_of_objects", None), "b": ("single_object", None), "c": ("array_of_scalars", None), "d": ("object_wrapping_array", "all"), "e": ("empty_array", None), "f": ("single_object", None), "g": ("array_of_scalars", None)}
+    assert sorted(str(r.k) for r in rows.collect()) == sorted(["1", "2", "3", "5"] + ["None"] * 5) and "o.p" in rows.columns
+    assert sorted(r.value for r in rows.where("value IS NOT NULL").collect()) == ["2", "4", '{"k":1}']
+
+
+def test_files_of_a_folder_have_their_own_layouts(spark, tmp_path):
+    folder = tmp_path / "layouts"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,name,n\n1,"x, y\nz",3\n2,w,4\n')
+    (folder / "b.csv").write_text("id;name;n\n3;a,b;5\n4;c;6\n")
+    (folder / "c.tsv").write_text("n\tid\n7\t5\n8\tsix\n")
+    layouts = {r.file.rsplit("/", 1)[-1]: (r.delimiter, r.has_header, r.breaks) for r in files.file_layouts(spark, str(folder)).collect()}
+    assert layouts == {"a.csv": (",", True, True), "b.csv": (";", True, False), "c.tsv": ("\t", True, False)}
+    rows = files.read_delimited(spark, str(folder)).collect()
+    assert sorted((r.id, r.name, r.n) for r in rows) == sorted([("1", "x, y\nz", 3), ("2", "w", 4), ("3", "a,b", 5), ("4", "c", 6), ("5", None, 7), ("six", None, 8)])

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rows import place_of
 from tallyscope.plans.statements import read
-from tallyscope.session import checkpoint_folder
 from tallyscope.sources import files
 from workload.catalog import query
 
 
-def _place(spark, name: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/tallyscope/{name}-{uuid.uuid4().hex}"
-
-
 _DIGEST = "CAST(conv(substring(md5(text), 1, 8), 16, 10) AS BIGINT)"
 _FACTS = ("count(*) AS n_documents", "count(text) AS n_texts", "sum(char_length(text)) AS n_chars", f"sum({_DIGEST}) AS digest", "sum(doc_id) AS ids", "count(source) AS n_sources")
 _SQL = "SELECT lang, count(*) AS n_documents, count(text) AS n_texts, sum(length(text))::BIGINT AS n_chars, sum(('0x' || substr(md5(text), 1, 8))::BIGINT)::BIGINT AS digest, sum(doc_id)::BIGINT AS ids, count(source) AS n_sources FROM documents GROUP BY lang"
@@ -28,7 +22,7 @@ def _facts(df):
 @query("csv_documents", _SQL)
 def csv_documents(spark, folder):
     """All documents through quoted delimited text and back: line breaks and quotes in texts stay."""
-    path = _place(spark, "csv")
+    path = place_of(spark, "csv")
     docs = read(spark, folder, "documents")
     options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.options(**options).csv(path)
@@ -38,8 +32,90 @@ def csv_documents(spark, folder):
 @query("json_lines_documents", _SQL)
 def json_lines_documents(spark, folder):
     """All documents through JSON lines and back; no line is rejected."""
-    path = _place(spark, "jsonl")
+    path = place_of(spark, "jsonl")
     read(spark, folder, "documents").write.json(path)
     rows, rejected = files.read_json_lines(spark, path)
     bad = rejected.select(F.col("line").alias("text"), F.lit("rejected").alias("lang"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("source"))
     return _facts(rows.select("text", "lang", "doc_id", "source").unionByName(bad))
+
+
+def _texts_by_group(spark, rows, name):
+    """One text file per ``bucket``, its lines in the order of doc_id; returns the folder."""
+    path = place_of(spark, name)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "line").write.partitionBy("bucket").text(path)
+    return path
+
+
+_BUCKET = "CAST(regexp_extract(file, 'bucket=([0-9]+)', 1) AS BIGINT)"
+
+
+@query("damaged_json_lines",
+       "SELECT doc_id // 500 AS bucket, count(*) FILTER (doc_id % 7 = 3) AS bad_line_count, min(n) FILTER (doc_id % 7 = 3) AS first_bad_line, sum(n) FILTER (doc_id % 7 = 3)::BIGINT AS bad_line_numbers "
+       "FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS n FROM documents) GROUP BY 1 HAVING count(*) FILTER (doc_id % 7 = 3) > 0")
+def damaged_json_lines(spark, folder):
+    """Line numbers of damaged lines of all documents, written in files of up to 500 lines."""
+    line = F.expr("CASE WHEN doc_id % 7 = 3 THEN concat('{\"doc_id\": ', doc_id, ', \"text') ELSE to_json(named_struct('doc_id', doc_id, 'text', text)) END")
+    rows = read(spark, folder, "documents").select("doc_id", F.expr("doc_id DIV 500").alias("bucket"), line.alias("line"))
+    _, rejected = files.read_json_lines(spark, _texts_by_group(spark, rows, "damaged"))
+    return rejected.groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("bad_line_count"), F.min("line_number").alias("first_bad_line"), F.sum("line_number").alias("bad_line_numbers"))
+
+
+@query("json_line_values",
+       "SELECT CASE doc_id % 4 WHEN 0 THEN 'object' ELSE 'value' END AS kind, count(*) AS n, count(v) AS n_values, sum(length(v))::BIGINT AS n_chars, sum(('0x' || substr(md5(v), 1, 8))::BIGINT)::BIGINT AS digest "
+       "FROM (SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN NULL WHEN 3 THEN doc_id::VARCHAR ELSE text END AS v FROM documents) GROUP BY 1")
+def json_line_values(spark, folder):
+    """Objects, text scalars with escapes, nulls and numbers of all documents, one a line."""
+    line = F.expr("CASE doc_id % 4 WHEN 0 THEN to_json(named_struct('doc_id', doc_id, 'text', text)) WHEN 1 THEN to_json(parse_json(to_json(array(text)))) WHEN 2 THEN 'null' ELSE CAST(doc_id AS STRING) END")
+    # A list of one text without its brackets is that text as a scalar.
+    scalar = F.when(F.col("doc_id") % 4 == 1, F.coalesce(F.regexp_replace(line, r"(?s)^\[(.*)\]$", "$1"), F.lit("null"))).otherwise(line)
+    rows = read(spark, folder, "documents").select("doc_id", F.expr("doc_id DIV 500").alias("bucket"), scalar.alias("line"))
+    found, _ = files.read_json_lines(spark, _texts_by_group(spark, rows, "values"))
+    shown = found.select(F.when(F.col("doc_id").isNotNull(), "object").otherwise("value").alias("kind"), F.coalesce("text", "value").alias("v"))
+    digest = F.expr("CAST(conv(substring(md5(v), 1, 8), 16, 10) AS BIGINT)")
+    return shown.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_values"), F.sum(F.char_length("v")).alias("n_chars"), F.sum(digest).alias("digest"))
+
+
+_SHAPES = ["array_of_objects", "array_of_scalars", "object_wrapping_array", "single_object", "scalar"]
+_BUCKETS = "(SELECT doc_id // 20 AS bucket, count(*) AS n, sum(doc_id) AS total, min(doc_id) AS least FROM documents GROUP BY 1)"
+
+
+def _documents_of_five_shapes(spark, folder):
+    ids = read(spark, folder, "documents").groupBy(F.expr("doc_id DIV 20").alias("bucket")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # at most 20 ids
+    line = F.expr("""CASE bucket % 5 WHEN 0 THEN to_json(transform(ids, i -> named_struct('doc_id', i))) WHEN 1 THEN to_json(ids)
+        WHEN 2 THEN to_json(named_struct('count', size(ids), 'results', transform(ids, i -> named_struct('doc_id', i)))) WHEN 3 THEN to_json(named_struct('doc_id', ids[0], 'more', array())) ELSE CAST(ids[0] AS STRING) END""")
+    return _texts_by_group(spark, ids.select("bucket", F.lit(0).alias("doc_id"), line.alias("line")), "shapes")
+
+
+@query("json_document_shapes",
+       "SELECT bucket, CASE bucket % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SHAPES)) + " END AS shape, CASE WHEN bucket % 5 = 2 THEN 'results' END AS unwrap_key, "
+       f"CASE WHEN bucket % 5 > 2 THEN 1 ELSE n END AS n_rows, CASE WHEN bucket % 5 > 2 THEN least ELSE total END::BIGINT AS ids FROM {_BUCKETS}")
+def json_document_shapes(spark, folder):
+    """All ids as JSON documents of five shapes in one folder; every file is judged by itself."""
+    path = _documents_of_five_shapes(spark, folder)
+    found = files.json_shapes(spark, path)
+    number = lambda x: F.try_variant_get(x, "$.doc_id", "bigint")
+    ids = F.coalesce(F.transform("records", number), F.transform("scalars", lambda x: x.cast("bigint")))
+    return found.select(F.expr(_BUCKET).alias("bucket"), "shape", "unwrap_key", F.size(ids).cast("bigint").alias("n_rows"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ids"))
+
+
+@query("json_document_rows",
+       f"SELECT 'record' AS kind, (sum(CASE bucket % 5 WHEN 0 THEN n WHEN 2 THEN n WHEN 3 THEN 1 END))::BIGINT AS n, (sum(CASE bucket % 5 WHEN 0 THEN total WHEN 2 THEN total WHEN 3 THEN least END))::BIGINT AS ids FROM {_BUCKETS} "
+       f"UNION ALL SELECT 'value', (sum(CASE bucket % 5 WHEN 1 THEN n WHEN 4 THEN 1 END))::BIGINT, (sum(CASE bucket % 5 WHEN 1 THEN total WHEN 4 THEN least END))::BIGINT FROM {_BUCKETS}")
+def json_document_rows(spark, folder):
+    """The rows of the same documents, read as one table."""
+    rows, _ = files.read_json_document(spark, _documents_of_five_shapes(spark, folder))
+    kind = F.when(F.col("doc_id").isNotNull(), "record").otherwise("value")
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("doc_id", F.col("value").cast("bigint"))).alias("ids"))
+
+
+@query("mixed_csv_layouts",
+       "SELECT lang, count(*) AS n_documents, count(text) AS n_texts, sum(length(text))::BIGINT AS n_chars, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY lang")
+def mixed_csv_layouts(spark, folder):
+    """All documents in one folder of CSV files with four delimiters; every file is read by its own layout."""
+    path = place_of(spark, "mixed")
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    for i, sep in enumerate(files.DELIMITERS):
+        options = {"header": True, "quoteAll": True, "escape": '"', "sep": sep, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        docs.where(f"doc_id % 4 = {i}").write.options(**options).mode("append").csv(path)
+    found = files.read_delimited(spark, path)
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"), F.count("text").alias("n_texts"), F.sum(F.char_length("text")).alias("n_chars"), F.sum("doc_id").alias("ids"))
