@@ -12,53 +12,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
-from tallyscope.operators.columns import melt, value_key
+from tallyscope.operators.columns import DIGEST_OVER_BYTES, melt, value_key
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts, distinct values, shares of recognised forms.
 
-    Distinct values are counted exactly; Spark first merges equal
-    (column, value) pairs, so no task sees a whole column.
+    Two levels: equal (column, value) cells first become one row with their
+    number, merged in each task before the shuffle, so no task sees a whole
+    column.  Forms (dates, UUIDs, boolean words) are then tested once a value.
+    Long texts travel as digests; of those only blanks around a short text can
+    have a form, so that text goes with them.
     """
     is_text = F.col("kind") == "string"
-    text = F.when(is_text, F.col("txt"))
-    word = F.lower(F.trim("txt"))
-    cells = melt(df, columns, float_text=False).select(
-        "ord", "column_name", "kind", "txt", "num", "ts",
+    long = F.octet_length("txt") > DIGEST_OVER_BYTES
+    trimmed = F.trim("txt")
+    values = melt(df, columns, float_text=False).select(
+        "ord", "column_name", "kind", "ts",
         F.when(is_text, value_key(F.col("txt"))).otherwise(F.col("txt")).alias("key"),
         F.when(F.col("kind") == "float", F.col("num")).otherwise(0.0).alias("float_key"),
-        F.length(text).alias("len"),
-        F.when(is_text, F.when(scalars.is_boolean_word(F.col("txt")), word).otherwise("other")).alias("word"),
-        F.when(is_text & F.col("txt").isNotNull(),
-               scalars.to_timestamp_lenient(text).isNotNull().cast("int")).alias("is_date"),
-        F.when(is_text, F.trim(text).rlike(vocab.UUID_VALUE).cast("int")).alias("is_uuid"),
-    )
-    return cells.groupBy("ord", "column_name", "kind").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("txt").alias("non_null"),
-        F.count_distinct("key", "float_key").alias("unique_count"),
-        F.avg("len").alias("avg_length"),
+        F.when(is_text & F.col("txt").isNotNull(), F.when(~long, F.col("txt")).when(F.octet_length(trimmed) <= DIGEST_OVER_BYTES, trimmed).otherwise("")).alias("form"),
+        F.when(is_text, F.length("txt")).alias("len"),
+    ).groupBy("ord", "column_name", "kind", "key", "float_key", "form", "ts").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
+    words = vocab.TRUE_TOKENS + vocab.FALSE_TOKENS
+    word = F.lower(F.trim("form"))
+    flag = F.coalesce(*[F.when(word == w, F.lit(1 << i).cast("bigint")) for i, w in enumerate(words)], F.lit(1 << len(words)).cast("bigint"))
+    texts = F.when(F.col("form").isNotNull(), F.col("n"))
+    share = lambda test: F.when(F.sum(texts) > 0, F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum(texts))
+    found = values.groupBy("ord", "column_name", "kind").agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count("key").alias("unique_count"),
+        (F.sum(F.col("len") * F.col("n")) / F.sum(texts)).alias("avg_length"),
         F.min("len").alias("min_length"),
         F.max("len").alias("max_length"),
-        F.collect_set("word").alias("words"),
-        F.avg("is_date").alias("date_ratio"),
-        F.avg("is_uuid").alias("uuid_ratio"),
-        F.min((F.col("num") % 1 == 0).cast("int")).alias("all_whole"),
+        F.bit_or(F.when(F.col("form").isNotNull(), flag)).alias("word_flags"),
+        share(scalars.to_timestamp_lenient(F.col("form")).isNotNull()).alias("date_ratio"),
+        share(F.trim("form").rlike(vocab.UUID_VALUE)).alias("uuid_ratio"),
+        F.min(F.when((F.col("kind") == "float") & F.col("key").isNotNull(), (F.col("float_key") % 1 == 0).cast("int"))).alias("all_whole"),
         F.min((F.col("ts") == F.date_trunc("day", "ts")).cast("int")).alias("all_midnight"),
     )
+    other = F.lit(1 << len(words)).cast("bigint")
+    few = (F.bit_count("word_flags") <= 4) & (F.col("word_flags").bitwiseAND(other) == 0)
+    return found.withColumn("boolean_words", F.coalesce(few, F.lit(False))).drop("word_flags")
 
 
 def inferred_type(kind: Column, non_null: Column) -> Column:
-    words = F.col("words")
-    boolean_words = (F.size(words) <= 4) & (F.size(words) > 0) & ~F.array_contains(words, "other")
     return (
         F.when(non_null == 0, "unknown")
         .when(kind == "boolean", "boolean")
         .when(kind == "integer", "integer")
         .when(kind == "float", F.when(F.col("all_whole") == 1, "integer").otherwise("float"))
         .when(kind.isin("timestamp", "date"), "datetime")
-        .when((kind == "string") & boolean_words, "boolean")
+        .when((kind == "string") & F.col("boolean_words"), "boolean")
         .when((kind == "string") & (F.col("date_ratio") >= 0.9), "datetime")
         .when(kind.isin("string", "complex"), "string")
         .otherwise("unknown")

@@ -1,17 +1,15 @@
-"""Exact quantiles without sorting a column in one task.
+"""Exact quantiles by radix selection, without sorting a column.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in a single
-aggregation buffer.  Here a sketch only *narrows* the search:
+A number's order-preserving key is its sign, exponent and the first bits of its
+mantissa.  The first round counts the numbers per key; the counts tell which
+keys hold the wanted ranks and how many numbers lie before them.  While such a
+key holds very many numbers, another round counts those by more bits of the
+mantissa.  The last step counts the distinct numbers of the keys that are left
+and picks the ranks.  Every round is one scan whose counts are combined in each
+task, so only counts are shuffled; a hot value is one row.
 
-1. one aggregation gives, per group, the row count and two sketch cut points
-   around each wanted quantile;
-2. the cuts divide the values into zones; zone sizes are counted (map-side
-   combined, a handful of rows per group);
-3. only the zones that hold a wanted rank are kept, their values are counted
-   (a hot value is one row) and ordered inside the zone.
-
-The zone counts are exact, so the result is exact whatever the sketch says: a
-poor sketch makes a zone larger, never wrong.
+Results are exact: keys only narrow the search.  A round with 8 bits has at most
+half a million keys a column, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -21,73 +19,86 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of the mantissa after each round; the last has all of them.
+ROUNDS = (8, 24, 40, 52)
+#: A key with at most this many numbers is not narrowed further.
+SMALL = 100_000
+#: Smallest exponent of a full mantissa; smaller numbers count in its steps.
+_LEAST = -1022
+_OFFSET = 1 - _LEAST
+
+
+def radix_key(value: str, bits: int) -> str:
+    """SQL for the key of a double: larger numbers never have smaller keys, and 52 bits tell all numbers apart.
+
+    A logarithm that is off by one next to a power of two gives the same key,
+    as keys go on evenly across it.
+    """
+    size = f"abs({value})"
+    exponent = f"greatest(floor(log2({size})), {_LEAST}L)"
+    magnitude = f"(({exponent} + {_OFFSET}) * {1 << bits}L + CAST(floor(({size} / pow(2D, {exponent}) - 1D) * {1 << bits}D) AS BIGINT))"
+    return (f"CASE WHEN {value} = 0D THEN 0L WHEN {size} = double('infinity') THEN CAST(sign({value}) AS BIGINT) * {(1024 + _OFFSET) << bits}L "
+            f"ELSE CAST(sign({value}) AS BIGINT) * {magnitude} END")
+
+
+def _placed(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Counts per key with the rows before it: ``before`` must hold those before the parent key."""
+    in_order = Window.partitionBy(*keys).orderBy(order)
+    return counts.withColumn("before", F.col("before") + F.sum("size").over(in_order) - F.col("size"))
+
 
 def exact_quantiles(
     long: DataFrame,
     probabilities: Sequence[float],
     group: str = "column_name",
     value: str = "value",
-    accuracy: int = 5_000,
+    small: int = SMALL,
 ) -> DataFrame:
     """(group, n, probability, quantile), linear interpolation between ranks.
 
-    ``long`` holds non-null values.  The number of groups must be bounded (the
-    columns of a table): the cuts are broadcast, 2 doubles per probability.  A
-    higher ``accuracy`` costs sketch time and makes the ordered zones smaller
-    (a zone holds about 8 / accuracy of the rows); raise it for huge tables.
+    ``long`` holds non-null numbers.  The number of groups must be bounded (the
+    columns of a table): the keys with the wanted ranks, at most two per
+    probability and group, reach the driver and are broadcast.
     """
-    margin = 4.0 / accuracy
-    cuts_at = sorted({min(1.0, max(0.0, p + s * margin)) for p in probabilities for s in (-1.0, 1.0)})
-    cuts = long.groupBy(group).agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, [float(p) for p in cuts_at], accuracy).alias("cuts"),
-    )
-
-    zone = sum(
-        (F.when(F.col("cuts")[i] < F.col(value), 1).otherwise(0) for i in range(len(cuts_at))), F.lit(0)
-    )
-    zoned = long.join(F.broadcast(cuts.select(group, "cuts")), group).select(group, value, zone.alias("zone"))
-
-    in_order = Window.partitionBy(group).orderBy("zone")
-    zones = (
-        zoned.groupBy(group, "zone").agg(F.count(F.lit(1)).alias("size"))
-        .withColumn("before", F.sum("size").over(in_order) - F.col("size"))
-    )
-
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("n") - 1)).alias("position"))
-        for p in probabilities
-    ])
-    targets = (
-        cuts.select(group, "n", F.explode(wanted).alias("w"))
-        .select(group, "n", "w.probability", "w.position")
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-    )
-    # A few zones per group and two ranks per probability: tiny on both sides.
-    located = (
-        targets.join(zones, group)
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
-        .select(group, "n", "probability", "position", "rank", "zone", "before")
-    )
-
-    needed = located.select(group, "zone", "before").distinct()
-    inside = Window.partitionBy(group, "zone").orderBy(value)
-    ranked = (
-        zoned.join(F.broadcast(needed), [group, "zone"])
-        .groupBy(group, "zone", "before", value).agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("last", F.col("before") + F.sum("copies").over(inside) - 1)
-        .withColumn("first", F.col("last") - F.col("copies") + 1)
-        .drop("before")
-    )
-    picked = ranked.join(F.broadcast(located.drop("before")), [group, "zone"]).where(
-        F.col("rank").between(F.col("first"), F.col("last"))
-    )
-    low = F.min(value)
-    high = F.max(value)
-    part = F.first(F.col("position") - F.floor("position"))
-    return picked.groupBy(group, "n", "probability").agg(
-        (low + (high - low) * part).alias("quantile")
-    )
+    spark = long.sparkSession
+    kind = long.schema[group].dataType.simpleString()
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("n") - 1)).alias("position")) for p in probabilities])
+    ranks = F.array_distinct(F.flatten(F.transform(wanted, lambda w: F.array(F.floor(w["position"]), F.ceil(w["position"])))))
+    inside = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
+
+    counts = long.groupBy(group, F.expr(radix_key(value, ROUNDS[0])).alias("key")).agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.lit(0).cast("bigint"))
+    sized = _placed(counts, [group], "key").withColumn("n", F.sum("size").over(Window.partitionBy(group)))
+    columns = [group, "n", "key", "size", "before", "ranks"]
+    found = sized.withColumn("ranks", ranks).withColumn("ranks", inside).where("size(ranks) > 0").select(columns).collect()
+    schema = f"{group} {kind}, n bigint, key bigint, size bigint, before bigint, ranks array<bigint>"
+    settled: list[tuple[int, list]] = []
+    for bits, finer in zip(ROUNDS, ROUNDS[1:]):
+        settled.append((bits, [r for r in found if r["size"] <= small]))
+        large = [tuple(r) for r in found if r["size"] > small]
+        if not large:
+            found = []
+            break
+        within = F.broadcast(spark.createDataFrame(large, schema).select(group, "n", F.col("key").alias("parent"), "before", "ranks"))
+        met = long.withColumn("parent", F.expr(radix_key(value, bits))).join(within, [group, "parent"])
+        counts = met.groupBy(group, "parent", "n", "before", "ranks", F.expr(radix_key(value, finer)).alias("key")).agg(F.count(F.lit(1)).alias("size"))
+        found = _placed(counts, [group, "parent"], "key").withColumn("ranks", inside).where("size(ranks) > 0").select(columns).collect()
+    settled.append((ROUNDS[-1], found))  # a number of its own each
+
+    parts = []
+    for bits, rows in settled:
+        if rows or not parts and bits == ROUNDS[-1]:
+            left = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema).select(group, "n", "key", "before", "ranks"))
+            parts.append(long.withColumn("key", F.expr(radix_key(value, bits))).join(left, [group, "key"])
+                         .groupBy(group, "n", "key", "before", "ranks", value).agg(F.count(F.lit(1)).alias("size")))
+    numbers = parts[0]
+    for part in parts[1:]:
+        numbers = numbers.unionByName(part)
+    # A key holds at most ``small`` numbers, or one.
+    picked = _placed(numbers, [group, "key"], value).withColumn("ranks", inside).select(group, "n", value, F.explode("ranks").alias("rank"))
+    targets = picked.withColumn("w", F.explode(wanted)).where((F.col("rank") == F.floor("w.position")) | (F.col("rank") == F.ceil("w.position")))
+    low, high = F.min(value), F.max(value)
+    part = F.first(F.col("w.position") - F.floor("w.position"))
+    return targets.groupBy(group, "n", F.col("w.probability").alias("probability")).agg((low + (high - low) * part).alias("quantile"))
 
 
 def quantile_columns(quantiles: DataFrame, names: dict[float, str], group: str = "column_name") -> DataFrame:

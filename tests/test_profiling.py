@@ -32,9 +32,9 @@ def test_quantiles_match_numpy(spark, name):
     }[name]
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     long = spark.createDataFrame([("c", v) for v in values], "column_name string, value double").repartition(4)
-    # A coarse sketch makes zones wide; the result must not change.
-    for accuracy in (10, 20_000):
-        got = {row.probability: row.quantile for row in exact_quantiles(long, probs, accuracy=accuracy).collect()}
+    # Few numbers a key make more rounds; the result must not change.
+    for small in (1, 50, 100_000):
+        got = {row.probability: row.quantile for row in exact_quantiles(long, probs, small=small).collect()}
         for p in probs:
             assert got[p] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
 
@@ -181,3 +181,35 @@ def test_small_negatives_keep_their_sign(spark):
     from tallyscope.functions import scalars
     df = spark.createDataFrame([(-0.004,), (-0.005,), (0.004,), (-1.25,)], "v double")
     assert [r[0] for r in df.select(scalars.signed(F.col("v"), 2)).collect()] == ["-0.00", "-0.00", "+0.00", "-1.25"]
+
+
+def test_radix_keys_keep_the_order(spark):
+    from tallyscope.operators.quantiles import ROUNDS, radix_key
+
+    near = [f(2.0 ** k) for k in range(-1000, 1023, 13) for f in (lambda x: x, lambda x: float(np.nextafter(x, 0)), lambda x: float(np.nextafter(x, 9e308)))]
+    some = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), *near, *[random.Random(1).lognormvariate(0, 30) for _ in range(50)]]
+    df = spark.createDataFrame([(v,) for x in some for v in (x, -x + 0.0)], "value double")
+    for bits in ROUNDS:
+        rows = df.select("value", F.expr(radix_key("value", bits)).alias("k")).orderBy("value").collect()
+        assert all(a.k <= b.k for a, b in zip(rows, rows[1:]))
+    assert len({r.k for r in rows}) == len({r.value for r in rows})
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statistics_read_the_table_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "rand(1) AS b", "concat('t', id % 9) AS t").write.parquet(str(tmp_path / "n"))
+    df = spark.read.parquet(str(tmp_path / "n"))
+    plan = plan_of(summaries.numeric_stats(df))
+    assert plan.count("FileScan parquet") <= 2 and "ObjectHashAggregate" not in plan  # and one scan before, for the keys
+    facts = plan_of(classes.column_classes(df))
+    assert facts.count("FileScan parquet") == 1 and "ObjectHashAggregate" not in facts and "SortAggregate" not in facts
+
+
+def test_forms_of_padded_values(spark):
+    pad = " " * 90
+    df = spark.createDataFrame([("yes" + pad, pad + "2024-01-05"), ("NO", "2024-01-06" + pad), ("yes", "2024-01-07")], "b string, d string")
+    got = {r.column_name: (r.inferred_type, r.unique_count) for r in classes.column_classes(df).collect()}
+    assert got == {"b": ("boolean", 3), "d": ("datetime", 3)}
