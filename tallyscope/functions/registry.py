@@ -7,6 +7,7 @@ are fixed by the registry (57 metrics), so broadcasting them is always safe.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,21 +47,15 @@ class Metric:
         return next((tier for tier, ids in vocab.IMPORTANCE.items() if self.metric_id in ids), "low")
 
 
-def _split(text: str) -> tuple[str, ...]:
-    return tuple(part.strip() for part in text.split(";") if part.strip())
-
-
-def parse_metrics(table: str = vocab.METRIC_TABLE, questions: str = vocab.QUESTION_ALIASES) -> list[Metric]:
-    spoken = dict(line.split(":", 1) for line in questions.strip().splitlines())
+def metrics_of(rows: Sequence[tuple] = tuple(vocab.METRIC_ROWS), questions: Mapping[str, Sequence[str]] = vocab.QUESTION_ALIASES) -> list[Metric]:
+    """Metrics in the order of their rows, each with the phrases questions use for it."""
     out = []
-    for ord_, line in enumerate(table.strip().splitlines()):
-        mid, name, unit, direction, category, aliases, excluded = (p.strip() for p in line.split("|"))
-        out.append(Metric(mid, ord_, name, unit, direction, category, _split(aliases), _split(excluded),
-                          _split(spoken.get(mid, ""))))
+    for place, (metric_id, name, unit, direction, category, aliases, excluded) in enumerate(rows):
+        out.append(Metric(metric_id, place, name, unit, direction, category, tuple(aliases), tuple(excluded), tuple(questions.get(metric_id, ()))))
     return out
 
 
-METRICS = parse_metrics()
+METRICS = metrics_of()
 BY_ID = {m.metric_id: m for m in METRICS}
 
 

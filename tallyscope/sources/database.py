@@ -22,12 +22,15 @@ def masked(message: str) -> str:
     return _SECRET.sub(r"\1***", _LOGIN.sub(r"\1:***@", message))
 
 
-def limited(query: str, row_limit: int | None) -> str:
-    """The query as a derived table, so that the database itself stops after ``row_limit`` rows."""
-    if row_limit is None:
-        return query.strip().rstrip(";").rstrip()
-    inner = query.strip().rstrip(";").rstrip()
-    return f"SELECT * FROM ({inner}) AS _sub LIMIT {int(row_limit)}"
+# Fixed form: the database itself stops after so many rows of a query.
+LIMITED = "SELECT * FROM ({query}) AS _sub LIMIT {rows:d}"
+_END = re.compile(r"[\s;]+\Z")
+
+
+def statement(query: str, rows: int | None = None) -> str:
+    """The query without what ends a statement, as a derived table where ``rows`` are given."""
+    plain = _END.sub("", query).lstrip()
+    return plain if rows is None else LIMITED.format(query=plain, rows=rows)
 
 
 def jdbc_options(url: str, *, table: str | None = None, query: str | None = None, row_limit: int | None = None,
@@ -37,10 +40,8 @@ def jdbc_options(url: str, *, table: str | None = None, query: str | None = None
     if not query and not table:
         raise ValueError("provide either a query or a table")
     options = {"url": url, **(properties or {})}
-    if query:
-        return {**options, "query": limited(query, row_limit)}
-    if row_limit:
-        return {**options, "query": limited(f"SELECT * FROM {table}", row_limit)}
+    if query or row_limit:
+        return {**options, "query": statement(query or f"SELECT * FROM {table}", row_limit)}
     return {**options, "dbtable": table or ""}
 
 

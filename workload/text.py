@@ -31,7 +31,8 @@ step("questions", "SELECT o_custkey AS conv_id, o_orderkey AS turn, replace(repl
 _space = text(scalars.ANY_SPACE)
 step("asked", f"SELECT *, trim(regexp_replace(text, {_space}, ' ', 'g')) AS t FROM questions", "questions")
 # Each wording repeats: the SQL works on distinct texts and joins back.
-step("uniq", "SELECT DISTINCT t FROM asked", "asked")
+step("chat", f"SELECT conv_id, turn, trim(regexp_replace(text, {_space}, ' ', 'g')) AS t, turn > min(turn) FILTER (role <> 'system') OVER (PARTITION BY conv_id) AS h, role FROM conversations")
+step("uniq", "SELECT t FROM asked UNION SELECT t FROM chat WHERE role = 'user'", "asked", "chat")
 step("spoken", "SELECT * FROM (VALUES " + rows((m.metric_id, m.ord, p) for m in METRICS for _, p in question_phrases(m)) + ") AS v(metric_id, mord, regex)")
 step("mentions", "SELECT t, s.metric_id, s.mord, max(length(regexp_extract(concat(' ', t, ' '), s.regex))) AS len FROM uniq JOIN spoken s ON regexp_matches(concat(' ', t, ' '), s.regex) "
      "WHERE NOT EXISTS (SELECT 1 FROM patterns x WHERE x.role = 'excluded' AND x.metric_id = s.metric_id AND regexp_matches(concat(' ', t, ' '), x.regex)) GROUP BY ALL", "uniq", "spoken", "patterns")
@@ -121,12 +122,6 @@ def question_scope(spark, folder):
     return marked.select("conv_id", "turn", questions.scope_category("text", "h").alias("scope"))
 
 
-step("own", f"""SELECT conv_id, turn, t, scope, scope = 'allowed' AS ok, {_hit(vocab.FOLLOWUP_PATTERN)} AS follow,
-  (SELECT arg_max(metric_id, len * 1000 - mord) FROM mentions m WHERE m.t = q.t) AS own_metric, (SELECT count(*) FROM period_list p WHERE p.t = q.t) AS own_periods,
-  CASE WHEN {_entity} <> 'primary' OR {_phrases(vocab.ENTITY_HINT_WORDS, ' ')} THEN {_entity} END AS own_entity FROM turns q JOIN scoped USING (t, h)""", "turns", "scoped", "mentions", "period_list")
-step("kept", """SELECT *, last_value(CASE WHEN ok THEN own_metric END IGNORE NULLS) OVER w AS last_metric, last_value(CASE WHEN ok AND own_periods > 0 THEN 1 END IGNORE NULLS) OVER w AS last_period,
-  last_value(CASE WHEN ok THEN own_entity END IGNORE NULLS) OVER w AS last_entity FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "own")
-step("filled", """SELECT *, coalesce(own_metric, last_metric) AS metric_id, CASE WHEN own_periods > 0 THEN own_periods WHEN follow AND last_period = 1 THEN 1 ELSE 0 END AS periods, coalesce(own_entity, last_entity, 'primary') AS entity FROM kept""", "kept")
 _v = vocab
 _has = "metric_id IS NOT NULL"
 _mk = f"({_hit(_v.MARKET_PATTERN)} OR entity = 'market')"
@@ -141,8 +136,23 @@ _INTENT = (
     f"WHEN {_hit(_v.OPPORTUNITY_PATTERN)} THEN 'opportunity_analysis' WHEN contains(t, 'weakness') THEN 'weakness_analysis' WHEN {_hit(_v.HEALTH_PATTERN)} THEN 'financial_health' "
     f"WHEN {_has} AND periods >= 2 THEN 'period_comparison' WHEN {_has} AND {_hit(_v.TREND_PATTERN)} THEN 'trend_analysis' WHEN {_has} AND {_hit(_v.COMPARISON_PATTERN)} THEN 'period_comparison' "
     f"WHEN metric_id IN ({_derived}) THEN 'ratio_lookup' WHEN {_has} THEN 'metric_lookup' WHEN {_hit(_v.EXPLANATION_PATTERN)} THEN 'explanation' WHEN NOT follow THEN 'unsupported' END")
-step("decided", f"SELECT *, CASE WHEN NOT ok THEN 'unrelated' ELSE {_INTENT} END AS own_intent FROM filled", "filled")
-step("intents", "SELECT *, coalesce(own_intent, last_value(own_intent IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'unsupported') AS intent FROM decided", "decided")
+
+
+def _memory(p: str, turns: str) -> None:
+    """Steps of the memory over a table of turns; their names start with ``p``."""
+    step(f"{p}own", f"""SELECT conv_id, turn, t, scope, scope = 'allowed' AS ok, {_hit(vocab.FOLLOWUP_PATTERN)} AS follow,
+  (SELECT arg_max(metric_id, len * 1000 - mord) FROM mentions m WHERE m.t = q.t) AS own_metric, (SELECT count(*) FROM period_list p WHERE p.t = q.t) AS own_periods,
+  CASE WHEN {_entity} <> 'primary' OR {_phrases(vocab.ENTITY_HINT_WORDS, ' ')} THEN {_entity} END AS own_entity FROM {turns} q JOIN scoped USING (t, h)""", turns, "scoped", "mentions", "period_list")
+    step(f"{p}kept", f"""SELECT *, last_value(CASE WHEN ok THEN own_metric END IGNORE NULLS) OVER w AS last_metric, last_value(CASE WHEN ok AND own_periods > 0 THEN 1 END IGNORE NULLS) OVER w AS last_period,
+  last_value(CASE WHEN ok THEN own_entity END IGNORE NULLS) OVER w AS last_entity FROM {p}own WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", f"{p}own")
+    step(f"{p}filled", f"""SELECT *, coalesce(own_metric, last_metric) AS metric_id, CASE WHEN own_periods > 0 THEN own_periods WHEN follow AND last_period = 1 THEN 1 ELSE 0 END AS periods, coalesce(own_entity, last_entity, 'primary') AS entity FROM {p}kept""", f"{p}kept")
+    step(f"{p}decided", f"SELECT *, CASE WHEN NOT ok THEN 'unrelated' ELSE {_INTENT} END AS own_intent FROM {p}filled", f"{p}filled")
+    step(f"{p}intents", f"SELECT *, coalesce(own_intent, last_value(own_intent IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'unsupported') AS intent FROM {p}decided", f"{p}decided")
+
+
+_memory("", "turns")
+step("chat_turns", "SELECT * FROM chat WHERE role = 'user'", "chat")
+_memory("chat_", "chat_turns")
 
 
 @query("question_intents", with_steps("SELECT conv_id, turn, scope, intent FROM intents", "intents"))
@@ -174,7 +184,6 @@ def question_hints(spark, folder):
 
 
 # --- the given conversations ------------------------------------------------------------
-step("chat", f"SELECT conv_id, turn, trim(regexp_replace(text, {_space}, ' ', 'g')) AS t, turn > min(turn) FILTER (role <> 'system') OVER (PARTITION BY conv_id) AS h, role FROM conversations")
 
 
 @query("conversation_scope", with_steps(f"SELECT conv_id, turn, {scope_sql('t', 'h')} AS scope, {_entity} AS entity FROM chat WHERE role = 'user'", "chat"))
@@ -187,7 +196,7 @@ def conversation_scope(spark, folder):
     return clean_.select("conv_id", "turn", questions.scope_category("t", "has_history").alias("scope"), questions.mentioned_entity("t").alias("entity"))
 
 
-@query("conversation_annotation")
+@query("conversation_annotation", with_steps("SELECT conv_id, turn, scope, intent, metric_id, entity, periods::INT AS period_count FROM chat_intents", "chat_intents"))
 def conversation_annotation(spark, folder):
     spoken = read(spark, folder, "conversations").where("role <> 'system'")
     starts = spoken.groupBy("conv_id").agg(F.min("turn").alias("start"))
