@@ -115,20 +115,33 @@ def spans(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[li
 
 
 def _emit(run: int, least: int):
+    """A row per distinct span of a text, and one without a span: its number of sentences and whether a span is in it twice."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(["span", "doc_id", "text_hash"])
+        names = ["span", "doc_id", "text_hash", "n_sentences", "twice"]
+        rows = Rows(names[:3])
         nulls = Rows(["span", "text_hash"])
+
+        def widened(part: pa.RecordBatch, doc: pa.Array, mark: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([part.column(0), doc, mark, pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.bool_())], names=names)
+
         for batch in batches:
+            counts, twice = [], []
             for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
-                found = np.unique(spans(text or "", run, least)[5]).view(np.int64)
+                _, owners, places, _, _, every = spans(text or "", run, least)
+                found = np.unique(every).view(np.int64)
+                counts.append(len({owners[i] for i in places.tolist()}))
+                twice.append(len(found) < len(every))
                 if doc is None:
                     nulls.add(found, np.full(len(found), mark))
                 else:
                     rows.add(found, np.full(len(found), doc), np.full(len(found), mark))
-                yield from rows.ready()
-        yield from rows.ready(True)
+                for part in rows.ready():
+                    yield widened(part, part.column(1), part.column(2))
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(twice, pa.bool_())], names=names)
+        for part in rows.ready(True):
+            yield widened(part, part.column(1), part.column(2))
         for part in nulls.ready(True):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(part.num_rows, pa.int64()), part.column(1)], names=["span", "doc_id", "text_hash"])
+            yield widened(part, pa.nulls(part.num_rows, pa.int64()), part.column(1))
     return emit
 
 
@@ -153,7 +166,8 @@ def _remove(run: int, least: int):
 def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed`` per row: the text without repeated spans; sentences removed in part count as removed."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    rows = materialize(docs.mapInArrow(_emit(run, least_words), "span bigint, doc_id bigint, text_hash bigint"), "spans")
+    emitted = materialize(docs.mapInArrow(_emit(run, least_words), "span bigint, doc_id bigint, text_hash bigint, n_sentences bigint, twice boolean"), "spans")
+    rows = emitted.where("span IS NOT NULL").select("span", "doc_id", "text_hash")
     # Spans of one row leave by a count, combined per task before its shuffle; only spans of several documents stay.
     repeated = rows.groupBy("span").count().where("count > 1").select("span")
     rows = materialize(rows.join(repeated, "span", "left_semi"), "repeated")
@@ -161,5 +175,11 @@ def deduplicated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS
     several = rows.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
     lost = rows.join(several, "span").where(place != F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("lost"))
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost")
-    both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return both.select("doc_id", "text", "lost").mapInArrow(_remove(run, least_words), "doc_id bigint, text string, n_sentences bigint, n_removed bigint")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("text_hash", F.lit(0)) == F.coalesce("_hash", F.lit(0)))
+    facts = emitted.where("span IS NULL").groupBy("doc_id", "text_hash").agg(F.max("n_sentences").alias("n_sentences"), F.max("twice").alias("twice"))
+    facts = materialize(facts.join(lost, same, "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_sentences", "twice", "lost"), "lost")
+    # Texts that lose nothing stay in the JVM; both branches read one shuffle of the texts.
+    touched = F.col("twice") | F.col("lost").isNotNull()
+    plain = docs.join(facts.where(~touched), same).select("doc_id", "text", "n_sentences", F.lit(0).cast("bigint").alias("n_removed"))
+    cut = docs.join(facts.where(touched), same).select("doc_id", "text", "lost")
+    return plain.unionByName(cut.mapInArrow(_remove(run, least_words), "doc_id bigint, text string, n_sentences bigint, n_removed bigint"))
