@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tallyscope.functions.rows import materialize
 from tallyscope.llm.common import Rows, mix
 
-RUN, LEAST_WORDS = 2, 10
+RUN, LEAST_WORDS = 2, 20
 #: With 51 shared words, 2 * LONG + LEAST_WORDS and 4 * (NEAR - 1) + LEAST_WORDS must not exceed 50.
-LONG, NEAR = 20, 10
+LONG, NEAR = 15, 8
 _CUT = re.compile(r"[.!?]+(?=\s)\s*|[。！？｡]+[」』”’）)]*\s*|\n\s*")
 _HAN = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _UNSPACED, _WORD = re.compile(f"[{_HAN}]"), re.compile(r"\s*\S+\s*")

@@ -86,7 +86,7 @@ def test_rules_are_learned():
 
 def test_spans_keep_the_first_place(spark, odd):
     a, b = "One two three four five six. Seven eight nine ten eleven. ", "Only here and nowhere else. "
-    got = {r.doc_id: r.text for r in sentence_spans.deduplicated(spark.createDataFrame([(2, b + a), (1, a + "Tail of it. "), (3, a + b + a)], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in sentence_spans.deduplicated(spark.createDataFrame([(2, b + a), (1, a + "Tail of it. "), (3, a + b + a)], "doc_id long, text string"), least_words=10).collect()}
     assert got == {1: a + "Tail of it. ", 2: b, 3: ""}  # in 3, the span over b and the second a is that of 2
     assert sentence_spans.deduplicated(odd).count() == len(ODD)
 
@@ -98,7 +98,8 @@ def test_no_run_of_51_words_stays_in_two_documents(spark):
     short, one, lines, long = text(60, ["!! "]), text(72, " ") + "end. ", text(70, ["\n", " \n"]), text(120, " ")
     han = "".join(chr(r.randint(0x4E00, 0x9000)) + ("。" if i % 9 == 8 else "") for i in range(99))
     rows = [(10 * i + k, text(20, [" ", ". "]) + ". " * (shared is not long) + shared + text(30, [" ", ". "])) for i, shared in enumerate([short, one, lines, long, han, text(90, [" ", " ", "? "])]) for k in range(3)]
-    rows += [(100, "only one sentence that is here twice with more than ten words"), (101, "Only one sentence that is here twice with more than ten words")]
+    one = "only one sentence that is here twice with more than twenty words so that it is a span all by itself anyway"
+    rows += [(100, one), (101, one.capitalize())]
     got = {x.doc_id: x.text for x in sentence_spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     runs = Counter()
     for t in got.values():
@@ -110,7 +111,7 @@ def test_no_run_of_51_words_stays_in_two_documents(spark):
 
 
 def test_overlapping_repeats_leave_the_first_place(spark):
-    got = sentence_spans.deduplicated(spark.createDataFrame([(1, "So it goes. " * 9)], "doc_id long, text string")).first()
+    got = sentence_spans.deduplicated(spark.createDataFrame([(1, "So it goes. " * 9)], "doc_id long, text string"), least_words=10).first()
     assert got.text == "So it goes. " * 4 and (got.n_sentences, got.n_removed) == (9, 5)
 
 
