@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars
-from tallyscope.functions.rows import name_of, quoted, stack_rows
-from tallyscope.operators.columns import col_of, melt, melt_numbers, numeric_columns, row_key, value_key
+from tallyscope.functions.rows import materialize, name_of, quoted, stack_rows
+from tallyscope.operators.columns import DIGEST_OVER_BYTES, col_of, melt, melt_numbers, numeric_columns, row_key, value_key
 from tallyscope.operators.quantiles import exact_quantiles, quantile_columns
 
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 100_000
 PERCENTILES = {0.10: "p10", 0.25: "q1", 0.50: "median", 0.75: "q3", 0.90: "p90"}
 
 
@@ -47,26 +49,39 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, date: str
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, key, shown, n): copies of every value, long values by digest."""
+    """(column_name, key, start, n): copies of every value, long values by digest and the text they start with."""
     cells = melt(df, columns).where(F.col("txt").isNotNull())
-    return (
-        cells.select("column_name", value_key(F.col("txt")).alias("key"), "txt")
-        .groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"), F.min("txt").alias("shown"))
-    )
+    start = F.when(F.octet_length("txt") > DIGEST_OVER_BYTES, F.left("txt", F.lit(DIGEST_OVER_BYTES)))
+    return cells.select("column_name", value_key(F.col("txt")).alias("key"), start.alias("start")).groupBy("column_name", "key", "start").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """The k most frequent values per column, ties by value.
 
-    ``row_number() <= k`` lets Spark keep only k rows per column in each task
-    before the shuffle, so a column of unique values is not gathered.
+    Values are counted and ranked by key.  ``rank() <= k`` lets Spark keep few
+    rows per column in each task before the shuffle, so a column of unique
+    values is not gathered.  Long values are ranked by how they start; those
+    that may be among the k, all ties included, are few and written, and only
+    for them whole texts are looked up, where there are any.
     ``value`` is the whole value; ``key`` identifies it (a digest if it is long).
     """
     counts = value_counts(df, columns)
-    best = Window.partitionBy("column_name").orderBy(F.desc("n"), "shown", "key")
-    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.coalesce("start", "key"))
+    first = counts.withColumn("place", F.rank().over(best)).where(F.col("place") <= k)
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_count"))
-    return ranked.join(F.broadcast(totals), "column_name").select(
+    found = materialize(first.join(F.broadcast(totals), "column_name"), "top-values")  # totals: one row per column
+    long = found.where("start IS NOT NULL").select("column_name", "key")
+    n_long = long.count()
+    if n_long:
+        texts = melt(df, columns).where(F.octet_length("txt") > DIGEST_OVER_BYTES).select("column_name", value_key(F.col("txt")).alias("key"), "txt")
+        # Ties can be many: broadcast only below a checked size.
+        few = F.broadcast(long) if n_long <= BROADCAST_ROWS else long
+        whole = texts.join(few, ["column_name", "key"], "left_semi").dropDuplicates(["column_name", "key"])
+        found = found.join(whole, ["column_name", "key"], "left").withColumn("shown", F.coalesce("txt", "key"))
+    else:
+        found = found.withColumn("shown", F.col("key"))
+    in_order = Window.partitionBy("column_name").orderBy(F.desc("n"), "shown", "key")
+    return found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k).select(
         "column_name", "rank", F.col("shown").alias("value"), "key", F.col("n").alias("count"),
         F.round(F.col("n") / F.col("total"), 6).alias("ratio"), "total", "unique_count",
     )
@@ -180,19 +195,15 @@ def id_duplicate_examples(df: DataFrame, columns: Sequence[str], k: int = 5) ->
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """The first k non-null values per column in the order of the key columns."""
+    """The first k non-null values per column in the order of the key columns.
+
+    One scan; ``row_number() <= k`` keeps k rows per column in each task.
+    """
     wanted = list(columns) if columns is not None else df.columns
-    parts = []
-    for name in wanted:
-        # ORDER BY .. LIMIT keeps k rows per task; nothing is gathered.
-        first = df.where(col_of(name).isNotNull()).orderBy(*[col_of(c) for c in order_by]).limit(k)
-        parts.append(first.select(F.lit(name).alias("column_name"), *[col_of(c).alias(f"at_{i}") for i, c in enumerate(order_by)],
-                                  col_of(name).cast("string").alias("value")))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    position = Window.partitionBy("column_name").orderBy(*[f"at_{i}" for i in range(len(order_by))])
-    return long.select("column_name", F.row_number().over(position).alias("position"), "value")
+    keys = [f"{name_of(c)} AS at_{i}" for i, c in enumerate(order_by)]
+    cells = df.selectExpr(*keys, stack_rows([[quoted(c), f"CAST({name_of(c)} AS STRING)"] for c in wanted], ["column_name", "value"])).where("value IS NOT NULL")
+    position = Window.partitionBy("column_name").orderBy(*[f"at_{i}" for i in range(len(order_by))], "value")
+    return cells.withColumn("position", F.row_number().over(position)).where(F.col("position") <= k).select("column_name", "position", "value")
 
 
 def overview(profile: DataFrame) -> DataFrame:
