@@ -89,7 +89,11 @@ class SelfAnalysis:
 
 @dataclass
 class MergerAnalysis:
-    """Every part of the combination of many pairs (primary_id, secondary_id)."""
+    """Every part of the combination of many pairs (primary_id, secondary_id).
+
+    The combined values, ratios and the wide row of each pair are written once:
+    rules, scores and insights read one small table.
+    """
 
     base: SelfAnalysis
     pairs: DataFrame
@@ -101,11 +105,11 @@ class MergerAnalysis:
 
     @cached_property
     def combined(self) -> DataFrame:
-        return scenario.combined_scenario(self.checked, self.base.values)
+        return materialize(scenario.combined_scenario(self.checked, self.base.values), "combined")
 
     @cached_property
     def ratios(self) -> DataFrame:
-        return scenario.combined_ratios(self.combined)
+        return materialize(scenario.combined_ratios(self.combined), "combined-ratios")
 
     @cached_property
     def table(self) -> DataFrame:
@@ -117,7 +121,7 @@ class MergerAnalysis:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return scenario.pair_wide(self.checked, self.base.values, self.combined, self.ratios)
+        return materialize(scenario.pair_wide(self.checked, self.base.values, self.combined, self.ratios), "pairs")
 
     @cached_property
     def synergies(self) -> DataFrame:

@@ -204,3 +204,11 @@ def test_trends_of_hot_entities_are_spread(spark):
             assert got[e].avg_period_growth == pytest.approx(sum(steps) / len(steps) * 100)
     sizes = [x[1] for x in in_ranges(df.distinct(), ["entity_id"], ["period_date", "seq", "value"], 7).groupBy(RANGE).count().collect()]
     assert len(sizes) == 7 and max(sizes) < 2 * min(sizes)
+
+
+def test_merger_plans_read_few_tables(spark, base):
+    found = MergerAnalysis(base, spark.createDataFrame([("corp", "rival")], "primary_id string, secondary_id string"))
+    for part in (found.attractiveness, found.insights):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 15
+        assert part.count() > 0

@@ -102,6 +102,13 @@ def test_streaming_memory(spark, tmp_path):
     assert got[(1, 1)] == ("revenue", "FY2024", "primary", 2)
     assert got[(1, 2)] == ("revenue", "FY2024", "secondary", 3)
     assert got[(2, 1)][:2] == ("deposits", "last year")
+    run("b2", [(1, 3, "Should I buy this stock? And how are deposits?"), (1, 4, "what about that"), (2, 2, "weather of the competitor"), (2, 3, "and the total?")])
+    every = {(r.conv_id, r.turn): r for r in spark.read.parquet(out).collect()}
+    assert not every[(1, 3)].allowed and every[(1, 4)].metric_id == "revenue" and every[(1, 4)].remembered == 5
+    turns = [(1, 0, "What was our revenue in 2024?"), (1, 1, "what about that"), (2, 0, "How are deposits?"), (1, 2, "and the competitor?"), (2, 1, "same for last year"),
+             (1, 3, "Should I buy this stock? And how are deposits?"), (1, 4, "what about that"), (2, 2, "weather of the competitor"), (2, 3, "and the total?")]
+    batch = questions.annotate(spark.createDataFrame(turns, schema)).collect()
+    assert {(r.conv_id, r.turn): (r.metric_id, r.period.label if r.period else None, r.entity, r.allowed) for r in batch} == {k: (r.metric_id, r.period, r.entity, r.allowed) for k, r in every.items()}
 
 
 def test_memory_over_many_ranges_equals_one(spark):
