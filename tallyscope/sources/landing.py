@@ -1,13 +1,16 @@
 """Catalog of a landing folder: formats by content, file checks, archive members.
 
 Only paths and sizes come from the file listing; tasks then read the first
-4 KiB and the last 4 bytes of each file, never whole files.
+4 KiB and the last 4 bytes of each file.  A longer JSON text is read on, block by
+block, to the end of its first value: another value after it makes JSON lines.
 """
 
 from __future__ import annotations
 
+import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +25,45 @@ HEADER_BYTES = 4096
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified) of every file below the folder; no content is read.
 
-    Spark's listing leaves out files of zero bytes: ``check_files`` reports
-    them only for listings from elsewhere.
+    Spark scans skip files of zero bytes, but its listing holds them: those
+    come without a time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    found = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    # The names that Spark's own (parallel) listing already holds on the driver.
+    names = [(re.sub(r"^(\w+:)/{3}(?=[^/])", r"\1/", unquote(p)),) for p in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    empty = listed.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified")))
+
+
+_MARKS = re.compile(rb'\\.|["{}\[\]]', re.DOTALL)
+
+
+def _more_values(f, block: int = 1 << 20) -> bool:
+    """Whether a JSON text goes on with another object or list after the first one; reads up to there, block by block."""
+    depth, quoted_, carried = 0, False, b""
+    while part := f.read(block):
+        part = carried + part
+        # An escape may be cut by the end of a block.
+        odd = (len(part) - len(part.rstrip(b"\\"))) % 2
+        carried, part = (part[-1:], part[:-1]) if odd else (b"", part)
+        for m in _MARKS.finditer(part):
+            mark = m.group()
+            if mark == b'"':
+                quoted_ = not quoted_
+            elif quoted_ or len(mark) > 1:
+                continue
+            elif mark in b"{[":
+                depth += 1
+            else:
+                depth -= 1
+                if depth == 0:
+                    rest = part[m.end():].lstrip()
+                    while not rest and (more := f.read(block)):
+                        rest = more.lstrip()
+                    return rest[:1] in (b"{", b"[")
+    return False
 
 
 def _open(path: str):
@@ -38,13 +75,16 @@ def _open(path: str):
 
 def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        heads, tails, books = [], [], []
+        heads, tails, books, more = [], [], [], []
         for path, length in zip(batch["path"], batch["length"]):
             with _open(path) as f:
                 head = f.read(min(HEADER_BYTES, length))
                 f.seek(max(0, length - 4))
                 tail = f.read(4) if length >= 8 else b""
-                book = False
+                book, several = False, None
+                if length > HEADER_BYTES and head.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"{", b"["):
+                    f.seek(0)
+                    several = _more_values(f)
                 if head[:4] == b"PK\x03\x04":
                     f.seek(0)
                     try:
@@ -55,7 +95,8 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             heads.append(head)
             tails.append(tail)
             books.append(book)
-        yield batch.assign(header=heads, footer=tails, is_workbook=books)
+            more.append(several)
+        yield batch.assign(header=heads, footer=tails, is_workbook=books, several=pd.array(more, dtype="boolean"))
 
 
 def extension(path: str = "path") -> str:
@@ -65,16 +106,16 @@ def extension(path: str = "path") -> str:
 
 def detect_formats(files: DataFrame) -> DataFrame:
     """(path, length, extension, format, reason); format is NULL for unsupported files."""
-    peeked = files.select("path", "length").mapInPandas(_peek, "path string, length bigint, header binary, footer binary, is_workbook boolean")
+    peeked = files.select("path", "length").mapInPandas(_peek, "path string, length bigint, header binary, footer binary, is_workbook boolean, several boolean")
     by_extension = "CASE ext " + " ".join(f"WHEN {quoted(e)} THEN {quoted(f)}" for e, f in vocab.EXTENSION_FORMATS.items()) + " END"
     # --- fixed values: signatures and reasons ---
     shaped = peeked.selectExpr(
-        "path", "length", "is_workbook", f"{extension()} AS ext", "hex(header) AS head", "hex(footer) AS foot",
+        "path", "length", "is_workbook", "several", f"{extension()} AS ext", "hex(header) AS head", "hex(footer) AS foot",
         "trim(BOTH '﻿ \t\r\n' FROM make_valid_utf8(CAST(header AS STRING))) AS body",
     ).selectExpr(
         "*", "filter(split(body, '\\r\\n|\\r|\\n'), l -> trim(l) <> '') AS lines", f"{by_extension} AS named",
     ).selectExpr(
-        "*", "size(lines) >= 2 AND forall(slice(lines, 1, 5), l -> try_parse_json(l) IS NOT NULL) AS json_lines",
+        "*", "coalesce(several, size(lines) >= 2 AND forall(slice(lines, 1, 5), l -> try_parse_json(l) IS NOT NULL)) AS json_lines",
         "substring(body, 1, 1) IN ('{', '[') AS json_start", "get(lines, 0) AS first_line",
     )
     decided = """CASE

@@ -240,3 +240,25 @@ def test_files_of_a_folder_have_their_own_layouts(spark, tmp_path):
     assert layouts == {"a.csv": (",", True, True), "b.csv": (";", True, False), "c.tsv": ("\t", True, False)}
     rows = files.read_delimited(spark, str(folder)).collect()
     assert sorted((r.id, r.name, r.n) for r in rows) == sorted([("1", "x, y\nz", 3), ("2", "w", 4), ("3", "a,b", 5), ("4", "c", 6), ("5", None, 7), ("six", None, 8)])
+
+
+def test_zero_byte_files_are_listed(spark, tmp_path):
+    folder = tmp_path / "landing zone"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "deep" / "no thing.csv").write_text("")
+    (folder / "a.csv").write_text("x,y\n1,2\n")
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.error) for r in landing.check_files(landing.list_files(spark, str(folder))).collect()}
+    assert got == {"no thing.csv": (0, "File is empty"), "a.csv": (8, None)}
+
+
+def test_long_lines_do_not_hide_json_lines(spark, tmp_path):
+    folder = tmp_path / "long"
+    folder.mkdir()
+    one = json.dumps({"t": 'a"}\\ {' * 2000, "l": [1, {"x": "]"}]})
+    (folder / "lines.dat").write_text(one + "\n\n" + one)
+    (folder / "single.dat").write_text(one + "\n")
+    (folder / "list.dat").write_text("[" + one + ",\n" + one + "]")
+    got = {r.path.rsplit("/", 1)[-1]: r.format for r in landing.detect_formats(landing.list_files(spark, str(folder))).collect()}
+    assert got == {"lines.dat": "jsonl", "single.dat": "json", "list.dat": "json"}
+    for block in (1, 3, 7):
+        assert landing._more_values(open(folder / "lines.dat", "rb"), block) and not landing._more_values(open(folder / "list.dat", "rb"), block)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import place_of
 from tallyscope.plans.statements import read
-from tallyscope.sources import files
+from tallyscope.sources import files, landing
 from workload.catalog import query
 
 
@@ -119,3 +119,19 @@ def mixed_csv_layouts(spark, folder):
         docs.where(f"doc_id % 4 = {i}").write.options(**options).mode("append").csv(path)
     found = files.read_delimited(spark, path)
     return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"), F.count("text").alias("n_texts"), F.sum(F.char_length("text")).alias("n_chars"), F.sum("doc_id").alias("ids"))
+
+
+@query("landing_files",
+       "SELECT lang AS part, CASE WHEN count(*) > 1 THEN 'jsonl' ELSE 'json' END AS format, NULL AS error, NULL AS warning, TRUE AS has_bytes FROM documents WHERE lang IS NOT NULL GROUP BY lang "
+       "UNION ALL SELECT DISTINCT concat('csv-', lang), 'csv', NULL, NULL, TRUE FROM documents WHERE lang IS NOT NULL "
+       "UNION ALL SELECT 'none', NULL, 'File is empty', NULL, FALSE")
+def landing_files(spark, folder):
+    """Files of all documents by language, as JSON lines and as CSV, and one of zero bytes: formats and file checks."""
+    path = place_of(spark, "landing")
+    docs = read(spark, folder, "documents").where("lang IS NOT NULL").select("lang", "doc_id", "text").repartition("lang")
+    docs.withColumn("part", F.col("lang")).write.partitionBy("part").json(f"{path}/lines")
+    docs.select(F.concat(F.lit("csv-"), "lang").alias("part"), "doc_id", "lang").write.option("header", True).partitionBy("part").csv(f"{path}/csv")
+    docs.where("false").select("text").coalesce(1).write.text(f"{path}/empty/part=none")
+    files_ = landing.list_files(spark, path)
+    checked = landing.check_files(files_).join(landing.detect_formats(files_.where("length > 0")).select("path", "format"), "path", "left")
+    return checked.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("part"), "format", "error", F.when(F.col("length") > 0, F.col("warning")).alias("warning"), (F.col("length") > 0).alias("has_bytes"))
