@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +10,20 @@ from pyspark.sql import types as T
 
 from tallyscope.functions import vocab
 
-# Formats tried in turn.  Strings made only of digits are never dates.
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy",
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ssXXX",
+# Shapes of dates, each with the text that puts it in the order year-month-day and
+# what follows.  Strings made only of digits are never dates.
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_MONTH = rf"({MONTHS})[a-z]*[.]?"
+DATE_SHAPES = (
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?!\d)(.*)$", "$1-$2-$3$4"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})(?!\d)(.*)$", "$3-$2-$1$4"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)(.*)$", "$3-$1-$2$4"),
+    (rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? )?(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}})(?!\d)(.*)$", "$3-$2-$1$4"),
+    (rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? )?{_MONTH} (\d{{1,2}}),? (\d{{4}})(?!\d)(.*)$", "$3-$1-$2$4"),
+    (rf"^{_MONTH},? (\d{{4}})()$", "$2-$1-1$3"),
 )
-DATE_SHAPE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}.*)?\s*$"
+# Hour, minutes, seconds, half of the day, offset; each optional from the seconds on.
+TIME_SHAPE = r"^(?:,?[ t](\d{1,2}):(\d{2})(?::(\d{2}(?:[.]\d{1,9})?))?(?: ?([ap])[.]?m[.]?)?(?: ?(z|utc|gmt|[+-]\d{2}(?::?\d{2})?))?)?$"
 # Every character Python counts as white space, for engines whose \s is ASCII.
 ANY_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -50,11 +57,31 @@ def to_number(col: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def to_timestamp_lenient(col: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """Timestamp by the first format that fits, else NULL."""
-    text = F.trim(col)
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats])
-    return F.when(col.rlike(DATE_SHAPE), parsed)
+def to_timestamp_lenient(col: Column) -> Column:
+    """Timestamp of a text in one of the known shapes, else NULL.
+
+    The shape picks one rewriting to the standard form, which is parsed once:
+    month names, 12-hour clocks and offsets without a colon or minutes included.
+    """
+    text = F.lower(F.trim(col))
+    start = r"^(\d{4}-(?:\d{1,2}|[a-z]{3})-\d{1,2})"
+    ordered = F.coalesce(*[F.when(text.rlike(shape), F.regexp_replace(text, shape, order)) for shape, order in DATE_SHAPES])
+    rest = F.regexp_replace(ordered, start, "")
+    day = F.regexp_extract(ordered, start, 1)
+    name = F.regexp_extract(day, "([a-z]{3})", 1)
+    number = ((F.position(name, F.lit(MONTHS)) + 3) / 4).cast("int").cast("string")
+    date = F.when(name != "", F.replace(day, name, number)).otherwise(day)
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(rest, TIME_SHAPE, group)
+
+    hour, half = part(1).try_cast("int"), part(4)
+    whole = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    zone = F.when(part(5).isin("", "z", "utc", "gmt"), F.when(part(5) != "", "Z").otherwise("")).otherwise(
+        F.concat(F.substring(part(5), 1, 3), F.lit(":"), F.rpad(F.regexp_replace(F.substring(part(5), 4, 3), ":", ""), 2, "0")))
+    seconds = F.when(part(3) != "", part(3)).otherwise("00")
+    timed = F.when(part(1) != "", F.concat(F.lit(" "), whole.cast("string"), F.lit(":"), part(2), F.lit(":"), seconds, zone)).otherwise("")
+    return F.when(rest.rlike(TIME_SHAPE), F.concat(date, timed).try_cast("timestamp"))
 
 
 def to_boolean(col: Column) -> Column:
@@ -66,8 +93,8 @@ def is_boolean_word(col: Column) -> Column:
 
 
 def safe_round(col: Column, places: int = 6) -> Column:
-    """Rounded value; NaN and infinities become NULL."""
-    return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), F.round(col, places))
+    """Rounded value, halves to even; NaN and infinities become NULL."""
+    return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), F.bround(col, places))
 
 
 def collapse_spaces(col: Column) -> Column:

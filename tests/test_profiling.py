@@ -213,3 +213,16 @@ def test_forms_of_padded_values(spark):
     df = spark.createDataFrame([("yes" + pad, pad + "2024-01-05"), ("NO", "2024-01-06" + pad), ("yes", "2024-01-07")], "b string, d string")
     got = {r.column_name: (r.inferred_type, r.unique_count) for r in classes.column_classes(df).collect()}
     assert got == {"b": ("boolean", 3), "d": ("datetime", 3)}
+
+
+def test_shapes_of_dates(spark):
+    cases = {"2024-01-05": "2024-01-05 00:00:00", " 2024/1/5 ": "2024-01-05 00:00:00", "05-01-2024": "2024-01-05 00:00:00", "1/5/2024 13:04": "2024-01-05 13:04:00", "Jan 5, 2024": "2024-01-05 00:00:00", "5 September 2023": "2023-09-05 00:00:00",
+             "Sept. 5 2023 12:00 AM": "2023-09-05 00:00:00", "Mon, 5-May-2023 1:02:03 p.m.": "2023-05-05 13:02:03", "2024-01-05T01:02:03.5+0530": "2024-01-04 19:32:03.5", "2024-01-05 01:02-02": "2024-01-05 03:02:00", "2024-01-05T01:02:03Z": "2024-01-05 01:02:03",
+             "March 2024": "2024-03-01 00:00:00", "2024-02-30": None, "2024-01-05 13:00 pm": None, "20240105": None, "Jan 32, 2024": None, "5 Foo 2024": None, "2024-01-05x": None, "12:30": None, "": None, "may": None}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "s string, want string").select("s", F.col("want").cast("timestamp").alias("want"), scalars.to_timestamp_lenient(F.col("s")).alias("got"))
+    assert [r.s for r in df.where("NOT (want <=> got)").collect()] == []
+
+
+def test_rounding_of_halves(spark):
+    got = spark.sql("SELECT explode(array(0.5D, 1.5D, 2.5D, -0.5D, double('NaN'), double('infinity'))) AS x").select(scalars.safe_round(F.col("x"), 0).alias("r")).collect()
+    assert [r.r for r in got] == [0.0, 2.0, 2.0, 0.0, None, None]

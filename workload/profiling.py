@@ -556,6 +556,17 @@ def coerce_dates(spark, folder):
     return read(spark, folder, "orders").withColumn("shape", shapes).groupBy(F.year(at).alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("date_forms",
+       "SELECT o_orderkey % 9 AS form, count(*) AS n, sum(epoch(o_orderdate) + CASE o_orderkey % 9 WHEN 2 THEN 46921 WHEN 3 THEN 1380 WHEN 4 THEN 46800 WHEN 5 THEN 46920 - 19800 WHEN 6 THEN 46921 + 7200 ELSE 0 END)::BIGINT AS seconds FROM orders GROUP BY 1")
+def date_forms(spark, folder):
+    """Dates of all orders in nine shapes: month names, 12-hour clocks, offsets without colon."""
+    shown = ["MMM d, yyyy", "dd MMMM yyyy", "MMM d, yyyy", "d-MMM-yyyy", "yyyy/MM/dd", "yyyy-MM-dd", "yyyy-MM-dd", "EEE, d MMM yyyy", "M/d/yyyy"]
+    added = ["", "", " 1:02:01 PM", " 12:23 am", " 1:00 pm", "T13:02+0530", " 13:02:01.0-02", "", ""]
+    text = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN concat(date_format(o_orderdate, '{s}'), '{a}')" for i, (s, a) in enumerate(zip(shown, added))) + " END"
+    at = scalars.to_timestamp_lenient(F.expr(text))
+    return read(spark, folder, "orders").select((F.col("o_orderkey") % 9).alias("form"), at.alias("at")).groupBy("form").agg(F.count("at").alias("n"), F.sum(F.unix_seconds("at")).alias("seconds"))
+
+
 @query("period_parts",
        "SELECT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, count(*) AS n FROM orders GROUP BY 1, 2")
 def period_parts(spark, folder):
