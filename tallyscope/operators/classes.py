@@ -12,7 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars, vocab
-from tallyscope.operators.columns import DIGEST_OVER_BYTES, melt, value_key
+from tallyscope.functions.rows import name_of, stack_rows
+from tallyscope.operators.columns import DIGEST_OVER_BYTES, kind_of, number_sql, text_sql, value_key
+
+
+def _value_cells(df: DataFrame, wanted: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """(ord, txt, whole, num) per cell: one of the last three identifies the value, all are NULL where it is missing.
+
+    Whole numbers, truth values and moments stay numbers: printing them is slow.
+    """
+    cells = []
+    for i, (name, kind) in enumerate(zip(wanted, kinds)):
+        column = name_of(name)
+        text = text_sql(name, kind) if kind in ("string", "complex") else "CAST(NULL AS STRING)"
+        whole = {"boolean": f"CAST({column} AS BIGINT)", "integer": f"CAST({column} AS BIGINT)", "date": f"unix_micros(CAST({column} AS TIMESTAMP))", "timestamp": f"unix_micros(CAST({column} AS TIMESTAMP))"}.get(kind, "CAST(NULL AS BIGINT)")
+        cells.append([str(i), text, whole, number_sql(name) if kind == "float" else "CAST(NULL AS DOUBLE)"])
+    return df.selectExpr(stack_rows(cells, ["ord", "txt", "whole", "num"]))
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -24,37 +39,43 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Long texts travel as digests; of those only blanks around a short text can
     have a form, so that text goes with them.
     """
-    is_text = F.col("kind") == "string"
+    wanted = list(columns) if columns is not None else df.columns
+    types = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    kinds = [types[c] for c in wanted]
+    strings = F.col("ord").isin([i for i, k in enumerate(kinds) if k == "string"])
     long = F.octet_length("txt") > DIGEST_OVER_BYTES
     trimmed = F.trim("txt")
-    values = melt(df, columns, float_text=False).select(
-        "ord", "column_name", "kind", "ts",
-        F.when(is_text, value_key(F.col("txt"))).otherwise(F.col("txt")).alias("key"),
-        F.when(F.col("kind") == "float", F.col("num")).otherwise(0.0).alias("float_key"),
-        F.when(is_text & F.col("txt").isNotNull(), F.when(~long, F.col("txt")).when(F.octet_length(trimmed) <= DIGEST_OVER_BYTES, trimmed).otherwise("")).alias("form"),
-        F.when(is_text, F.length("txt")).alias("len"),
-    ).groupBy("ord", "column_name", "kind", "key", "float_key", "form", "ts").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
+    values = _value_cells(df, wanted, kinds).select(
+        "ord", F.when(strings, value_key(F.col("txt"))).otherwise(F.col("txt")).alias("key"), "whole", "num",
+        F.when(strings & long, F.when(F.octet_length(trimmed) <= DIGEST_OVER_BYTES, trimmed).otherwise("")).alias("within"),
+        F.when(strings & long, F.length("txt")).alias("long_len"),
+    ).groupBy("ord", "key", "whole", "num", "within").agg(F.count(F.lit(1)).alias("n"), F.max("long_len").alias("long_len"))
+    held = F.col("key").isNotNull() | F.col("whole").isNotNull() | F.col("num").isNotNull()
+    values = values.withColumns({"held": held, "form": F.when(strings, F.coalesce("within", "key")), "len": F.when(strings, F.coalesce("long_len", F.length("key")))})
     words = vocab.TRUE_TOKENS + vocab.FALSE_TOKENS
     word = F.lower(F.trim("form"))
     flag = F.coalesce(*[F.when(word == w, F.lit(1 << i).cast("bigint")) for i, w in enumerate(words)], F.lit(1 << len(words)).cast("bigint"))
     texts = F.when(F.col("form").isNotNull(), F.col("n"))
     share = lambda test: F.when(F.sum(texts) > 0, F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum(texts))
-    found = values.groupBy("ord", "column_name", "kind").agg(
+    moments = F.col("ord").isin([i for i, k in enumerate(kinds) if k in ("date", "timestamp")])
+    moment = F.timestamp_micros("whole")
+    found = values.groupBy("ord").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("key").alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("held"), F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count_if("held").alias("unique_count"),
         (F.sum(F.col("len") * F.col("n")) / F.sum(texts)).alias("avg_length"),
         F.min("len").alias("min_length"),
         F.max("len").alias("max_length"),
         F.bit_or(F.when(F.col("form").isNotNull(), flag)).alias("word_flags"),
         share(scalars.to_timestamp_lenient(F.col("form")).isNotNull()).alias("date_ratio"),
         share(F.trim("form").rlike(vocab.UUID_VALUE)).alias("uuid_ratio"),
-        F.min(F.when((F.col("kind") == "float") & F.col("key").isNotNull(), (F.col("float_key") % 1 == 0).cast("int"))).alias("all_whole"),
-        F.min((F.col("ts") == F.date_trunc("day", "ts")).cast("int")).alias("all_midnight"),
+        F.min((F.col("num") % 1 == 0).cast("int")).alias("all_whole"),
+        F.min(F.when(moments, (moment == F.date_trunc("day", moment)).cast("int"))).alias("all_midnight"),
     )
     other = F.lit(1 << len(words)).cast("bigint")
     few = (F.bit_count("word_flags") <= 4) & (F.col("word_flags").bitwiseAND(other) == 0)
-    return found.withColumn("boolean_words", F.coalesce(few, F.lit(False))).drop("word_flags")
+    names = [F.get(F.array(*[F.lit(x) for x in xs]), F.col("ord")).alias(alias) for alias, xs in (("column_name", wanted), ("kind", kinds))]
+    return found.withColumn("boolean_words", F.coalesce(few, F.lit(False))).select("ord", *names, *[c for c in found.columns if c not in ("ord", "word_flags")], "boolean_words")
 
 
 def inferred_type(kind: Column, non_null: Column) -> Column:
