@@ -206,11 +206,13 @@ def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
     return cells.withColumn("position", F.row_number().over(position)).where(F.col("position") <= k).select("column_name", "position", "value")
 
 
-def overview(profile: DataFrame) -> DataFrame:
-    """Rows, columns and the number of columns of each class."""
+def overview(profile: DataFrame, size: DataFrame | None = None) -> DataFrame:
+    """Rows, columns and the number of columns of each class; with ``files.bytes_of``, also files and bytes."""
     names = ["numerical", "categorical", "text", "date", "datetime", "id", "boolean", "unknown"]
-    return profile.agg(
+    found = profile.agg(
         F.max("rows").alias("rows"),
         F.count(F.lit(1)).alias("columns"),
         *[F.count_if(F.col("column_class") == c).alias(f"{c}_columns") for c in names],
     )
+    # One row on both sides.
+    return found if size is None else found.join(F.broadcast(size), F.lit(True))

@@ -59,3 +59,29 @@ def load_profile(spark, path: str, dataset_id: str) -> DataFrame:
     rows = spark.read.parquet(path).where(F.col("dataset_id") == dataset_id)
     newest = rows.agg(F.max("saved_at").alias("newest"))
     return rows.join(F.broadcast(newest), F.col("saved_at") == F.col("newest"), "left_semi")  # one row
+
+
+def update_metadata(path: str, changes: DataFrame) -> None:
+    """Append changes (dataset_id, name, value, at, seq): nothing is rewritten, the latest change of a name counts."""
+    changes.select("dataset_id", "name", "value", "at", "seq").write.mode("append").parquet(path)
+
+
+def current_metadata(log: DataFrame) -> DataFrame:
+    """(dataset_id, name, value, at, seq): the latest change per name; a NULL value takes the name away.
+
+    A maximum per (dataset, name), combined in each task, so a dataset with very many changes is no skew.
+    """
+    order = F.struct("at", "seq", "value")
+    latest = log.groupBy("dataset_id", "name").agg(F.max(order).alias("last"))
+    return latest.where("last.value IS NOT NULL").select("dataset_id", "name", "last.value", "last.at", "last.seq")
+
+
+def compact_metadata(spark, path: str, target: str) -> DataFrame:
+    """Write what counts of the log to another folder, which replaces it; reading either gives the same state."""
+    current_metadata(spark.read.parquet(path)).write.parquet(target)
+    return spark.read.parquet(target)
+
+
+def metadata_map(current: DataFrame) -> DataFrame:
+    """One row per dataset with its metadata as a map; the names of a dataset are few."""
+    return current.groupBy("dataset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("metadata"), F.max("at").alias("updated_at"))

@@ -336,3 +336,7 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*[F.col(name_of(c)) for c in columns]) if columns else df
 
 
+def bytes_of(df: DataFrame) -> DataFrame:
+    """(files, bytes) of the files behind a table that was just read; sizes come with the scan, no column is read."""
+    sizes = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("file").agg(F.max("size").alias("size"))
+    return sizes.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

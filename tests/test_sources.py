@@ -262,3 +262,17 @@ def test_long_lines_do_not_hide_json_lines(spark, tmp_path):
     assert got == {"lines.dat": "jsonl", "single.dat": "json", "list.dat": "json"}
     for block in (1, 3, 7):
         assert landing._more_values(open(folder / "lines.dat", "rb"), block) and not landing._more_values(open(folder / "list.dat", "rb"), block)
+
+
+def test_metadata_keeps_the_latest_change(spark, tmp_path):
+    from tallyscope.sources import catalog
+
+    path, schema = str(tmp_path / "log"), "dataset_id string, name string, value string, at timestamp_ntz, seq long"
+    rows = [("a", "owner", "x", 1), ("a", "owner", "y", 3), ("a", "rows", "5", 2), ("b", "owner", "z", 1), ("b", "owner", None, 2)]
+    for part in (rows[1:2], rows[:1] + rows[2:]):
+        catalog.update_metadata(path, spark.createDataFrame([(d, n, v, None, q) for d, n, v, q in part], schema))
+    for table in (spark.read.parquet(path), catalog.compact_metadata(spark, path, str(tmp_path / "new"))):
+        got = {r.dataset_id: r.metadata for r in catalog.metadata_map(catalog.current_metadata(table)).collect()}
+        assert got == {"a": {"owner": "y", "rows": "5"}}
+    size = files.bytes_of(spark.read.parquet(path)).first()
+    assert size.files >= 2 and size.bytes > 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import place_of
 from tallyscope.plans.statements import read
-from tallyscope.sources import files, landing
+from tallyscope.sources import catalog, files, landing
 from workload.catalog import query
 
 
@@ -135,3 +135,28 @@ def landing_files(spark, folder):
     files_ = landing.list_files(spark, path)
     checked = landing.check_files(files_).join(landing.detect_formats(files_.where("length > 0")).select("path", "format"), "path", "left")
     return checked.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("part"), "format", "error", F.when(F.col("length") > 0, F.col("warning")).alias("warning"), (F.col("length") > 0).alias("has_bytes"))
+
+
+@query("catalog_metadata",
+       "SELECT o_custkey AS dataset_id, map_from_entries([('priority', arg_max(o_orderpriority, o_orderkey))] || CASE WHEN arg_max(o_orderstatus, o_orderkey) <> 'F' THEN [('status', arg_max(o_orderstatus, o_orderkey))] ELSE [] END)::VARCHAR AS metadata, count(*) AS changes FROM orders GROUP BY 1")
+def catalog_metadata(spark, folder):
+    """Changes of metadata by all orders, appended in two parts and compacted: the latest change of each name counts."""
+    path = place_of(spark, "metadata")
+    orders = read(spark, folder, "orders")
+    cells = "stack(2, 'priority', o_orderpriority, 'status', CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END) AS (name, value)"
+    for part in (1, 0):  # late changes may be written first
+        changes = orders.where(f"o_orderkey % 2 = {part}").selectExpr("o_custkey AS dataset_id", "o_orderkey AS seq", "TIMESTAMP '2024-01-01' AS at", cells)
+        catalog.update_metadata(path, changes)
+    current = catalog.compact_metadata(spark, path, place_of(spark, "compacted"))
+    counts = orders.groupBy(F.col("o_custkey").alias("dataset_id")).agg(F.count(F.lit(1)).alias("changes"))
+    shown = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "), F.lit("}"))
+    return catalog.metadata_map(current).join(counts, "dataset_id").select("dataset_id", shown.alias("metadata"), "changes")
+
+
+@query("table_bytes", "SELECT count(*) AS rows, 33 * count(*) AS bytes FROM documents")
+def table_bytes(spark, folder):
+    """Bytes of a text file with one digest a document: 32 characters and a line end each."""
+    path = place_of(spark, "bytes")
+    read(spark, folder, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).write.text(path)
+    lines = spark.read.text(path)
+    return lines.agg(F.count(F.lit(1)).alias("rows")).join(files.bytes_of(lines).select("bytes"), F.lit(True))  # one row each
