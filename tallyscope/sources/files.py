@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions.rows import materialize, name_of, place_of
 from tallyscope.operators.checks import unique_names
+from tallyscope.sources.landing import list_files, open_file
 
 DELIMITERS = (",", "\t", ";", "|")
 SNIFF_LINES = 200
@@ -340,3 +344,56 @@ def bytes_of(df: DataFrame) -> DataFrame:
     """(files, bytes) of the files behind a table that was just read; sizes come with the scan, no column is read."""
     sizes = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("file").agg(F.max("size").alias("size"))
     return sizes.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per (file, row group, leaf column) below ``path``, from the footers alone; no page is read.
+
+    ``file, file_bytes, file_rows, row_group (from 0), rows, leaf, leaf_type, nulls,
+    values, compressed, uncompressed, codec``.  A file without row groups gives one
+    row with row_group NULL, and a file that is no Parquet one whose ``error`` says why.
+    Tasks open the files by themselves, so the store must be one that they reach.
+    """
+    schema = ("file string, file_bytes bigint, file_rows bigint, row_group int, rows bigint, leaf string, leaf_type string, "
+              "nulls bigint, `values` bigint, compressed bigint, uncompressed bigint, codec string, error string")
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def facts(path_: str, size: int) -> list[tuple]:
+        try:
+            with open_file(path_) as f:
+                footer = pq.read_metadata(f)
+        except (pa.ArrowInvalid, EOFError) as e:
+            return [(path_, size, *[None] * 10, str(e).splitlines()[0])]
+        if not footer.num_row_groups:
+            return [(path_, size, footer.num_rows, *[None] * 10)]
+        out = []
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            for c in range(group.num_columns):
+                leaf = group.column(c)
+                stats = leaf.statistics
+                nulls = stats.null_count if stats is not None and stats.has_null_count else None
+                out.append((path_, size, footer.num_rows, g, group.num_rows, leaf.path_in_schema, leaf.physical_type, nulls, leaf.num_values, leaf.total_compressed_size, leaf.total_uncompressed_size, leaf.compression, None))
+        return out
+
+    def read(batches):
+        for batch in batches:
+            for path_, size in zip(batch["path"], batch["length"]):
+                yield pd.DataFrame(facts(path_, size), columns=names).astype({n: "Int64" for n in ("file_rows", "row_group", "rows", "nulls", "values", "compressed", "uncompressed")})
+
+    return list_files(spark, path).where(~F.col("path").rlike(r"/[._][^/]*$")).select("path", "length").mapInPandas(read, schema)
+
+
+def parquet_files(footers: DataFrame) -> DataFrame:
+    """(file, bytes, rows, row_groups, leaves, largest_group_rows) of every readable file of ``parquet_footers``."""
+    return footers.where("error IS NULL").groupBy("file").agg(
+        F.max("file_bytes").alias("bytes"), F.max("file_rows").alias("rows"), F.count_distinct("row_group").alias("row_groups"),
+        F.count_distinct("leaf").alias("leaves"), F.max("rows").alias("largest_group_rows"))
+
+
+def parquet_leaves(footers: DataFrame) -> DataFrame:
+    """(leaf, leaf_types, files, rows, nulls, compressed, uncompressed) over all files; nulls is NULL where a file does not tell them."""
+    known = F.when(F.count("nulls") == F.count(F.lit(1)), F.sum("nulls"))
+    return footers.where("leaf IS NOT NULL").groupBy("leaf").agg(
+        F.array_sort(F.collect_set("leaf_type")).alias("leaf_types"), F.count_distinct("file").alias("files"), F.sum("rows").alias("rows"),
+        known.alias("nulls"), F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"))

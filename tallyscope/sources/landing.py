@@ -66,7 +66,7 @@ def _more_values(f, block: int = 1 << 20) -> bool:
     return False
 
 
-def _open(path: str):
+def open_file(path: str):
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
@@ -77,7 +77,7 @@ def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         heads, tails, books, more = [], [], [], []
         for path, length in zip(batch["path"], batch["length"]):
-            with _open(path) as f:
+            with open_file(path) as f:
                 head = f.read(min(HEADER_BYTES, length))
                 f.seek(max(0, length - 4))
                 tail = f.read(4) if length >= 8 else b""
@@ -156,7 +156,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             out = []
             try:
-                with _open(path) as f:
+                with open_file(path) as f:
                     for i, info in enumerate(zipfile.ZipFile(f).infolist()):
                         if not info.is_dir():
                             link = ((info.external_attr >> 16) & 0o170000) == 0o120000
@@ -222,7 +222,7 @@ def extract_members(chosen: DataFrame, target: str) -> DataFrame:
             for path, member in zip(batch["path"], batch["member"]):
                 place = f"{root}/{hashlib.sha256(f"{path}\n{member}".encode()).hexdigest()[:16]}/{member.rsplit('/', 1)[-1]}"
                 system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                with _open(path) as f, zipfile.ZipFile(f).open(member) as src, system.open_output_stream(place) as dst:
+                with open_file(path) as f, zipfile.ZipFile(f).open(member) as src, system.open_output_stream(place) as dst:
                     shutil.copyfileobj(src, dst)
                 out.append((path, member, place))
             yield pd.DataFrame(out, columns=["path", "member", "extracted"])

@@ -135,6 +135,43 @@ def test_correlation_blocks_agree(spark, monkeypatch):
     assert whole == {(x.i, x.j): x.coefficient for x in correlation.correlation_pairs(df).collect()}
 
 
+def test_moments_of_blocks_merge(spark):
+    r = np.random.default_rng(2)
+    values = r.normal(size=(500, 4)) + [0, 1e9, -5, 3]
+    values[r.random(values.shape) < 0.3] = np.nan
+    total = correlation.block_moments(values[:1])
+    for begin, end in ((1, 7), (7, 300), (300, 500)):
+        total = correlation.merged_moments(total, correlation.block_moments(values[begin:end]))
+    for a in range(4):
+        for b in range(4):
+            both = ~np.isnan(values[:, a]) & ~np.isnan(values[:, b])
+            x, y = values[both, a], values[both, b]
+            assert total[0, a, b] == both.sum()
+            assert np.allclose([total[1, a, b], total[2, a, b]], [x.mean(), y.mean()], rtol=1e-12)
+            assert np.allclose(total[5, a, b] / np.sqrt(total[3, a, b] * total[4, a, b]), np.corrcoef(x, y)[0, 1], atol=1e-6)
+
+
+def test_wide_correlations_in_one_scan(spark, monkeypatch):
+    # 200 columns: gaps, a flat one, one of NaN, one with too few numbers.
+    r = np.random.default_rng(3)
+    base = r.normal(size=(120, 1))
+    values = base * r.normal(size=(1, 200)) + r.normal(size=(120, 200))
+    values[:, 5], values[:, 6] = 1.0, np.nan
+    values[9:, 7] = np.nan
+    cells = [[None if i % 11 == j % 11 else float(v) for j, v in enumerate(row)] for i, row in enumerate(values)]
+    df = spark.createDataFrame(cells, ", ".join(f"`c {j}` double" for j in range(200))).repartition(7)
+    wide = correlation.correlation_pairs(df)
+    assert "MapInArrow" not in wide._jdf.queryExecution().optimizedPlan().toString()  # the merged table is read, not the rows
+    got = {(x.column_a, x.column_b): x.coefficient for x in wide.collect()}
+    assert len(got) == 197 * 198 // 2 and not any({"c 5", "c 6", "c 7"} & set(k) for k in got)
+    some = [f"c {j}" for j in range(20)]
+    narrow = {(x.column_a, x.column_b): x.coefficient for x in correlation.correlation_pairs(df, some).collect()}
+    assert len(narrow) == 17 * 18 // 2 and all(abs(got[k] - v) < 1e-12 for k, v in narrow.items())
+    monkeypatch.setattr(correlation, "WIDE", 1)
+    assert correlation.correlation_pairs(df.limit(0), some).count() == 0
+    assert correlation.correlation_pairs(df.select("c 5", "c 6"), ["c 5", "c 6"]).count() == 0
+
+
 def test_quality_weights_and_consistency(spark):
     df = spark.createDataFrame([("UPI",), ("upi",), (" UPI",), ("card",)] * 10, "method string")
     row = quality.inconsistency(df, ["method"]).first()

@@ -276,3 +276,18 @@ def test_metadata_keeps_the_latest_change(spark, tmp_path):
         assert got == {"a": {"owner": "y", "rows": "5"}}
     size = files.bytes_of(spark.read.parquet(path)).first()
     assert size.files >= 2 and size.bytes > 0
+
+
+def test_parquet_footers(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    rows = spark.range(0, 950, 1, 1).selectExpr("id", "IF(id % 5 = 0, NULL, concat('t', id)) AS name", "named_struct('x', id) AS s")
+    rows.write.option("parquet.block.row.count.limit", 200).parquet(folder)
+    rows.limit(0).write.mode("append").parquet(folder)
+    (tmp_path / "p" / "broken.parquet").write_bytes(b"no parquet at all")
+    (tmp_path / "p" / "empty.parquet").write_bytes(b"")
+    footers = files.parquet_footers(spark, folder)
+    found = sorted((r.rows, r.row_groups, r.leaves) for r in files.parquet_files(footers).collect())
+    assert found == [(0, 0, 0), (950, 5, 3)]
+    leaves = {r.leaf: (r.leaf_types, r.rows, r.nulls) for r in files.parquet_leaves(footers).collect()}
+    assert leaves == {"id": (["INT64"], 950, 0), "name": (["BYTE_ARRAY"], 950, 190), "s.x": (["INT64"], 950, 0)}
+    assert sorted(r.file.rsplit("/", 1)[1] for r in footers.where("error IS NOT NULL").collect()) == ["broken.parquet", "empty.parquet"]

@@ -160,3 +160,16 @@ def table_bytes(spark, folder):
     read(spark, folder, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).write.text(path)
     lines = spark.read.text(path)
     return lines.agg(F.count(F.lit(1)).alias("rows")).join(files.bytes_of(lines).select("bytes"), F.lit(True))  # one row each
+
+
+@query("parquet_file_facts",
+       "WITH n AS (SELECT doc_id // 1000 AS bucket, count(*) AS n, count(*) - count(text) AS t FROM documents GROUP BY 1) "
+       "SELECT bucket, n AS n_rows, CAST(ceil(n / 300) AS BIGINT) AS row_groups, least(n, 300) AS largest_group_rows, 2 AS leaves, t AS null_texts FROM n")
+def parquet_file_facts(spark, folder):
+    """Row groups, rows and nulls of the files of all documents, from footers alone."""
+    path = place_of(spark, "parquet")
+    docs = read(spark, folder, "documents").select("doc_id", "text", F.expr("doc_id DIV 1000").alias("bucket"))
+    docs.repartition("bucket").write.partitionBy("bucket").option("parquet.block.row.count.limit", 300).parquet(path)
+    footers = files.parquet_footers(spark, path)
+    nulls = footers.where("leaf = 'text'").groupBy("file").agg(F.sum("nulls").alias("null_texts"))
+    return files.parquet_files(footers).join(nulls, "file").selectExpr(f"{_BUCKET} AS bucket", "rows AS n_rows", "row_groups", "largest_group_rows", "CAST(leaves AS INT) AS leaves", "null_texts")
