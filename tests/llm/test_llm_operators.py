@@ -1,9 +1,12 @@
+import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope.llm import archives, cube_mix, piece_viterbi, quality_rules, sentence_spans, suffix_tree, surrogates, winnowing
 
@@ -147,3 +150,97 @@ def test_scores_of_odd_rows(odd):
     rows = suffix_tree.score(odd).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id == 3} == {4001} and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {1}
+
+
+def brute_scores(rows, depth):
+    """Base columns and scores of ``(doc_id, text)`` rows by dictionaries of whole contexts."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    count, every = Counter(w for i in words if not out[i] for w in words[i]), Counter(w for ws in words.values() for w in ws)
+    texts = sum(not o for o in out.values())
+    n, v = sum(count.values()) + texts, len(count) + 1
+    least = lambda unit, size=n: max(2.0, unit * size ** 0.5)
+    own = {w for w in count if count[w] >= least(suffix_tree.OWN_LEAST)}
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once else 0.5
+    rare_n, rare_v = sum(c for w, c in count.items() if w not in own), sum(w not in own for w in count)
+    sequence = lambda ws: ["<"] + [w if w in own else "?" for w in ws] + [">"]
+    nodes = defaultdict(Counter)
+    for i in words:
+        if not out[i]:
+            s = sequence(words[i])
+            for at in range(1, len(s)):
+                for d in range(1, min(depth, at) + 1):
+                    nodes[tuple(s[at - d:at])][s[at]] += 1
+    size = {c: sum(k.values()) for c, k in nodes.items()}
+    nodes[()], size[()] = Counter({w: count[w] for w in own} | {"?": rare_n + 1, ">": texts + 1}), n + 2
+    often = lambda c: c in ((), ("<",)) or size.get(c, 0) >= least(suffix_tree.CONTEXT_LEAST)
+    # The root's counts decide on the contexts of one symbol, so RARE has one more there.
+    first = {(w,) for w, k in nodes[()].items() if k >= least(suffix_tree.CONTEXT_LEAST) and w != ">"} | {("<",)}
+    candidates = [c for c in nodes if c and c[:1] in first and all(nodes[c[:j]][c[j]] >= least(suffix_tree.CONTEXT_LEAST) for j in range(1, len(c))) and often(c)]
+    shown = {c: {s: k for s, k in nodes[c].items() if not c or k >= least(suffix_tree.SYMBOL_LEAST)} for c in [(), *candidates]}
+    kept = {()}
+    for c in candidates:
+        mine, whole, above = shown[c], size[c[1:]], shown[c[1:]]
+        gain = sum(k * math.log(k / size[c] * whole / max(k, above.get(s, 0))) for s, k in mine.items())
+        rest = size[c] - sum(mine.values())
+        if rest:
+            gain += rest * math.log(rest / size[c] * whole / max(rest, whole - sum(above.get(s, 0) for s in mine)))
+        if mine and gain > 0.5 * len(mine) * math.log(n + 2):
+            kept |= {c[j:] for j in range(len(c))}
+
+    def p(c, s):
+        if not c:
+            return nodes[()][s] / (n + 2)
+        whole = size[c] + len(shown[c]) + 1
+        return shown[c].get(s, 0) / whole + (1 - sum(shown[c].values()) / whole) * p(c[1:], s)
+
+    result = {}
+    for i, ws in words.items():
+        s, score = sequence(ws), 0.0
+        for at in range(1, len(s)):
+            c = next(c for d in range(min(depth, at), -1, -1) if (c := tuple(s[at - d:at])) in kept)
+            score += math.log10(p(c, s[at]))
+            if s[at] == "?":
+                k = count[ws[at - 1]]
+                score += math.log10((k - discount if k else discount * rare_v + 1) / (rare_n + 1))
+        base = sum(math.log10((k + 1) / (n + 1 * (v + 1))) for k in [*(count[w] for w in ws), texts])
+        result[i] = (out[i], len(ws) + 1, sum(count[w] > 0 for w in ws) + 1, n, base, score)
+    return result, len(kept)
+
+
+@pytest.mark.parametrize("share", [1.0, 40.0])
+def test_tree_scores_equal_brute_force(spark, monkeypatch, share):
+    # The larger least counts leave few contexts, the smaller ones many.
+    for name in ("OWN_LEAST", "CONTEXT_LEAST", "SYMBOL_LEAST"):
+        monkeypatch.setattr(suffix_tree, name, getattr(suffix_tree, name) * share)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want, contexts = brute_scores([tuple(r) for r in docs.collect()], suffix_tree.DEPTH)
+    got = {r.doc_id: r[1:] for r in suffix_tree.score(docs).collect()}
+    assert contexts > 10 and got.keys() == want.keys()
+    for i, row in got.items():
+        assert row[:4] == want[i][:4] and np.allclose(row[4:], want[i][4:], rtol=1e-9, atol=1e-9), i
+
+
+def test_tree_grows_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", suffix_tree.held_out(F.col("doc_id")))
+    half, whole = suffix_tree.learned(docs.where("doc_id % 2 = 0")), suffix_tree.learned(docs)
+    assert len(whole.tree.contexts) > len(half.tree.contexts) and len(whole.tree.entries) > len(half.tree.entries) and len(whole.vocabulary.keys) > len(half.vocabulary.keys)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "ARC_BYTES", 10_000)
+    monkeypatch.setattr(archives, "WARC_BYTES", 6_000)
+    html = lambda i: None if i == 3 else "é" * 2_500_000 if i == 5 else f"{i % 7} " * 600
+    pages = spark.createDataFrame([(i, f"http://x/{i}", html(i)) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    files = archives.as_arc(pages)
+    assert max(len(r.content) for r in files.collect() if len(r.content) < 1_000_000) < 10_000 + 3_000 and files.count() >= 6
+    archives.write_warc(archives.with_revisits(archives.converted(files)), str(tmp_path / "w"))
+    sizes = [len(archives.inflated(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert sorted(s for s in sizes if s < 1_000_000)[-1] < 6_000 + 2_000 and len(sizes) >= 6
+    rows = {r.page_id: r for r in archives.with_referred_pages(archives.read_warc(spark, str(tmp_path / "w"))).where("record_type <> 'warcinfo'").collect()}
+    assert len(rows) == 60 and all(r.intact for r in rows.values()) and rows[5].payload_bytes == 5_000_000
+    first = {}
+    for i in range(60):
+        first.setdefault(html(i), i)
+    assert all((r.record_type, r.refers_to) == (("response", None) if first[html(i)] == i else ("revisit", first[html(i)])) for i, r in rows.items())
