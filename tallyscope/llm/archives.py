@@ -9,9 +9,12 @@ otherwise) and SHA-1 digests of block and payload.  Records whose payload
 equals that of one with a smaller page id become revisits that refer to it.
 
 Files are rows of ``path, content`` (Spark's binaryFile source) and are parsed
-one at a time; keep them to usual archive sizes.  WARC files are written with
-Spark's text writer, whose line separator is the record separator, so that any
-shared file system works; blocks may hold any bytes.
+one at a time; those written here are closed at ``ARC_BYTES`` and ``WARC_BYTES``
+(a larger record has a file of its own), others should keep usual archive sizes.
+WARC files are written with Spark's text writer, whose line separator is the
+record separator, so that any shared file system works; blocks may hold any bytes.
+Records are numbered by their place in a file, and a task that runs again may put
+rows in another order: ``with_revisits`` therefore writes them once.
 
 A null url is written as ``about:blank``, spaces in it are escaped; null html is
 an empty payload; null page ids come last in order.  A file that breaks off or
@@ -32,13 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rows import materialize
+
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ARC_FIELDS = {
     "1": ("url", "ip", "date", "type", "length"),
     "2": ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "file", "length"),
 }
-RECORDS_PER_FILE = 5_000
+#: Bytes at which a file is closed; WARC before compression.
+ARC_BYTES, WARC_BYTES = 8 << 20, 64 << 20
 _RECORD = "path string, start bigint, page_id bigint, warc_type string, record_id string, date string, uri string, ip string, content_type string, header binary, payload binary, payload_digest string, error string"
 
 
@@ -120,29 +126,43 @@ def converted(files: DataFrame) -> DataFrame:
 
 
 def as_arc(pages: DataFrame, records: int = 200) -> DataFrame:
-    """ARC files (``path, content``) of ``pages(page_id, url, html)``, in turns of version 1 and 2."""
+    """ARC files (``path, content``) of ``pages(page_id, url, html)``, in turns of version 1 and 2; at most so many records each."""
+    bound = ARC_BYTES
+
+    def opened(path: str, version: str) -> tuple[list[bytes], str]:
+        info = f"{version} 0 pages\n{'URL IP-address Archive-date Content-type Archive-length' if version == '1' else 'URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length'}\n"
+        rest = "" if version == "1" else f"200 - - 0 {path} "
+        return [f"filedesc://{path} 0.0.0.0 20000101000000 text/plain {rest}{len(info)}\n{info}\n".encode()], rest
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
+        out: list[bytes] = []
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, records):
-                part = batch.slice(begin, records)
-                version, path = "12"[number % 2], f"pages-{task:06d}-{number:06d}.arc"
-                info = f"{version} 0 pages\n{'URL IP-address Archive-date Content-type Archive-length' if version == '1' else 'URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length'}\n"
-                rest = "" if version == "1" else f"200 - - 0 {path} "
-                out = [f"filedesc://{path} 0.0.0.0 20000101000000 text/plain {rest}{len(info)}\n{info}\n".encode()]
-                for page, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist()):
-                    html = html or b""
-                    name = "" if page is None else f"X-Page-Id: {page}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(html)}\r\n\r\n".encode()
-                    where = re.sub(r"\s", "%20", url) if url else "about:blank"
-                    out += [f"{where} 0.0.0.0 20000101000000 text/html {rest}{len(head) + len(html)}\n".encode("utf-8", "replace"), head, html, b"\n"]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
+            for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").cast(pa.binary()).to_pylist()):
+                html = html or b""
+                if held and (held == records or size + len(html) > bound):
+                    yield closed()
+                    number, held, size = number + 1, 0, 0
+                if not held:
+                    path = f"pages-{task:06d}-{number:06d}.arc"
+                    out, rest = opened(path, "12"[number % 2])
+                name = "" if page is None else f"X-Page-Id: {page}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(html)}\r\n\r\n".encode()
+                where = re.sub(r"\s", "%20", url) if url else "about:blank"
+                out += [f"{where} 0.0.0.0 20000101000000 text/html {rest}{len(head) + len(html)}\n".encode("utf-8", "replace"), head, html, b"\n"]
+                held, size = held + 1, size + len(html)
+        if held:
+            yield closed()
     return pages.select("page_id", "url", "html").mapInArrow(pack, "path string, content binary")
 
 
 def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``records`` with ``refers_to, refers_uri, refers_date`` of the response that holds an equal payload (null: it holds its own)."""
+    records = materialize(records, "records")  # read twice below, with the same ids
     facts = records.where("warc_type = 'response'").select("record_id", "page_id", "payload_digest", "uri", "date", F.length("payload").alias("size"))
     order = F.struct(F.col("page_id").isNull(), "page_id", "record_id", "uri", "date")
     holders = facts.where(F.col("size") >= least_bytes).groupBy("payload_digest", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -153,10 +173,13 @@ def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def as_warc(records: DataFrame) -> DataFrame:
-    """Whole WARC records without the separator that ends them (``record binary``)."""
+    """Whole WARC records without the separator that ends them (``record binary``) and the number of their file in the task (``part int``)."""
+    bound = WARC_BYTES
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = 0, 0
         for batch in batches:
-            out = []
+            out, parts = [], []
             for r in batch.to_pylist():
                 if r["warc_type"] == "damaged":
                     continue
@@ -169,16 +192,21 @@ def as_warc(records: DataFrame) -> DataFrame:
                 if revisit:
                     lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{r['refers_to']}>", f"WARC-Refers-To-Target-URI: {r['refers_uri']}", f"WARC-Refers-To-Date: {r['refers_date']}"]
                 lines += [f"Content-Type: {r['content_type']}", f"Content-Length: {len(block)}"]
-                out.append("\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                record = "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block
+                if size and size + len(record) > bound:
+                    part, size = part + 1, 0
+                size += len(record)
+                out.append(record)
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int32())], names=["record", "part"])
     wanted = [c for c in _NAMES if c not in ("path", "start", "page_id", "error")] + ["refers_to", "refers_uri", "refers_date"]
-    return records.select(*wanted).mapInArrow(write, "record binary")
+    return records.select(*wanted).mapInArrow(write, "record binary, part int")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """WARC files (gzip) below ``path``."""
-    as_warc(records).select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option(
-        "zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """WARC files (gzip) below ``path``, a folder for each number of a file within its task."""
+    as_warc(records).select(F.col("record").cast("string").alias("value"), "part").write.option("lineSep", SEPARATOR).option("compression", "gzip").option(
+        "zlib.compress.level", "BEST_SPEED").partitionBy("part").text(path)
 
 
 def warc_records(content: bytes) -> Iterator[dict]:
@@ -227,7 +255,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         "payload_bytes": size, "payload_digest": digest, "refers_to_id": r["warc-refers-to"].strip("<>") if revisit else None,
                         "intact": sha1(block) == r["warc-block-digest"].removeprefix("sha1:") and (revisit or (sha1(payload) == digest and len(payload) == size))})
                 yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in out], k) for n, k in zip(names, kinds)], names=names)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, _READ)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(read, _READ)
 
 
 def with_referred_pages(records: DataFrame) -> DataFrame:
