@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rows import materialize
+from tallyscope.functions.rows import place_of
 
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -162,7 +162,9 @@ def as_arc(pages: DataFrame, records: int = 200) -> DataFrame:
 
 def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``records`` with ``refers_to, refers_uri, refers_date`` of the response that holds an equal payload (null: it holds its own)."""
-    records = materialize(records, "records")  # read twice below, with the same ids
+    path = place_of(records.sparkSession, "records")  # read twice below, with the same ids
+    records.write.option("compression", "zstd").parquet(path)
+    records = records.sparkSession.read.schema(records.schema).parquet(path)
     facts = records.where("warc_type = 'response'").select("record_id", "page_id", "payload_digest", "uri", "date", F.length("payload").alias("size"))
     order = F.struct(F.col("page_id").isNull(), "page_id", "record_id", "uri", "date")
     holders = facts.where(F.col("size") >= least_bytes).groupBy("payload_digest", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
