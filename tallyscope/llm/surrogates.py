@@ -63,12 +63,16 @@ PART = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]++"
 FAMILY_NAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩邓冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔"
 MALE_AFTER, FEMALE_AFTER, OTHER_AFTER = "先生", "女士|小姐", "教授|博士"
 AFTER = f"{MALE_AFTER}|{FEMALE_AFTER}|{OTHER_AFTER}"
-HAN_PART = rf"[{FAMILY_NAMES}]\p{{IsHan}}{{0,2}}?(?=(?:{AFTER}))"
-NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){TITLES}(?:\p{{Lu}}\. )*{PART}(?:[ -](?:\p{{Lu}}\. )?{PART})?|{HAN_PART}(?:{AFTER})"
+#: The range of Chinese characters is tested before the family names one by one.
+HAN_PART = rf"(?=[\u4E00-\u9FFF])[{FAMILY_NAMES}]\p{{IsHan}}{{0,2}}?(?=(?:{AFTER}))"
+#: First letters of all titles, a cheap test before the lookbehind.
+_TITLE_LETTER = "(?=[DFHMPSгΚκ])"
+NAME = rf"{_TITLE_LETTER}(?<![\p{{L}}\p{{M}}\p{{N}}]){TITLES}(?:\p{{Lu}}\. )*{PART}(?:[ -](?:\p{{Lu}}\. )?{PART})?|{HAN_PART}(?:{AFTER})"
 KINDS = (("email", EMAIL), ("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
 #: Entities by their form alone, and with all that may be part of a name.
-NUMBER = "|".join(f"(?:{p})" for _, p in KINDS)
-PIECE = rf"{NUMBER}|(?<![\p{{L}}\p{{M}}\p{{N}}]){PART}|{HAN_PART}"
+_FORMS = dict(KINDS)
+NUMBER = f"(?:{EMAIL})|(?=[0-9+(])(?:{'|'.join(f'(?:{_FORMS[k]})' for k in ('ip', 'ssn', 'card', 'phone'))})|(?=[A-Z][A-Z][0-9])(?:{IBAN})"
+PIECE = rf"{NUMBER}|(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}]){PART}|{HAN_PART}"
 #: Cheap tests that every number and every name passes.
 NUMBER_HINT = "[@0-9]"
 NAME_HINT = rf"(?:[rnueosavtςα]|Dr|Prof|ss|н|а)\.? \p{{Lu}}|{AFTER}"
