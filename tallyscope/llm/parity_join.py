@@ -89,8 +89,13 @@ def block_keys(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(values: np.ndarray) -> bytes:
-    """Parity of the shingles per bit, for a power of two of bits, at least two for each shingle."""
-    bits = 1 << (2 * len(values) - 1).bit_length() if len(values) > 4 else 8
+    """Parity of the shingles per bit, for a power of two of bits: at least two for each shingle, one in large sets.
+
+    Sets of 512 shingles and more that have nothing in common differ in about half of their bits, far over the
+    two in seven of a link, also with one bit a shingle; sketches move with the blocks, so they are kept short.
+    """
+    share = 2 if len(values) < 512 else 1
+    bits = 1 << (share * len(values) - 1).bit_length() if len(values) > 4 else 8
     place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -292,7 +297,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     keyed = docs.select("text").mapInArrow(_emit(frequent), "key bigint, set_id bigint, n int")
     found = materialize(keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_first_round, "key bigint, a bigint, b bigint, n int"), "found")
     # A row per set with its blocks, so that labels and sketches are joined per set; a set has at most as many blocks as its text has shingles.
-    members = materialize(found.where("key IS NOT NULL").groupBy("a").agg(F.collect_set("key").alias("keys")), "members")
+    members = found.where("key IS NOT NULL").groupBy("a").agg(F.collect_set("key").alias("keys"))
+    members = materialize(members.join(sets.select(F.col("set_id").alias("a"), "n", "sketch"), "a"), "members")
 
     def texts(pairs: DataFrame) -> DataFrame:
         """The text of one document of every set in the pairs."""
@@ -302,29 +308,29 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         side = side.select("set_id", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
         return docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """The pairs that their sketches do not rule out."""
-        side = lambda x: sets.select(F.col("set_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+    def close(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs that their sketches do not rule out; ``known`` has those of all sets in the pairs."""
+        side = lambda x: known.select(F.col("set_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a bigint, b bigint")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(close(pairs), "close")
-        text = texts(pairs)
-        # A text with many rows is that of repeated rows: one is enough.
-        text = materialize(text.dropDuplicates(["set_id"]), "texts")
+    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        pairs = materialize(close(pairs, known), "close")
+        # A text with many rows is that of repeated rows: one is enough.  Both joins read the one exchange of this step.
+        text = texts(pairs).dropDuplicates(["set_id"])
         both = pairs.join(text.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
 
     tested = materialize(found.where("key IS NULL").select("a", "b").distinct(), "pairs")
-    links = materialize(verified(tested), "verified")
+    links = materialize(verified(tested, sets), "verified")
     labels = components(links)
     low = FIRST_LEADERS
     while True:
-        named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("a", "keys", F.coalesce("label", "a").alias("label"))
+        named = members.select("a", "keys").join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("a", "keys", F.coalesce("label", "a").alias("label"))
         in_block = named.select("a", "label", F.explode("keys").alias("key"))
         open_keys = in_block.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where(F.expr(f"x <> y AND size > {low}")).select("key")
         opened = in_block.join(open_keys, "key", "left_semi").groupBy("a", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        members = materialize(opened.join(sets.select(F.col("set_id").alias("a"), "n", "sketch"), "a"), "open")
+        # Only sets of the round before are open in this one, so their sketches are taken from it.
+        members = materialize(opened.join(members.select("a", "n", "sketch"), "a"), "open")
         if not members.take(1):
             break
         high = low * LEADER_GROWTH
@@ -332,12 +338,11 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         in_block = members.select("a", "n", "label", "sketch", F.expr(f"inline(transform(keys, (k, i) -> struct(k AS key, {smaller('i', 1)} AS before, {smaller('i', 2)} AS before2)))"))
         pairs = in_block.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_later_round(low, high), "a bigint, b bigint").distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        members = members.select("a", "keys")
         low = high
         if not pairs.take(1):
             continue
         tested = tested.unionByName(pairs)
-        links = links.unionByName(materialize(verified(pairs), "verified"))
+        links = links.unionByName(materialize(verified(pairs, members.select(F.col("a").alias("set_id"), "sketch", "n")), "verified"))
         labels = components(links)
     named = sets.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "doc_id", "text_hash", F.coalesce("label", "set_id").alias("label"))
     named = materialize(named, "named")

@@ -133,3 +133,14 @@ def test_pairs_that_wait_for_a_smaller_block_are_not_lost(seed):
         made, plain = made + len(found), plain + len(run(list(columns)[:5]))
         low *= 4
     assert pairs == want and made < plain
+
+
+def test_sketches_of_large_sets_are_short_and_still_tell_unlike_sets_apart():
+    rng = np.random.default_rng(11)
+    for size in (600, 1000, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64)) for _ in range(2))
+        near = np.unique(np.concatenate((a[:-size // 10], b[:size // 10])))
+        sketch = J.bit_sketch(a)
+        assert 8 * len(sketch) < 2 * size  # one to two bits a shingle
+        assert 7 * J.hamming(sketch, J.bit_sketch(b)) > 2 * size
+        assert 7 * J.hamming(sketch, J.bit_sketch(near)) <= len(a) + len(near)
