@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import scalars
 from tallyscope.functions.rows import materialize, name_of, quoted, stack_rows
-from tallyscope.operators.columns import DIGEST_OVER_BYTES, col_of, melt, melt_numbers, numeric_columns, row_key, value_key
+from tallyscope.operators.columns import DIGEST_OVER_BYTES, col_of, melt, melt_numbers, number_sql, numeric_columns, row_key, value_key
 from tallyscope.operators.quantiles import exact_quantiles, quantile_columns
 
 #: Rows that are broadcast at most.
@@ -26,9 +26,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, date: str
     wins, which replaces file order.
     """
     wanted = list(columns) if columns is not None else numeric_columns(df)
-    keep = [f"CAST({name_of(date)} AS TIMESTAMP) AS at"] if date else []
-    keep += [f"-{name_of(t)} AS tie_{i}" for i, t in enumerate(tie_break)]
-    long = melt_numbers(df, wanted, keep)
+    long = melt_numbers(df, wanted)
     aggs = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -37,10 +35,9 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, date: str
         F.max("value").alias("max"),
         F.sum("value").alias("sum"),
     ]
-    if date:
-        order = F.struct("at", *[f"tie_{i}" for i in range(len(tie_break))])
-        aggs.append(F.max_by("value", F.when(F.col("at").isNotNull(), order)).alias("latest_value"))
     basics = long.groupBy("column_name").agg(*aggs)
+    if date:
+        basics = basics.join(F.broadcast(latest_values(df, wanted, date, tie_break)), "column_name")
     quantiles = quantile_columns(exact_quantiles(long.select("column_name", "value"), list(PERCENTILES)), PERCENTILES)
     # One row per column on both sides.
     out = basics.join(F.broadcast(quantiles), "column_name").withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -48,6 +45,18 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, date: str
     return out.select("column_name", "count", *[scalars.safe_round(F.col(c)).alias(c) for c in floats])
 
 
+def latest_values(df: DataFrame, columns: Sequence[str], date: str, tie_break: Sequence[str] = ()) -> DataFrame:
+    """(column_name, latest_value): the last number of each column by date, then smallest ``tie_break``.
+
+    Grouped by column, a struct as the order would have all cells sorted first;
+    over the whole table each task keeps one row.
+    """
+    at = f"CAST({name_of(date)} AS TIMESTAMP)"
+    order = f"struct({', '.join([at, *[f'-{name_of(t)}' for t in tie_break]])})"
+    found = [F.expr(f"max_by({number_sql(c)}, CASE WHEN {at} IS NOT NULL AND {number_sql(c)} IS NOT NULL THEN {order} END)").alias(f"v{i}") for i, c in enumerate(columns)]
+    return df.agg(*found).selectExpr(stack_rows([[quoted(c), f"v{i}"] for i, c in enumerate(columns)], ["column_name", "latest_value"]))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, key, start, n): copies of every value, long values by digest and the text they start with."""
     cells = melt(df, columns).where(F.col("txt").isNotNull())

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -263,3 +264,13 @@ def test_shapes_of_dates(spark):
 def test_rounding_of_halves(spark):
     got = spark.sql("SELECT explode(array(0.5D, 1.5D, 2.5D, -0.5D, double('NaN'), double('infinity'))) AS x").select(scalars.safe_round(F.col("x"), 0).alias("r")).collect()
     assert [r.r for r in got] == [0.0, 2.0, 2.0, 0.0, None, None]
+
+
+def test_latest_values_need_no_sort_of_the_cells(spark):
+    rows = [(1.0, None, dt.date(2024, 1, 2), 1), (2.0, 5.0, dt.date(2024, 1, 3), 2), (3.0, None, dt.date(2024, 1, 3), 1), (9.0, 9.0, None, 0)]
+    df = spark.createDataFrame(rows, "v double, w double, d date, n int")
+    found = summaries.latest_values(df, ["v", "w"], "d", ["n"])
+    assert {r.column_name: r.latest_value for r in found.collect()} == {"v": 3.0, "w": 5.0}
+    plan = summaries.numeric_stats(df, ["v", "w"], "d", ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" in plan and "SortAggregate(key=[column_name" not in plan
+    assert {r.column_name: (r["count"], r.latest_value) for r in summaries.numeric_stats(df, ["v", "w"], "d", ["n"]).collect()} == {"v": (4, 3.0), "w": (2, 5.0)}
