@@ -128,3 +128,10 @@ def test_memory_is_one_scan(spark):
     df = spark.createDataFrame([(1, i, "what about that") for i in range(40)], "conv_id long, turn long, text string")
     plan = questions.annotate(df, ranges=4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 1 and plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_words_looked_for_once_give_the_same_metrics(spark):
+    texts = [(w.replace("{y}", "2024").replace("{p}", "2023").replace("{q}", "2"),) for w in questions.WORDINGS] + [("",), ("NET interest income, not interest coverage; Sales?",)]
+    df = spark.createDataFrame(texts, "t string").withColumn("low", F.lower("t")).withColumn("words", questions.words_found("low"))
+    found = df.select("t", questions.mentioned_metrics("t").alias("a"), questions.mentioned_metrics("t", words="words").alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found] and any(r.a for r in found)
