@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tallyscope.functions.rows import name_of
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
+#: Bytes of texts hashed at a time; a longer text is taken alone.
+TEXTS_AT_ONCE = 1 << 18
 
 _LONG_WORD = 64
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +57,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def text_parts(column: pa.Array, limit: int = TEXTS_AT_ONCE) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column in parts of at most ``limit`` bytes (a longer text alone), each with its first row."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > begin and size + n + 1 > limit:
+            yield begin, texts_of(column.slice(begin, i - begin))
+            begin, size = i, 0
+        size += n + 1
+    if begin < len(column):
+        yield begin, texts_of(column.slice(begin))
+
+
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of every word of a text, A-Z lower-cased, in order."""
     return hashed_words(text, lower)[0]
@@ -112,6 +127,48 @@ def set_id(values: np.ndarray) -> int:
         return int(mix(np.array([np.sum(mix(values ^ _M1), dtype=np.uint64) + np.uint64(len(values))]))[0].astype(np.int64))
 
 
+def shingle_sets(texts: list[bytes], k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of every text one after another, and their bounds; one pass over all texts."""
+    words, at = hashed_words(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    bounds = np.concatenate(([0], np.searchsorted(at, ends)))
+    n = np.diff(bounds)
+    counts = np.where(n < k, n > 0, n - k + 1).astype(np.int64)
+    out_bounds = np.concatenate(([0], np.cumsum(counts)))
+    out = np.zeros(out_bounds[-1], dtype=np.uint64)
+    if len(words) >= k:
+        h = words[:len(words) - k + 1].copy()
+        for j in range(1, k):
+            h = h * _M2 + words[j:len(words) - k + 1 + j]
+        inside = np.arange(len(h)) + k <= np.repeat(bounds[1:], n)[:len(h)]
+        out[np.repeat(n >= k, counts)] = mix(h[inside] + np.uint64(k))
+    for i in np.flatnonzero((n > 0) & (n < k)).tolist():
+        out[out_bounds[i]] = shingles(words[bounds[i]:bounds[i + 1]], k)[0]
+    return distinct_runs(out, out_bounds)
+
+
+def distinct_runs(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values between two bounds sorted and made distinct, for all bounds; ``values`` is sorted in place."""
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[begin:end].sort()
+    keep = np.ones(len(values), dtype=bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+    return values[keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
+
+
+def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``set_id`` of the values between every two bounds."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ _M1), dtype=np.uint64)))[bounds]
+    return mix(sums[1:] - sums[:-1] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def chosen_runs(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values between the chosen bounds only, and their bounds."""
+    counts = np.diff(bounds)
+    return values[np.repeat(chosen, counts)], np.concatenate(([0], np.cumsum(counts[chosen])))
+
+
 def stored_runs(values: np.ndarray) -> np.ndarray:
     """Start of every run of equal neighbours."""
     if not len(values):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rows import materialize, name_of
-from tallyscope.llm.common import Rows, mix, set_id, shingles, stored_runs, texts_of, unpacked, word_hashes
+from tallyscope.llm.common import Rows, chosen_runs, mix, set_ids, shingle_sets, stored_runs, text_parts, texts_of, unpacked
 from tallyscope.llm.components import components
 
 #: Shingles remembered as frequent, for the order of blocks only: any choice gives the same links.
@@ -43,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 #: Shingles counted at a time when looking for frequent ones.
 COUNTED_AT_ONCE = 1_000_000
 FIRST_LEADERS, LEADER_GROWTH = 1, 8
+#: Pairs of a block, and bytes of their sketches, compared at a time.
+PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 100_000, 4_000_000
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -56,48 +58,89 @@ def _blocks(band: int) -> int:
     return 1 << 40 if band < 5 else size if band < 8 else size // 2
 
 
-def _bands(n: int) -> list[tuple[int, int]]:
-    """(band, largest difference) for a set of n shingles: its own band and that of its smallest partners."""
-    own = n.bit_length() - 1
-    out = [(own, (n + 4 * n // 3) // 7)]
-    if -(-3 * n // 4) < 1 << own:
-        out.append((own - 1, (n + (1 << own) - 1) // 7))
-    return out
-
+def block_keys(values: np.ndarray, bounds: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """For the set between every two bounds, the keys of the filled sketch blocks that it must show in each of its bands.
 
-def block_keys(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The keys of the filled sketch blocks that a set must show in each of its bands."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-        common = (frequent[at] == values)
-    else:
-        common = np.zeros(len(values), dtype=bool)
-    place, code = mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    Gives the keys and the place of the set of each.  Bands of a set of n shingles are its own and, where it has smaller
+    partners there, the one below; a set shows one key more than it may have differences with a partner of that band.
+    """
+    n = np.diff(bounds)
+    own = np.frexp(n)[1].astype(np.int64) - 1
+    keyed = (mix(values), mix(values ^ np.uint64(0x5851F42D4C957F2D)), frequent.has(values))
+    lower = -(-3 * n // 4) < 1 << np.maximum(own, 0)
     out = []
-    for band, differences in _bands(len(values)):
-        block = place % np.uint64(_blocks(band))
-        order = np.argsort(block)
-        block = block[order]
-        starts = stored_runs(block)
-        if len(starts) <= differences:
-            raise ValueError("a set fills too few sketch blocks")  # odds below 1e-20 by the choice of blocks
-        parity = np.bitwise_xor.reduceat(code[order], starts)
-        last = np.logical_and.reduceat(common[order], starts)
-        key = (mix(parity ^ mix(block[starts] * np.uint64(64) + np.uint64(band))) >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
-        out.append(key if len(key) == differences + 1 else np.partition(key, differences)[:differences + 1])
-    return np.concatenate(out)
-
-
-def bit_sketch(values: np.ndarray) -> bytes:
-    """Parity of the shingles per bit, for a power of two of bits: at least two for each shingle, one in large sets.
+    for chosen, band, differences in ((n > 0, own, (n + 4 * n // 3) // 7), ((n > 0) & lower, own - 1, (n + (1 << np.maximum(own, 0)) - 1) // 7)):
+        if chosen.any():
+            of_band = [chosen_runs(x, bounds, chosen)[0] for x in keyed]
+            keys, counts = _band_keys(*of_band, n[chosen], band[chosen], differences[chosen])
+            out.append((keys, np.repeat(np.flatnonzero(chosen), counts)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _band_keys(place: np.ndarray, code: np.ndarray, common: np.ndarray, n: np.ndarray, band: np.ndarray, differences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest keys of every set in one band, one more than its differences, and their numbers."""
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    blocks = np.array([_blocks(x) for x in range(int(band.max()) + 1)], dtype=np.uint64)[band]
+    # Block and place of a shingle in one number: several sets have below 2^18 shingles together and at most 2^40 blocks.
+    shift = np.uint64(int(bounds[-1]).bit_length())
+    both = (place & np.repeat(blocks - np.uint64(1), n)) << shift | np.arange(len(place), dtype=np.uint64)
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        both[begin:end].sort()
+    block, at = both >> shift, (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    first = np.ones(len(block), dtype=bool)
+    first[1:] = block[1:] != block[:-1]
+    first[bounds[:-1]] = True
+    starts = np.flatnonzero(first)
+    filled = np.searchsorted(starts, bounds)
+    if (np.diff(filled) <= differences).any():
+        raise ValueError("a set fills too few sketch blocks")  # odds below 1e-20 by the choice of blocks
+    parity = np.bitwise_xor.reduceat(code[at], starts)
+    last = np.logical_and.reduceat(common[at], starts)
+    of_band = np.repeat(band.astype(np.uint64), np.diff(filled))
+    key = (mix(parity ^ mix(block[starts] * np.uint64(64) + of_band)) >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
+    for begin, end, most in zip(filled[:-1].tolist(), filled[1:].tolist(), differences.tolist()):
+        key[begin:end].partition(most)
+    wanted = np.arange(len(key)) - np.repeat(filled[:-1], np.diff(filled)) <= np.repeat(differences, np.diff(filled))
+    return key[wanted], differences + 1
+
+
+class Frequent:
+    """Sorted frequent shingles; a table of their low bits settles nearly all others."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.table = values, np.zeros(1 << 20, dtype=bool)
+        self.table[self._bits(values)] = True
+
+    @staticmethod
+    def _bits(values: np.ndarray) -> np.ndarray:
+        return (values & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = self.table[self._bits(values)]
+        maybe = values[out]
+        if len(maybe):
+            out[out] = self.values[np.minimum(np.searchsorted(self.values, maybe), len(self.values) - 1)] == maybe
+        return out
+
+
+def bit_sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set, parity of the shingles per bit, for a power of two of bits: at least two for each shingle, one in large sets.
 
     Sets of 512 shingles and more that have nothing in common differ in about half of their bits, far over the
     two in seven of a link, also with one bit a shingle; sketches move with the blocks, so they are kept short.
     """
-    share = 2 if len(values) < 512 else 1
-    bits = 1 << (share * len(values) - 1).bit_length() if len(values) > 4 else 8
-    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+    n = np.diff(bounds)
+    bits = np.array([1 << ((2 if x < 512 else 1) * x - 1).bit_length() if x > 4 else 8 for x in n.tolist()], dtype=np.int64)
+    begin = np.concatenate(([0], np.cumsum(bits)))
+    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.repeat((bits - 1).astype(np.uint64), n)).astype(np.int64) + np.repeat(begin[:-1], n)
+    packed = np.packbits(np.bincount(place, minlength=begin[-1]).astype(np.uint8) & 1, bitorder="little").tobytes()
+    ends = (begin // 8).tolist()
+    return [packed[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+
+def bit_sketch(values: np.ndarray) -> bytes:
+    """The sketch of one set."""
+    return bit_sketches(values, np.array([0, len(values)]))[0]
 
 
 def hamming(a: bytes, b: bytes) -> int:
@@ -127,37 +170,42 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names, seen = ["doc_id", "text_hash", "n", "set_id", "sketch", "shingle", "documents"], set()
     for batch in batches:
-        ns, ids, sketches = [], [], []
-        for text in texts_of(batch.column("text")):
-            values = shingles(word_hashes(text))
-            ns.append(len(values))
-            ids.append(set_id(values))
-            sketches.append(None)
-            if len(values) and ids[-1] not in seen:
-                seen.add(ids[-1])
-                sketches[-1] = bit_sketch(values)
-                held.append(values)
-                documents += 1
+        for begin, texts in text_parts(batch.column("text")):
+            values, bounds = shingle_sets(texts)
+            ids, ns = set_ids(values, bounds), np.diff(bounds)
+            new = _unseen(ids, ns, seen)
+            own, own_bounds = chosen_runs(values, bounds, new)
+            sketches = np.full(len(texts), None, dtype=object)
+            sketches[new] = bit_sketches(own, own_bounds)
+            if len(own):
+                held.append(own)
+                documents += int(new.sum())
                 yield from frequent(False)
-        nothing = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), nothing, nothing], names=names)
+            part, nothing = batch.slice(begin, len(texts)), pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ns), pa.array(ids), pa.array(sketches, pa.binary()), nothing, nothing], names=names)
     yield from frequent(True)
 
 
+def _unseen(ids: np.ndarray, ns: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Marks the sets with shingles that come for the first time, and remembers them."""
+    out = np.zeros(len(ids), dtype=bool)
+    for i, own in enumerate(ids.tolist()):
+        if ns[i] and own not in seen:
+            seen.add(own)
+            out[i] = True
+    return out
+
+
 def _emit(frequent):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen, rows = frequent.value, set(), Rows(["key", "set_id", "n"])
+        often, seen, rows = Frequent(frequent.value), set(), Rows(["key", "set_id", "n"])
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                values = shingles(word_hashes(text))
-                if not len(values):
-                    continue
-                own = set_id(values)
-                if own in seen:  # copies within a task send their keys once
-                    continue
-                seen.add(own)
-                found = block_keys(values, often).view(np.int64)
-                rows.add(found, np.full(len(found), own), np.full(len(found), len(values), dtype=np.int32))
+            for _, texts in text_parts(batch.column("text")):
+                values, bounds = shingle_sets(texts)
+                ids, ns = set_ids(values, bounds), np.diff(bounds)
+                new = _unseen(ids, ns, seen)  # copies within a task send their keys once
+                found, of = block_keys(*chosen_runs(values, bounds, new), often)
+                rows.add(found.view(np.int64), ids[new][of], ns[new][of].astype(np.int32))
                 yield from rows.ready()
         yield from rows.ready(True)
     return keys
@@ -207,14 +255,21 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = (key[begin:begin + 2], sets[begin:begin + 2], n[begin:begin + 2])
 
 
-def _folded(sketches: list[bytes], size: int) -> np.ndarray:
-    """Sketches as rows of ``size`` bytes."""
-    out = []
-    for x in (np.frombuffer(v, dtype=np.uint8) for v in sketches):
-        while len(x) > size:
-            x = x[:len(x) // 2] ^ x[len(x) // 2:]
-        out.append(x)
-    return np.stack(out)
+def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """``hamming`` of pairs of sketches, those of equal lengths together."""
+    out = np.zeros(len(left), dtype=np.int64)
+    sizes = np.array([list(map(len, left)), list(map(len, right))], dtype=np.int64)
+    for x, y in np.unique(sizes, axis=1).T.tolist():
+        at = np.flatnonzero((sizes[0] == x) & (sizes[1] == y))
+        step = max(1, SKETCHES_AT_ONCE // (x + y))
+        for part in (at[i:i + step] for i in range(0, len(at), step)):
+            a, b = (np.frombuffer(b"".join([side[i] for i in part]), dtype=np.uint8).reshape(len(part), -1) for side in (left, right))
+            while a.shape[1] > b.shape[1]:
+                a = a[:, :a.shape[1] // 2] ^ a[:, a.shape[1] // 2:]
+            while b.shape[1] > a.shape[1]:
+                b = b[:, :b.shape[1] // 2] ^ b[:, b.shape[1] // 2:]
+            out[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _later_round(low: int, high: int):
@@ -225,35 +280,53 @@ def _later_round(low: int, high: int):
     them in common meet there as well, in this round, an earlier or a later one, so they are passed over here.
     """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(["a", "b"])
-        open_key, rank, leaders = None, 0, []
+        rows, columns = Rows(["a", "b"]), ["a", "n", "label", "before", "before2"]
+        open_key, rank, held = None, 0, None  # of the key that may go on: its rows so far, and its leaders with their sketches
+
+        def meet(x: list[np.ndarray], x_sketches: list[bytes], i: np.ndarray, y: list[np.ndarray], y_sketches: list[bytes], j: np.ndarray):
+            ok = (x[2][i] != y[2][j]) & _fits(x[1][i], y[1][j])
+            for p in (x[3], x[4]):
+                ok &= (p[i] == 0) | (p[i] != y[3][j]) & (p[i] != y[4][j])
+            i, j = i[ok], j[ok]
+            if len(i):
+                near = _distances([x_sketches[k] for k in i.tolist()], [y_sketches[k] for k in j.tolist()])
+                ok = 7 * near <= x[1][i].astype(np.int64) + y[1][j]
+                rows.add(x[0][i[ok]], y[0][j[ok]])
+
         for batch in batches:
-            key, sets, n, label = (batch.column(c).to_numpy() for c in ("key", "a", "n", "label"))
-            # Without these columns every shared block makes its pairs.
-            one, two = (batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(len(key), np.int64) for c in ("before", "before2"))
-            sketches = batch.column("sketch").to_pylist()
+            if not batch.num_rows:
+                continue
+            key, sketches = batch.column("key").to_numpy(), batch.column("sketch").to_pylist()
+            # Without the last two columns every shared block makes its pairs.
+            own = [batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(len(key), np.int64) for c in columns]
             starts = stored_runs(key)
-            for begin, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
-                if key[begin] != open_key:
-                    open_key, rank, leaders = key[begin], 0, []
-                for i in range(begin, min(end, begin + max(0, high - rank))):
-                    if rank + i - begin >= low:
-                        leaders.append((rank + i - begin, sets[i], n[i], label[i], sketches[i], [p for p in (one[i], two[i]) if p]))
-                if leaders:
-                    size = min(min(map(len, sketches[begin:end])), min(len(x[4]) for x in leaders))
-                    own = _folded(sketches[begin:end], size)
-                    for at, lead, count, mark, sketch, smaller in leaders:
-                        start = max(0, at + 1 - rank)
-                        ok = (label[begin + start:end] != mark) & _fits(n[begin + start:end], np.int32(count))
-                        for p in smaller:
-                            ok &= (one[begin + start:end] != p) & (two[begin + start:end] != p)
-                        if ok.any():
-                            near = np.bitwise_count(own[start:][ok] ^ _folded([sketch], size)).sum(axis=1, dtype=np.int64)
-                            found = sets[begin + start:end][ok]
-                            found = found[7 * near <= n[begin + start:end][ok].astype(np.int64) + int(count)]
-                            rows.add(np.full(len(found), lead), found)
-                            yield from rows.ready()
-                rank += end - begin
+            ends = np.append(starts[1:], len(key))
+            if key[0] != open_key:
+                rank, held = 0, None
+            if held:
+                # Leaders of earlier batches with the rows of their key that follow in this one.
+                step = max(1, PAIRS_AT_ONCE // int(ends[0]))
+                for begin in range(0, len(held[1]), step):
+                    lead = np.arange(begin, min(begin + step, len(held[1])))
+                    meet(*held, np.repeat(lead, ends[0]), own, sketches, np.tile(np.arange(ends[0]), len(lead)))
+                    yield from rows.ready()
+            place = np.arange(len(key)) - np.repeat(starts, ends - starts)
+            place[:ends[0]] += rank
+            leaders = np.flatnonzero((place >= low) & (place < high))
+            later = np.repeat(ends, ends - starts)[leaders] - leaders - 1
+            cuts = np.searchsorted(np.cumsum(later), np.arange(0, int(later.sum()), PAIRS_AT_ONCE), side="right")
+            for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(leaders)]):
+                lead, count = leaders[begin:end], later[begin:end]
+                i = np.repeat(lead, count)
+                meet(own, sketches, i, own, sketches, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count))
+                yield from rows.ready()
+            if len(starts) > 1:
+                rank, held = 0, None
+            open_key, rank = key[-1], rank + int(ends[-1] - starts[-1])
+            last = leaders[leaders >= starts[-1]]
+            if len(last):
+                more = [x[last] for x in own], [sketches[i] for i in last.tolist()]
+                held = more if held is None else ([np.concatenate(x) for x in zip(held[0], more[0])], held[1] + more[1])
         yield from rows.ready(True)
     return pairs
 
@@ -270,12 +343,15 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, first = None, None
     for batch in batches:
-        keep, last, values = [], None, None
-        for one, other in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))):
-            if one != last:
-                last, values = one, shingles(word_hashes(one))
-            keep.append(linked(values, shingles(word_hashes(other))))
+        keep = []
+        for begin, others in text_parts(batch.column("text_b")):
+            found, bounds = shingle_sets(others)
+            for i, one in enumerate(texts_of(batch.column("text_a").slice(begin, len(others)))):
+                if one != last:
+                    last, first = one, shingle_sets([one])[0]
+                keep.append(linked(first, found[bounds[i]:bounds[i + 1]]))
         yield _kept(batch, keep)
 
 
@@ -308,20 +384,19 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         side = side.select("set_id", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
         return docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("set_id", "text")
 
-    def close(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """The pairs that their sketches do not rule out; ``known`` has those of all sets in the pairs."""
-        side = lambda x: known.select(F.col("set_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that their sketches do not rule out."""
+        side = lambda x: sets.select(F.col("set_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a bigint, b bigint")
 
-    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        pairs = materialize(close(pairs, known), "close")
+    def verified(pairs: DataFrame) -> DataFrame:
         # A text with many rows is that of repeated rows: one is enough.  Both joins read the one exchange of this step.
         text = texts(pairs).dropDuplicates(["set_id"])
         both = pairs.join(text.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
 
     tested = materialize(found.where("key IS NULL").select("a", "b").distinct(), "pairs")
-    links = materialize(verified(tested, sets), "verified")
+    links = materialize(verified(materialize(close(tested), "close")), "verified")
     labels = components(links)
     low = FIRST_LEADERS
     while True:
@@ -342,7 +417,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         if not pairs.take(1):
             continue
         tested = tested.unionByName(pairs)
-        links = links.unionByName(materialize(verified(pairs, members.select(F.col("a").alias("set_id"), "sketch", "n")), "verified"))
+        links = links.unionByName(materialize(verified(pairs), "verified"))
         labels = components(links)
     named = sets.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "doc_id", "text_hash", F.coalesce("label", "set_id").alias("label"))
     named = materialize(named, "named")

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyscope.llm import parity_join as J
+from tallyscope.llm import common, parity_join as J
 from tallyscope.llm.common import set_id, shingles, word_hashes
 
 
@@ -144,3 +144,45 @@ def test_sketches_of_large_sets_are_short_and_still_tell_unlike_sets_apart():
         assert 8 * len(sketch) < 2 * size  # one to two bits a shingle
         assert 7 * J.hamming(sketch, J.bit_sketch(b)) > 2 * size
         assert 7 * J.hamming(sketch, J.bit_sketch(near)) <= len(a) + len(near)
+
+
+def test_sets_of_many_texts_at_once_equal_those_of_each_text():
+    r = random.Random(5)
+    texts = [b"", b" \t", b"One", b"a b c D", b"a b c d e", "é ".encode() * 40, b"x" * 70 + b" y z u v w", b"a b c d e", b"m" * 300_000]
+    texts += [" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(0, 700))).encode() for _ in range(200)]
+    column = pa.array([None, *texts], pa.binary()).slice(1)
+    parts = list(common.text_parts(column, 5000))
+    assert [t for _, p in parts for t in p] == texts and [b for b, _ in parts] == np.cumsum([0] + [len(p) for _, p in parts])[:-1].tolist()
+    assert all(len(p) == 1 or sum(map(len, p)) <= 5000 for _, p in parts)
+    frequent = J.Frequent(np.unique(np.concatenate([shingles(word_hashes(t))[::3] for t in texts[:40]])))
+    for some in (texts, texts[:2], [texts[4]], []):
+        values, bounds = common.shingle_sets(some)
+        own = [shingles(word_hashes(t)) for t in some]
+        assert [values[x:y].tolist() for x, y in itertools.pairwise(bounds)] == [x.tolist() for x in own]
+        assert common.set_ids(values, bounds).tolist() == [set_id(x) for x in own]
+        assert J.bit_sketches(values, bounds) == [J.bit_sketch(x) for x in own]
+        assert frequent.has(values).tolist() == np.isin(values, frequent.values).tolist()
+        keys, of = J.block_keys(values, bounds, frequent)
+        alone = [set(J.block_keys(x, np.array([0, len(x)]), frequent)[0].tolist()) for x in own]
+        assert [set(keys[of == i].tolist()) for i in range(len(some))] == alone
+
+
+def test_python_calls_of_a_task_do_not_grow_with_its_small_texts():
+    calls = []
+    for rows in (500, 2000):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(rows)), "text": [f"a b c d e f g h {i}" for i in range(rows)], "text_hash": list(range(rows))})
+        seen, plain = [], common.hashed_words
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "hashed_words", lambda *x: seen.append(1) or plain(*x))
+            out = pa.Table.from_batches(J._describe(iter([batch])))
+        assert out.num_rows >= rows
+        calls.append(len(seen))
+    assert calls == [1, 1]
+
+
+def test_distances_of_sketches_of_any_lengths():
+    r = np.random.default_rng(2)
+    sketches = [J.bit_sketch(r.integers(0, 1 << 62, n, dtype=np.uint64)) for n in r.integers(1, 900, 80)]
+    i, j = r.integers(0, 80, (2, 500))
+    got = J._distances([sketches[x] for x in i], [sketches[x] for x in j])
+    assert got.tolist() == [J.hamming(sketches[x], sketches[y]) for x, y in zip(i, j)]
