@@ -11,7 +11,7 @@ piece can still reach across it, the ids before it are committed.
 
 No piece of the model has its space mark after another character, so the paths
 meet where a space mark follows another character, at the latest.  The text is streamed in such parts;
-ids of frequent parts are remembered (bounded).  Characters that no piece
+ids of parts met lately are remembered (bounded).  Characters that no piece
 covers are encoded as bytes.
 
 Null and empty texts have no ids.  Rows are independent; repeated rows get
@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Bound of each table of remembered parts and pairs; a full one is emptied.
-REMEMBERED = 1_000_000
+#: Bound of the remembered pairs, which are emptied when full, and of the two tables of remembered parts.
+#: Workers keep these tables for the stages that follow, so they are kept small.
+REMEMBERED_PAIRS, REMEMBERED_PARTS = 500_000, 120_000
 _PART = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -58,6 +59,7 @@ class Pieces:
         self.pieces = [byte_of.get(i, t.encode()) for i, t in enumerate(self.texts)]
         self.pairs: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the last full table; what is met again comes back from it
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: join the best-scored neighbours, leftmost first."""
@@ -80,7 +82,7 @@ class Pieces:
         """Whether piece b may follow piece a."""
         first, second = self._text(a), self._text(b)
         known = self.merged(first + second) == ([first, second] if first else [second])
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         self.pairs[a << 32 ^ b] = known
         return known
@@ -129,14 +131,16 @@ class Pieces:
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a part as little-endian 32-bit numbers."""
-        out = []
-        for way in self.stream(part):
-            for piece in way:
-                out += [piece] if piece > 0 else [self.bytes[b] for b in chr(-piece - 1).encode("utf-8", "surrogatepass")]
-        known = np.array(out, dtype="<i4").tobytes()
+        known = self.older.get(part)
+        if known is None:
+            out = []
+            for way in self.stream(part):
+                for piece in way:
+                    out += [piece] if piece > 0 else [self.bytes[b] for b in chr(-piece - 1).encode("utf-8", "surrogatepass")]
+            known = np.array(out, dtype="<i4").tobytes()
         if len(part) <= 64:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
+            if len(self.parts) >= REMEMBERED_PARTS:
+                self.older, self.parts = self.parts, {}
             self.parts[part] = known
         return known
 

@@ -244,3 +244,17 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     for i in range(60):
         first.setdefault(html(i), i)
     assert all((r.record_type, r.refers_to) == (("response", None) if first[html(i)] == i else ("revisit", first[html(i)])) for i, r in rows.items())
+
+
+def test_remembered_parts_stay_few_and_frequent_ones_are_kept(monkeypatch):
+    import sentencepiece
+
+    own, model = piece_viterbi.Pieces(), sentencepiece.SentencePieceProcessor(model_file=piece_viterbi.MODEL)
+    searched, stream = [], own.stream
+    monkeypatch.setattr(own, "stream", lambda part: searched.append(part) or stream(part))
+    monkeypatch.setattr(piece_viterbi, "REMEMBERED_PARTS", 50)
+    for i in range(400):
+        text = f"often number{i} word{i * 7} often x{i}"
+        assert own.encode(text).tolist() == model.encode(text)
+        assert len(own.parts) <= 50 and len(own.older) <= 50
+    assert searched.count("▁often") == 1

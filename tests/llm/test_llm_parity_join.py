@@ -186,3 +186,11 @@ def test_distances_of_sketches_of_any_lengths():
     i, j = r.integers(0, 80, (2, 500))
     got = J._distances([sketches[x] for x in i], [sketches[x] for x in j])
     assert got.tolist() == [J.hamming(sketches[x], sketches[y]) for x, y in zip(i, j)]
+
+
+def test_texts_of_a_batch_are_held_in_small_parts(monkeypatch):
+    held, plain = [], common.texts_of
+    monkeypatch.setattr(common, "texts_of", lambda column: held.append(column.nbytes) or plain(column))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [f"{i} " * 500 for i in range(3000)], "text_hash": list(range(3000))})
+    assert sum(b.num_rows for b in J._describe(iter([batch]))) >= 3000
+    assert len(held) > 10 and max(held) < 2 * common.TEXTS_AT_ONCE
