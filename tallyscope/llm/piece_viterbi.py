@@ -10,8 +10,9 @@ longest piece only.  As soon as one boundary is on all surviving paths and no
 piece can still reach across it, the ids before it are committed.
 
 No piece of the model has its space mark after another character, so the paths
-meet where a space mark follows another character, at the latest.  The text is streamed in such parts;
-ids of parts met lately are remembered (bounded).  Characters that no piece
+meet where a space mark follows another character, at the latest.  They also meet between characters that no
+chain of neighbours within pieces connects, as between a word and the punctuation after it.  The text is streamed
+in such parts; ids of parts met lately are remembered (bounded).  Characters that no piece
 covers are encoded as bytes.
 
 Null and empty texts have no ids.  Rows are independent; repeated rows get
@@ -22,7 +23,9 @@ without the space mark U+2581 itself, which comes back as a space.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,48 @@ SPACE = "▁"
 #: Bound of the remembered pairs, which are emptied when full, and of the two tables of remembered parts.
 #: Workers keep these tables for the stages that follow, so they are kept small.
 REMEMBERED_PAIRS, REMEMBERED_PARTS = 500_000, 120_000
-_PART = re.compile(f"{SPACE}*[^{SPACE}]*")
+
+
+def part_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Parts of a text that no piece reaches across: characters of one group, with the space marks before them.
+
+    Characters that stand side by side in a piece are of one group; one that stands beside no other is a part.
+    """
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        for a, b in pairwise(piece.lstrip(SPACE)):
+            one, two = sorted((group.setdefault(a, {a}), group.setdefault(b, {b})), key=len)
+            if one is not two:
+                two |= one
+                group |= dict.fromkeys(one, two)
+    groups = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)
+    runs = [f"[{re.escape(''.join(sorted(g)))}]+" for g in groups]
+    return re.compile(f"{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+")
+
+
+def automaton(pieces: dict[str, tuple]) -> list:
+    """Start of the automaton (Aho-Corasick) that finds every piece ending at a character.
+
+    A state is a beginning of pieces: states by the next character, the state of its longest end that begins a piece too,
+    what is known of the pieces ending here, longest first, and its own size.
+    """
+    root: list = [{}, None, (), 0]
+    for piece, known in pieces.items():
+        node = root
+        for size, c in enumerate(piece, 1):
+            node = node[0].setdefault(c, [{}, root, (), size])
+        node[2] = (known,)
+    layer = [root]
+    while layer:
+        for node in layer:
+            for c, state in node[0].items():
+                shorter = node[1]
+                while shorter and c not in shorter[0]:
+                    shorter = shorter[1]
+                state[1] = shorter[0][c] if shorter else root
+                state[2] += state[1][2]
+        layer = [state for node in layer for state in node[0].values()]
+    return root
 
 
 class Pieces:
@@ -45,89 +89,102 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.scores, self.bytes = {}, {}
-        self.trie: dict = {}  # nested by character; key 0 holds the id of the piece that ends there
+        ids = {}
         for i, piece in enumerate(self.texts):
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not model.is_control(i) and not model.is_unknown(i):
                 self.scores[piece] = model.get_score(i)
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[0] = i
+                ids[piece] = i
+        self.may_follow: dict[int, dict[int, bool]] = {i: {} for i in ids.values()}  # by piece: pieces before it
+        self.pairs = 0  # remembered in these
+        self.root, self.window = automaton({t: (i, len(t), self.may_follow[i]) for t, i in ids.items()}), 4 * max(map(len, ids))
+        self.part = part_pattern(self.scores)
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.pieces = [byte_of.get(i, t.encode()) for i, t in enumerate(self.texts)]
-        self.pairs: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the last full table; what is met again comes back from it
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: join the best-scored neighbours, leftmost first."""
+        score, none = self.scores.get, float("-inf")
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
+        scores = [score(a + b, none) for a, b in pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+        return parts
 
     def _text(self, piece: int) -> str:
         """Text of a piece; characters outside the model have negative ids, 0 is the start."""
         return "" if piece == 0 else self.texts[piece] if piece > 0 else chr(-piece - 1)
 
-    def follows(self, a: int, b: int) -> bool:
+    def follows(self, a: int | None, b: int) -> bool:
         """Whether piece b may follow piece a."""
+        if a is None:
+            return False
         first, second = self._text(a), self._text(b)
         known = self.merged(first + second) == ([first, second] if first else [second])
-        if len(self.pairs) >= REMEMBERED_PAIRS:
-            self.pairs.clear()
-        self.pairs[a << 32 ^ b] = known
+        if self.pairs >= REMEMBERED_PAIRS:
+            for pieces in self.may_follow.values():
+                pieces.clear()
+            self.pairs = 0
+        if b > 0:
+            self.may_follow[b][a] = known
+            self.pairs += 1
         return known
 
     def stream(self, characters: str) -> Iterator[list[int]]:
         """Pieces of a part, committed as the paths meet; ``best`` starts at the last commit."""
-        pairs, trie, n = self.pairs, self.trie, len(characters)
-        base, best, from_ = 0, [0], [0]   # last piece of the path that survives at each boundary, and where it starts
-        ahead, furthest = 0, 0            # surviving boundaries that come later, and the last of them
-        for at in range(n):
-            a = best[at - base] if at - base < len(best) else None
-            if a is not None:
-                if at > base:
-                    ahead -= 1
-                node, end = trie, at
-                if characters[at] not in trie or 0 not in trie[characters[at]]:
-                    single = -1 - ord(characters[at])  # to be encoded as bytes
-                else:
-                    single = None
-                while end < n:
-                    node = node.get(characters[end])
-                    end += 1
-                    b = single if single is not None and end == at + 1 else node.get(0) if node else None
-                    if b is not None:
-                        k = end - base
-                        while len(best) <= k:
-                            best.append(None)
-                            from_.append(0)
-                        if best[k] is None:
-                            known = pairs.get(a << 32 ^ b)
-                            if known if known is not None else self.follows(a, b):
-                                best[k], from_[k] = b, at
-                                ahead += 1
-                                furthest = max(furthest, end)
-                    if not node:
-                        break
-            if ahead == 1 and furthest > at:
-                # The one boundary ahead is on every path that can still be made.
-                way, k = [], furthest
-                while k > base:
-                    way.append(best[k - base])
-                    k = from_[k - base]
-                way.reverse()
-                yield way
-                best, from_, base, ahead = [best[furthest - base]], [0], furthest, 0
+        root = state = self.root
+        best, sizes = [0], [0]  # last piece of the path that survives at each boundary, and its size; None if none survives
+        at, full = 0, self.window
+        for c in characters:
+            while (node := state[0].get(c)) is None and state is not root:
+                state = state[1]
+            state = node or root
+            at += 1
+            for b, size, may_follow in state[2]:
+                a = best[at - size]
+                known = may_follow.get(a)
+                if known if known is not None else self.follows(a, b):
+                    best.append(b)
+                    sizes.append(size)
+                    break
+            else:
+                b = -1 - ord(c)  # to be encoded as bytes
+                best.append(b if c not in self.scores and self.follows(best[at - 1], b) else None)
+                sizes.append(1)
+            if at >= full:
+                # Pieces can still start from these boundaries; where their paths meet is on every path that can be made.
+                meet = at
+                for k in range(at - state[3], at):
+                    while best[k] is not None and meet != k:
+                        if meet > k:
+                            meet -= sizes[meet]
+                        else:
+                            k -= sizes[k]
+                if meet:
+                    yield self._way(best, sizes, meet)
+                    best, sizes, at = best[meet:], sizes[meet:], at - meet
+                full = at + self.window
+        if at:
+            yield self._way(best, sizes, at)
+
+    @staticmethod
+    def _way(best: list[int | None], sizes: list[int], end: int) -> list[int]:
+        """Pieces of the path that survives at a boundary, from the last commit on."""
+        way = []
+        while end:
+            way.append(best[end])
+            end -= sizes[end]
+        way.reverse()
+        return way
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a part as little-endian 32-bit numbers."""
@@ -135,9 +192,12 @@ class Pieces:
         if known is None:
             out = []
             for way in self.stream(part):
+                if min(way) > 0:
+                    out += way
+                    continue
                 for piece in way:
                     out += [piece] if piece > 0 else [self.bytes[b] for b in chr(-piece - 1).encode("utf-8", "surrogatepass")]
-            known = np.array(out, dtype="<i4").tobytes()
+            known = struct.pack(f"<{len(out)}i", *out)
         if len(part) <= 64:
             if len(self.parts) >= REMEMBERED_PARTS:
                 self.older, self.parts = self.parts, {}
@@ -149,8 +209,8 @@ class Pieces:
         if not text:
             return np.zeros(0, dtype=np.int32)
         get, encode = self.parts.get, self.encode_part
-        parts = _PART.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join([get(p) or encode(p) for p in parts if p]), dtype="<i4")
+        parts = self.part.findall(SPACE + text.replace(" ", SPACE))
+        return np.frombuffer(b"".join([get(p) or encode(p) for p in parts]), dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.pieces.__getitem__, ids.tolist()))

@@ -258,3 +258,28 @@ def test_remembered_parts_stay_few_and_frequent_ones_are_kept(monkeypatch):
         assert own.encode(text).tolist() == model.encode(text)
         assert len(own.parts) <= 50 and len(own.older) <= 50
     assert searched.count("▁often") == 1
+
+
+def test_words_are_searched_once_whatever_stands_beside_them(monkeypatch):
+    import sentencepiece
+
+    own, model = piece_viterbi.Pieces(), sentencepiece.SentencePieceProcessor(model_file=piece_viterbi.MODEL)
+    searched, stream = [], own.stream
+    monkeypatch.setattr(own, "stream", lambda part: searched.append(part) or stream(part))
+    words, marks = [f"{a}{b}eration" for a in "bdfglm" for b in "aeiou"], ["", ",", ".", ":", "?!", ".\n", "日", "7", "\x01", " - ", "語."]
+    texts = [f"{w}{m} {m}{w}{m}{w}" for w in words for m in marks]
+    assert all(own.encode(t).tolist() == model.encode(t) for t in texts)
+    # A word after a space, a word after a mark, and the word twice over.
+    assert len(searched) == len(set(searched)) < 3 * len(words) + 4 * len(marks)
+
+
+def test_long_parts_are_committed_as_they_are_read():
+    import sentencepiece
+
+    own, model = piece_viterbi.pieces(), sentencepiece.SentencePieceProcessor(model_file=piece_viterbi.MODEL)
+    r = random.Random(9)
+    names = [p.strip(piece_viterbi.SPACE) for p in own.scores]
+    for t in ["a" * 3000, "the" * 2000, "─" * 2000, "".join(r.choice(names) for _ in range(3000)), "".join(r.choice("eainst") for _ in range(4000))]:
+        assert own.encode(t).tolist() == model.encode(t)
+    ways = [len("".join(own.texts[i] for i in way)) for way in own.stream("the" * 2000)]
+    assert sum(ways) == 6000 and max(ways) <= 2 * own.window
